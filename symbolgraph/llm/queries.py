@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import langid, quality, secrets, secrets_sql, simhash
 from .common import read_table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, quality.training_labels(read_table(spark, sf_dir, "labels"))))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_quality": op9_quality}
+ORACLE_SQL = {"op1_secrets": secrets_sql.oracle()}
