@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, secrets, secrets_sql, simhash
+from . import decontam, langid, quality, secrets, secrets_sql, simhash
 from .common import read_table
 
 
@@ -25,5 +25,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, quality.training_labels(read_table(spark, sf_dir, "labels"))))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_quality": op9_quality}
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_decontam": op10_decontam}
 ORACLE_SQL = {"op1_secrets": secrets_sql.oracle()}
