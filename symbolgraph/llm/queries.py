@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, secrets, secrets_sql, simhash
+from . import decontam, langid, quality, secrets, secrets_sql, simhash, toxicity
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, toxicity.training_labels(read_table(spark, sf_dir, "labels"))))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, quality.training_labels(read_table(spark, sf_dir, "labels"))))
@@ -29,5 +34,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_decontam": op10_decontam}
+QUERIES = {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op7_langid": op7_langid, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_decontam": op10_decontam}
 ORACLE_SQL = {"op1_secrets": secrets_sql.oracle()}
