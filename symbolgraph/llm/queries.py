@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, quality, secrets, secrets_sql, simhash, toxicity
+from . import ann, decontam, htmltext, langid, mixing, quality, secrets, secrets_sql, simhash, toxicity, urlfilter
 from .common import read_table
 
 
@@ -16,6 +16,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op4_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(read_table(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -38,5 +50,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op6_ann": op6_ann, "op7_langid": op7_langid, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_decontam": op10_decontam}
-ORACLE_SQL = {"op1_secrets": secrets_sql.oracle()}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_simhash, op3_urlfilter, op4_htmltext, op5_mixing, op6_ann, op7_langid, op8_toxicity, op9_quality, op10_decontam)}
+ORACLE_SQL = {"op1_secrets": secrets_sql.oracle(), "op3_urlfilter": urlfilter.oracle()}
