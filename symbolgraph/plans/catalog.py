@@ -1,4 +1,426 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symbolgraph.functions.graph import LAYERS, short_label
+from symbolgraph.operators import architecture, cycles, deadcode, hierarchy, hotspots, impact, navigation, resolve, search, ticket
+from symbolgraph.plans.projection import SQL, event_pairs, graph
+from symbolgraph.sources import scan, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SERVICE = "App\\Services\\N1Service"
+CONTROLLER = "App\\Http\\Controllers\\N1Controller"
+
+
+def query(sql: str, recursive: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{SQL}\n{sql}" if "edges" in sql or "nodes" in sql or "calls" in sql else sql
+        return f
+
+    return add
+
+
+def on_graph(sql: str, recursive: bool = False):
+    """A query over (nodes, edges) of the projection."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            g = graph(spark, sf_dir)
+            return f(g.nodes, g.edges)
+
+        run.__name__ = f.__name__
+        return query(sql, recursive)(run)
+
+    return add
+
+
+def some(nodes: DataFrame, kind: str, parent_like: str) -> str:
+    """The smallest id of a kind: a node that every scale has."""
+    return nodes.where((F.col("type") == kind) & F.col("id").contains(parent_like)).agg(F.min("id")).first()[0]
+
+
+_METHOD = "(SELECT min(id) FROM nodes WHERE type = 'method' AND contains(id, 'Services'))"
+_USED = "(SELECT min(id) FROM nodes WHERE type = 'method' AND contains(id, 'Controllers'))"
+
+
+@on_graph("SELECT type, call_type, count(*) AS n FROM edges GROUP BY type, call_type")
+def projection_counts(nodes, edges):
+    return edges.groupBy("type", "call_type").agg(F.count("*").alias("n"))
+
+
+@on_graph("SELECT type, count(*) AS n, count(parent) AS with_parent FROM nodes GROUP BY type")
+def node_counts(nodes, edges):
+    return nodes.groupBy("type").agg(F.count("*").alias("n"), F.count("parent").alias("with_parent"))
+
+
+@on_graph(f"SELECT e.from_id, e.call_type, n.type AS node_type, n.file FROM calls e LEFT JOIN nodes n ON n.id = e.from_id WHERE e.to_id = {_METHOD} ORDER BY e.from_id, coalesce(e.call_type, '') LIMIT 20")
+def incoming_calls(nodes, edges):
+    return navigation.incoming_calls(nodes, edges, some(nodes, "method", "Services")).drop("via")
+
+
+@on_graph(f"SELECT e.to_id, e.call_type, n.type AS node_type, n.file FROM edges e LEFT JOIN nodes n ON n.id = e.to_id WHERE e.type = 'CALLS' AND e.from_id = {_USED} ORDER BY e.to_id, coalesce(e.call_type, '') LIMIT 20")
+def outgoing_calls(nodes, edges):
+    return navigation.outgoing_calls(nodes, edges, some(nodes, "method", "Controllers"), resolved=True).drop("via")
+
+
+@on_graph(r"""SELECT * FROM (SELECT 'out' AS direction, to_id AS other FROM edges WHERE type = 'DEPENDS_ON' AND from_id = 'App\Http\Controllers\N1Controller' ORDER BY 2 LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'in', from_id FROM edges WHERE type = 'DEPENDS_ON' AND to_id = 'App\Http\Controllers\N1Controller' ORDER BY 2 LIMIT 20)""")
+def depends_on_relations(nodes, edges):
+    return navigation.dependencies(edges, CONTROLLER)
+
+
+@on_graph(r"SELECT id, name, visibility FROM nodes WHERE type = 'method' AND parent = 'App\Services\N1Service'")
+def methods_of_class(nodes, edges):
+    return navigation.methods_of(nodes, SERVICE)
+
+
+@on_graph(f"""SELECT place, kind, from_id FROM (
+SELECT * FROM (SELECT DISTINCT 0 AS place, 'call' AS kind, from_id FROM calls WHERE to_id = {_USED} ORDER BY from_id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT DISTINCT 1, 'route', from_id FROM edges WHERE type = 'ROUTES_TO' AND to_id = {_USED} ORDER BY from_id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT DISTINCT 2, 'blade', from_id FROM edges WHERE type = 'BLADE_USES_ACTION' AND to_id = {_USED} ORDER BY from_id LIMIT 20)) ORDER BY place, from_id LIMIT 20""")
+def incoming_graph_entries(nodes, edges):
+    return navigation.incoming_entries(edges, some(nodes, "method", "Controllers"))
+
+
+@on_graph("""SELECT h.from_id AS client, h.to_id AS endpoint, r.to_id AS handler FROM (SELECT parent AS from_id, 'api:GET:/orders/1/O' AS to_id FROM nodes WHERE type = 'method' AND name LIKE '%0' AND contains(id, 'Controllers')) h
+JOIN edges r ON r.from_id = h.to_id AND r.type = 'ROUTES_TO'""")
+def http_upstream(nodes, edges):
+    clients = nodes.where("type = 'method' and name like '%0'").where(F.col("id").contains("Controllers"))
+    requests = clients.select(F.col("parent").alias("from_id"), F.lit("api:GET:/orders/1/O").alias("to_id"), F.lit("HTTP_REQUEST").alias("type"))
+    return navigation.upstream_requests(edges.select("from_id", "to_id", "type").unionByName(requests)).select("client", "endpoint", "handler")
+
+
+@on_graph(r"""SELECT type, from_id, to_id, call_type FROM edges WHERE type IN ('CALLS', 'CONTAINS', 'ROUTES_TO') AND (from_id = 'App\Services\N1Service' OR to_id = 'App\Services\N1Service' OR starts_with(lower(from_id), lower('App\Services\N1Service::')) OR starts_with(lower(to_id), lower('App\Services\N1Service::')))""")
+def method_scoped_edges(nodes, edges):
+    return navigation.method_edges(edges, SERVICE, ["CALLS", "CONTAINS", "ROUTES_TO"])
+
+
+@on_graph(f"SELECT coalesce(call_type, type) AS kind, count(*) AS n FROM edges WHERE from_id = {_USED} GROUP BY 1")
+def call_kind_counts(nodes, edges):
+    return navigation.kinds_of_calls(edges, some(nodes, "method", "Controllers"))
+
+
+@on_graph("""SELECT DISTINCT c.from_id, c.to_id FROM calls c JOIN nodes a ON a.id = c.from_id LEFT JOIN (SELECT * FROM nodes WHERE NOT (type = 'method' AND visibility = 'private')) n ON n.id = c.to_id WHERE n.id IS NULL""")
+def unresolved_calls(nodes, edges):
+    return navigation.unresolved_calls(nodes.where("not (type = 'method' and visibility = 'private')"), edges)
+
+
+@on_graph(r"""SELECT m.id, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) + coalesce(o.n, 0) AS score FROM (SELECT id FROM nodes WHERE type = 'method' AND parent = 'App\Services\N1Service') m
+LEFT JOIN (SELECT to_id, count(*) AS n FROM calls GROUP BY 1) i ON i.to_id = m.id LEFT JOIN (SELECT from_id, count(*) AS n FROM calls GROUP BY 1) o ON o.from_id = m.id ORDER BY score DESC, m.id LIMIT 10""")
+def important_methods(nodes, edges):
+    return navigation.important_methods(nodes, edges, SERVICE)
+
+
+@on_graph(f"""SELECT other, CAST(sum(i) AS BIGINT) AS incoming, CAST(sum(o) AS BIGINT) AS outgoing, count(*) AS score FROM (
+SELECT from_id AS other, 1 AS i, 0 AS o FROM calls WHERE to_id = {_METHOD} UNION ALL SELECT to_id, 0, 1 FROM calls WHERE from_id = {_METHOD}) GROUP BY other ORDER BY score DESC, other LIMIT 10""")
+def neighbour_stats(nodes, edges):
+    return navigation.neighbours(edges, some(nodes, "method", "Services"))
+
+
+@on_graph(r"""SELECT id, CASE WHEN starts_with(id, 'api:') THEN regexp_replace(replace(id, 'api:', ''), '^([A-Z]+):', '\1 ') ELSE regexp_extract(id, '[^\\]+$') END AS label FROM nodes""")
+def short_labels(nodes, edges):
+    return nodes.select("id", short_label(F.col("id")).alias("label"))
+
+
+@on_graph("""SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY regexp_extract(id, '[^:]+$') ORDER BY contains(id, 'Interface'), id) AS n FROM nodes WHERE type = 'method') WHERE n = 1""")
+def prefer_concrete(nodes, edges):
+    return navigation.prefer_concrete(nodes.where("type = 'method'").select("id", F.col("id").alias("place")))
+
+
+@on_graph("""SELECT id, type, name, CAST(CASE WHEN contains(lower(id), 'n1service') THEN 700 WHEN contains(lower(name), 'n1service') THEN 600 WHEN contains(lower(coalesce(file, '')), 'n1service') THEN 400 ELSE 0 END AS BIGINT) AS score FROM nodes
+WHERE type IN ('class', 'interface', 'trait', 'method', 'property', 'composable', 'vue_component', 'js_module', 'blade_view') AND (contains(lower(id), 'n1service') OR contains(lower(name), 'n1service') OR contains(lower(coalesce(file, '')), 'n1service'))
+AND NOT (ends_with(lower(id), '\\n1service')) ORDER BY 4 DESC, id LIMIT 40""".replace("\\\\", "\\"))
+def find_symbol(nodes, edges):
+    return search.find(nodes, "N1Service", limit=41).where("score < 900").orderBy(F.desc("score"), "id").limit(40)
+
+
+@on_graph("""SELECT id, type, name, CAST(700 AS BIGINT) AS score FROM nodes WHERE type IN ('api_endpoint', 'route_name') AND (contains(lower(id), 'get:/orders/1') OR contains(lower(id), '/orders/1')) ORDER BY id LIMIT 20""")
+def find_route(nodes, edges):
+    return search.find(nodes, "GET /orders/1")
+
+
+@on_graph(r"""SELECT id, type, name, CAST(CASE WHEN id = 'App\Services\N1Service' THEN 1000 ELSE 700 END AS BIGINT) AS score FROM nodes WHERE type IN ('request_field', 'model_field', 'response_field', 'variable_field') AND contains(lower(id), lower('App\Services\N1Service')) OR id = 'App\Services\N1Service'""")
+def find_exact_promotion(nodes, edges):
+    return search.find(nodes, SERVICE, kind="field")
+
+
+_HUB = "(SELECT min(id) FROM nodes WHERE type = 'method' AND contains(id, 'Repositories'))"
+_IMPACT = """imp AS (SELECT from_id, to_id, type, CASE type WHEN 'CALLS' THEN 5 WHEN 'EXTENDS' THEN 3 WHEN 'IMPLEMENTS' THEN 2 WHEN 'ROUTES_TO' THEN 5 ELSE 4 END AS w,
+  CASE type WHEN 'CALLS' THEN 2 WHEN 'EXTENDS' THEN 3 WHEN 'IMPLEMENTS' THEN 2 ELSE 0 END AS wo FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'ROUTES_TO', 'BLADE_USES_ACTION') OR (type = 'CALLS' AND (call_type IS NULL OR call_type <> 'INTERFACE_RESOLVED'))),"""
+
+
+def _levels(seeds: str, depth: int) -> str:
+    out = [f"seeds AS ({seeds}), f0 AS (SELECT seed, seed AS node FROM seeds)"]
+    for d in range(1, depth + 1):
+        out.append(f"l{d} AS (SELECT f.seed, i.from_id, i.type, {d} AS distance, i.w * power(0.6, {d - 1}) AS w FROM f{d - 1} f JOIN imp i ON i.to_id = f.node WHERE i.from_id <> f.seed)")
+        seen = " UNION ALL ".join(f"SELECT seed, node FROM f{k}" for k in range(d))
+        out.append(f"f{d} AS (SELECT DISTINCT l.seed, l.from_id AS node FROM l{d} l WHERE NOT EXISTS (SELECT 1 FROM ({seen}) v WHERE v.seed = l.seed AND v.node = l.from_id))")
+    union = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(1, depth + 1))
+    out.append(f"""callers AS (SELECT seed, from_id, round(sum(w), 2) AS score, min(distance) AS distance, min_by(type, distance || type) AS relation FROM ({union}) GROUP BY seed, from_id),
+callees AS (SELECT seed, to_id, CAST(sum(wo) AS DOUBLE) AS score FROM seeds JOIN imp ON from_id = seed GROUP BY 1, 2)""")
+    return ", ".join(out)
+
+
+def _impact_sql(select: str, seeds: str, depth: int) -> str:
+    return f", {_IMPACT} {_levels(seeds, depth)} {select}"
+
+
+def _impact(nodes, edges, depth):
+    seed = nodes.where("type = 'method'").where(F.col("id").contains("Repositories")).agg(F.min("id").alias("seed"))
+    return impact.callers(impact.upstream(impact.impact_edges(edges), seed, depth)).select("from_id", "score", "distance", "relation").orderBy(F.desc("score"), "distance", "from_id").limit(50)
+
+
+_TOP = "SELECT from_id, score, distance, relation FROM callers ORDER BY score DESC, distance, from_id LIMIT 50"
+
+
+@on_graph(_impact_sql(_TOP, f"SELECT {_HUB} AS seed", 2).replace("edges", "edges"))
+def impact_depth2(nodes, edges):
+    return _impact(nodes, edges, 2)
+
+
+@on_graph(_impact_sql(_TOP, f"SELECT {_HUB} AS seed", 3))
+def impact_depth3(nodes, edges):
+    return _impact(nodes, edges, 3)
+
+
+_REPORT = """, c AS (SELECT seed, count(*) AS callers, count(*) FILTER (WHERE distance = 1 AND relation IN ('ROUTES_TO', 'BLADE_USES_ACTION')) AS direct_entries, count(*) FILTER (WHERE distance = 1 AND relation NOT IN ('ROUTES_TO', 'BLADE_USES_ACTION')) AS direct_callers,
+ count(*) FILTER (WHERE distance > 1) AS indirect_callers, coalesce(sum(score) FILTER (WHERE distance = 1), 0) AS direct_score, coalesce(sum(score) FILTER (WHERE distance > 1), 0) AS indirect_score FROM callers GROUP BY seed),
+b AS (SELECT seed, count(*) AS callees, sum(score) AS callee_score FROM callees GROUP BY seed),
+t AS (SELECT seed, from_id AS id FROM callers UNION SELECT seed, to_id FROM callees UNION SELECT seed, seed FROM seeds),
+fl AS (SELECT seed, count(DISTINCT file) AS files FROM t JOIN nodes USING (id) GROUP BY seed),
+r AS (SELECT s.seed, coalesce(callers, 0) AS callers, coalesce(direct_entries, 0) AS direct_entries, coalesce(direct_callers, 0) AS direct_callers, coalesce(indirect_callers, 0) AS indirect_callers, round(coalesce(direct_score, 0), 2) AS direct_score, round(coalesce(indirect_score, 0), 2) AS indirect_score,
+ coalesce(callees, 0) AS callees, coalesce(callee_score, 0) AS callee_score, coalesce(files, 0) AS files FROM seeds s LEFT JOIN c USING (seed) LEFT JOIN b USING (seed) LEFT JOIN fl USING (seed)),
+rep AS (SELECT *, round(direct_score + indirect_score + callee_score, 2) AS score FROM r)
+"""
+_RISK = "CASE WHEN score >= 40 THEN 'CRITICAL' WHEN score >= 20 THEN 'HIGH' WHEN score >= 8 THEN 'MEDIUM' ELSE 'LOW' END"
+_SEEDS = "SELECT id AS seed FROM nodes WHERE type = 'method' AND contains(id, 'Repositories') AND id LIKE '%1'"
+
+
+@on_graph(_impact_sql(f"{_REPORT} SELECT *, {_RISK} AS risk FROM rep", _SEEDS, 2))
+def impact_components(nodes, edges):
+    seeds = nodes.where("type = 'method' and id like '%1'").where(F.col("id").contains("Repositories")).select(F.col("id").alias("seed"))
+    rounded = {c: F.round(c, 2) for c in ("direct_score", "indirect_score")}
+    return impact.report(nodes, impact.impact_edges(edges), seeds).withColumns(rounded)
+
+
+@on_graph(_impact_sql("SELECT c.seed, file, count(*) AS callers, round(sum(score), 2) AS score FROM callers c JOIN nodes n ON n.id = c.from_id WHERE file IS NOT NULL GROUP BY 1, 2", f"SELECT {_HUB} AS seed", 2))
+def impact_files(nodes, edges):
+    seed = nodes.where("type = 'method'").where(F.col("id").contains("Repositories")).agg(F.min("id").alias("seed"))
+    return impact.affected_files(nodes, impact.impact_edges(edges), seed)
+
+
+_DEGREES = """deg AS (SELECT n.id, n.type, n.parent, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing FROM nodes n
+ LEFT JOIN (SELECT to_id, count(*) AS n FROM edges WHERE (type = 'CALLS' AND (call_type IS NULL OR call_type <> 'INTERFACE_RESOLVED')) OR type IN ('ROUTES_TO', 'BLADE_USES_ACTION') GROUP BY 1) i ON i.to_id = n.id
+ LEFT JOIN (SELECT from_id, count(*) AS n FROM calls GROUP BY 1) o ON o.from_id = n.id)"""
+_M = "SELECT id, incoming, outgoing, incoming + outgoing AS score FROM deg WHERE type = 'method' AND incoming + outgoing > 0"
+_C = "SELECT CASE WHEN type = 'method' THEN parent ELSE id END AS id, CAST(sum(incoming) AS BIGINT) AS incoming, CAST(sum(outgoing) AS BIGINT) AS outgoing, CAST(sum(incoming) + sum(outgoing) AS BIGINT) AS score FROM deg WHERE type IN ('method', 'class') GROUP BY 1 HAVING sum(incoming) + sum(outgoing) > 0"
+
+
+@on_graph(f", {_DEGREES} {_M} ORDER BY score DESC, id LIMIT 20")
+def method_hotspots(nodes, edges):
+    return hotspots.methods(nodes, edges)
+
+
+@on_graph(f", {_DEGREES} {_C} ORDER BY score DESC, id LIMIT 20")
+def class_hotspots(nodes, edges):
+    return hotspots.classes(nodes, edges)
+
+
+@on_graph("""SELECT id, incoming, outgoing, incoming + outgoing AS score FROM (SELECT n.id, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing FROM nodes n LEFT JOIN (SELECT to_id, count(*) AS n FROM edges WHERE type = 'DEPENDS_ON' GROUP BY 1) i ON i.to_id = n.id
+LEFT JOIN (SELECT from_id, count(*) AS n FROM edges WHERE type = 'DEPENDS_ON' GROUP BY 1) o ON o.from_id = n.id) WHERE incoming + outgoing > 0 ORDER BY score DESC, id LIMIT 20""")
+def dependency_hotspots(nodes, edges):
+    return hotspots.depended_on(nodes, edges)
+
+
+@on_graph(f", {_DEGREES} SELECT id, incoming, outgoing FROM deg WHERE outgoing > 0 ORDER BY outgoing DESC, id LIMIT 20")
+def fanout_hotspots(nodes, edges):
+    return hotspots.fan_out(nodes, edges)
+
+
+_POOL = f"""cand AS (SELECT id, max(score) AS hotspot FROM (SELECT id, score FROM ({_M} ORDER BY score DESC, id LIMIT 400) UNION ALL SELECT id, score FROM ({_C} ORDER BY score DESC, id LIMIT 400)
+ UNION ALL SELECT id, outgoing FROM (SELECT id, outgoing FROM deg WHERE outgoing > 0 ORDER BY outgoing DESC, id LIMIT 400)) GROUP BY id)"""
+
+
+@on_graph(f", {_DEGREES}, {_POOL}, {_IMPACT} {_levels('SELECT id AS seed FROM cand', 2)} {_REPORT}, k AS (SELECT seed AS id, hotspot, score AS impact, {_RISK} AS risk, round(3 * score + hotspot, 2) AS combined FROM rep JOIN cand ON cand.id = rep.seed), "
+"o AS (SELECT *, row_number() OVER (ORDER BY CASE risk WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, combined DESC, hotspot DESC, id) AS rank FROM k) SELECT *, round(100.0 * rank / (SELECT count(*) FROM nodes), 2) AS percentile FROM o WHERE rank <= 20")
+def risk_batch(nodes, edges):
+    return hotspots.risk_ranking(nodes, edges)
+
+
+@on_graph("""SELECT m.id, m.parent, m.file, CASE WHEN contains(m.parent, 'Controller') THEN 'medium' ELSE 'high' END AS confidence FROM nodes m
+WHERE m.type = 'method' AND m.visibility = 'public' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_id = m.id AND e.type IN ('CALLS', 'ROUTES_TO', 'BLADE_CALLS', 'BLADE_USES_ACTION', 'BLADE_REFERENCES_SYMBOL'))""")
+def dead_methods(nodes, edges):
+    return deadcode.dead(nodes, edges)
+
+
+_LAYER = lambda c: "CASE " + " ".join(rf"WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\){s}(\\|$)') THEN '{n}'" for s, n, _ in LAYERS) + " END"
+_RANK = lambda c: f"CASE {c} WHEN 'Presentation' THEN 0 WHEN 'Http' THEN 0 WHEN 'Controller' THEN 1 WHEN 'UseCase' THEN 2 WHEN 'Service' THEN 3 WHEN 'Domain' THEN 4 WHEN 'Repository' THEN 4 WHEN 'Infrastructure' THEN 5 END"
+_VIOLATIONS = f", lay AS (SELECT from_id, to_id, type, {_LAYER('from_id')} AS from_layer, {_LAYER('to_id')} AS to_layer FROM (SELECT * FROM calls UNION ALL SELECT * FROM edges WHERE type = 'DEPENDS_ON')), v AS (SELECT *, CASE WHEN type = 'DEPENDS_ON' THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM lay WHERE {_RANK('from_layer')} > {_RANK('to_layer')})"
+
+
+@on_graph(_VIOLATIONS + " SELECT from_layer, to_layer, severity, count(*) AS n FROM v GROUP BY 1, 2, 3")
+def architecture_layers(nodes, edges):
+    return architecture.by_layer(architecture.violations(edges))
+
+
+@on_graph(_VIOLATIONS + " SELECT from_id, to_id, type, severity FROM v WHERE NOT (regexp_matches(from_id, '^.*Brand1.*$'))")
+def architecture_ignored(nodes, edges):
+    return architecture.violations(edges, allow=["*Brand1* -> *"]).select("from_id", "to_id", "type", "severity")
+
+
+@on_graph(_VIOLATIONS + r" SELECT DISTINCT from_id, to_id, type FROM v WHERE split_part(from_id, '::', 1) = 'App\Services\N1Service' OR split_part(to_id, '::', 1) = 'App\Services\N1Service'")
+def architecture_nodes(nodes, edges):
+    ids = nodes.where((F.col("id") == SERVICE) | (F.col("parent") == SERVICE)).select("id")
+    return architecture.of_nodes(architecture.violations(edges), ids).select("from_id", "to_id", "type")
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT event_type AS f, t FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) WHERE t IS NOT NULL AND t <> event_type),
+w AS (SELECT [f, t] AS path FROM p WHERE t > f UNION ALL SELECT list_append(path, p.t) FROM w JOIN p ON p.f = path[len(path)] WHERE p.t > path[1] AND NOT list_contains(path, p.t) AND len(path) < 12)
+SELECT array_to_string(list_append(path, path[1]), '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM w JOIN p ON p.f = path[len(path)] AND p.t = path[1]""")
+def cycles_events(spark, sf_dir):
+    return cycles.simple_cycles(event_pairs(spark, sf_dir)).select(F.array_join("nodes", ">").alias("cycle"), "length")
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT event_type AS f, t FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) WHERE t IS NOT NULL AND t <> event_type),
+w AS (SELECT [f, t] AS path FROM p WHERE f = 'click' UNION ALL SELECT list_append(path, p.t) FROM w JOIN p ON p.f = path[len(path)] WHERE NOT list_contains(path, p.t) AND len(path) < 12)
+SELECT array_to_string(list_append(path, path[1]), '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM w JOIN p ON p.f = path[len(path)] AND p.t = path[1]""")
+def cycles_from_node(spark, sf_dir):
+    return cycles.simple_cycles(event_pairs(spark, sf_dir), start="click").select(F.array_join("nodes", ">").alias("cycle"), "length")
+
+
+_CLOSURE = ", up AS (SELECT from_id AS child, to_id AS ancestor, 1 AS depth FROM edges WHERE type = 'EXTENDS' UNION ALL SELECT u.child, e.to_id, depth + 1 FROM up u JOIN edges e ON e.type = 'EXTENDS' AND e.from_id = u.ancestor WHERE depth < 32)"
+
+
+@on_graph(_CLOSURE + " SELECT child, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY 1, 2", recursive=True)
+def inheritance_chain(nodes, edges):
+    return hierarchy.closure(edges)
+
+
+@on_graph(_CLOSURE + r" SELECT DISTINCT child FROM up WHERE ancestor = 'App\Http\Controllers\N1Controller'", recursive=True)
+def descendants(nodes, edges):
+    return hierarchy.closure(edges).where(F.col("ancestor") == CONTROLLER).select("child").distinct()
+
+
+@on_graph(_CLOSURE + ", a AS (SELECT id AS child, id AS ancestor, 0 AS depth FROM nodes WHERE type = 'class' UNION ALL SELECT child, ancestor, min(depth) FROM up WHERE depth <= 8 GROUP BY 1, 2) SELECT a.child AS cls, m.name, arg_min(m.id, lpad(CAST(a.depth AS VARCHAR), 3, '0') || m.id) AS target FROM a JOIN nodes m ON m.type = 'method' AND m.parent = a.ancestor GROUP BY 1, 2", recursive=True)
+def resolve_inherited_method(nodes, edges):
+    return hierarchy.resolve_method(nodes, edges)
+
+
+@on_graph(r"""SELECT DISTINCT i.caller AS from_id, i.cls || '::' || i.m AS to_id, i.face || '::' || i.m AS via, 'INTERFACE_RESOLVED' AS call_type FROM (
+SELECT c.from_id AS caller, x.from_id AS cls, x.to_id AS face, split_part(c.to_id, '::', 2) AS m FROM calls c JOIN edges x ON x.type = 'IMPLEMENTS' AND x.from_id = split_part(c.to_id, '::', 1) WHERE c.to_id LIKE '%1') i""")
+def interface_resolved(nodes, edges):
+    # Calls to services' methods ending in 1, seen through the interface: the classes that have the method are found again.
+    owners = edges.where("type = 'IMPLEMENTS'").select(F.col("from_id").alias("owner"), F.col("to_id").alias("face"))
+    to = edges.where("type = 'CALLS' and call_type is null and to_id like '%1'").select("from_id", F.expr("substring_index(to_id, '::', 1)").alias("owner"), F.substring_index("to_id", "::", -1).alias("m"))
+    seen = to.join(owners, "owner").select("from_id", F.concat_ws("::", "face", "m").alias("to_id"), F.lit("CALLS").alias("type"))
+    found = resolve.interface_calls(nodes, seen.unionByName(edges.where("type = 'IMPLEMENTS'").select("from_id", "to_id", "type")))
+    return found
+
+
+@on_graph(", k AS (SELECT id, 'GET ' || regexp_replace(id, '^api:GET:/', '') AS key FROM nodes WHERE type = 'api_endpoint') SELECT id, key FROM k")
+def endpoint_normalise(nodes, edges):
+    return nodes.where("type = 'api_endpoint'").select("id", resolve.endpoint_key(F.col("id")).alias("key"))
+
+
+# --- text
+
+
+def on_table(name: str, sql: str):
+    """A query over one of the driver's tables."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = run, sql
+        return run
+
+    return add
+
+
+_STOP = ", ".join(f"'{w}'" for w in ticket.STOP)
+_TOKENS = rf"list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s-]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})))"
+_DF = f"df AS (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token)"
+_WEIGHT = "CASE " + " ".join(f"WHEN df <= {most} THEN {w}" for most, w in ticket.STEPS) + f" ELSE {ticket.COMMON} END"
+_SIGNALS = " UNION ALL ".join(
+    f"SELECT conv_id, turn, '{name}' AS workflow, " + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {ticket.STRENGTH[level]} ELSE 0 END" for level, words in levels.items() for w in words) + " AS score FROM conversations"
+    for name, levels in ticket.WORKFLOWS.items()
+)
+
+
+@on_table("documents", f"WITH {_DF} SELECT token, df FROM df")
+def token_df(documents):
+    return ticket.document_frequency(documents, "doc_id", "text")
+
+
+@on_table("documents", f"WITH {_DF} SELECT CAST({_WEIGHT} AS DOUBLE) AS weight, count(*) AS n FROM df GROUP BY 1")
+def token_weight(documents):
+    return ticket.document_frequency(documents, "doc_id", "text").groupBy(ticket.token_weight(F.col("df")).cast("double").alias("weight")).agg(F.count("*").alias("n"))
+
+
+@on_table("conversations", f"SELECT conv_id, turn, workflow, score FROM ({_SIGNALS}) WHERE score > 0")
+def workflow_scores(conversations):
+    rows = conversations.withColumn("key", F.struct("conv_id", "turn"))
+    return ticket.workflow_scores(rows, "key", "text").select("key.conv_id", "key.turn", "workflow", "score")
+
+
+@on_table("pages", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+def page_links(pages):
+    return scan.links(pages)
+
+
+@on_table("pages", "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag FROM pages) GROUP BY 1, 2")
+def template_tags(pages):
+    return scan.tags(pages)
+
+
+@on_graph("SELECT id, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace(id, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1))) AS word FROM nodes")
+def keyword_split(nodes, edges):
+    return nodes.select("id", F.explode(scan.keywords(F.col("id"))).alias("word"))
+
+
+@on_graph("""SELECT id, CAST(CASE WHEN contains(h, 'n1') THEN 1 ELSE 0 END + CASE WHEN contains(h, 'service') THEN 1 ELSE 0 END AS INTEGER) AS hits FROM (SELECT id, lower(concat_ws(' ', id, name, file, parent)) AS h FROM nodes) WHERE contains(h, 'n1') OR contains(h, 'service')""")
+def haystack_match(nodes, edges):
+    return ticket.mentions(nodes, ["n1", "service"])
+
+
+@on_graph(f""", s AS (SELECT {_METHOD} AS id), n AS (SELECT to_id AS id FROM edges JOIN s ON from_id = s.id UNION SELECT from_id FROM edges JOIN s ON to_id = s.id) SELECT id, 120 AS boost FROM n WHERE id NOT IN (SELECT id FROM s)""")
+def proximity_boost(nodes, edges):
+    return ticket.proximity(edges, nodes.where("type = 'method'").where(F.col("id").contains("Services")).agg(F.min("id").alias("id")))
+
+
+@on_graph("""SELECT c.parent AS client, 'api:GET:/orders/' || r.k AS endpoint, e.to_id AS handler, CASE WHEN e.to_id IS NULL THEN 'no route' END AS gap FROM (SELECT parent FROM nodes WHERE type = 'method' AND name IN ('c1', 'c2')) c
+CROSS JOIN (SELECT unnest(['1/O', 'none']) AS k) r LEFT JOIN edges e ON e.type = 'ROUTES_TO' AND e.from_id = 'api:GET:/orders/' || r.k""")
+def flow_paths(nodes, edges):
+    ends = F.explode(F.array(F.lit("api:GET:/orders/1/O"), F.lit("api:GET:/orders/none")))
+    requests = nodes.where("type = 'method' and name in ('c1', 'c2')").select(F.col("parent").alias("from_id"), ends.alias("to_id"), F.lit("HTTP_REQUEST").alias("type"))
+    return ticket.flow_paths(edges.select("from_id", "to_id", "type").unionByName(requests)).select("client", "endpoint", "handler", "gap")
+
+
+def _ticket_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that each user turn of the conversations speaks about."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    return ticket.rank(graph(spark, sf_dir).nodes, turns.withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "text")
+
+
+QUERIES["ticket_rank"] = _ticket_rank
+
+
+@on_graph("SELECT id, count(*) AS n FROM (SELECT id FROM nodes WHERE type = 'method' UNION SELECT id FROM nodes WHERE type <> 'method') GROUP BY id")
+def merge_insert_if_absent(nodes, edges):
+    merged = store.merge_absent(store.Graph(nodes.where("type = 'method'"), edges), store.Graph(nodes, edges))
+    return merged.nodes.groupBy("id").agg(F.count("*").alias("n"))
+
+
+@on_table("events", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def edge_last_write_wins(events):
+    return store.last_write_wins(events.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
