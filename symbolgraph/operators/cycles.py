@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolgraph.functions.graph import calls
+from symbolgraph.functions.lineage import cut
 
 
 def adjacency(edges: DataFrame, resolved: bool = False, dependencies: bool = False) -> DataFrame:
@@ -13,10 +14,17 @@ def adjacency(edges: DataFrame, resolved: bool = False, dependencies: bool = Fal
     return kept.select("from_id", "to_id").distinct()
 
 
-def trim(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Without nodes that have no edge in or none out: they're on no cycle."""
+def trim(pairs: DataFrame, rounds: int = 12) -> DataFrame:
+    """Without nodes that have no edge in or none out, as they're on no cycle; again while that leaves others so."""
+    pairs = cut(pairs)
+    before = pairs.count()
     for _ in range(rounds):
         pairs = pairs.join(pairs.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(pairs.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id")
+        pairs = cut(pairs)
+        now = pairs.count()
+        if now == before:
+            break
+        before = now
     return pairs
 
 
@@ -38,6 +46,7 @@ def simple_cycles(pairs: DataFrame, most: int = 12, start: str | None = None) ->
         closed = done if closed is None else closed.unionByName(done)
         beyond = F.lit(True) if start is not None else F.col("to_id") > F.col("first")
         paths = step.where(beyond & ~F.array_contains("path", F.col("to_id"))).select(F.concat("path", F.array("to_id")).alias("path"))
+        paths = cut(paths)
         if paths.isEmpty():
             break
     return closed.select("nodes", (F.size("nodes") - 1).alias("length"))

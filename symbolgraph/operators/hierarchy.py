@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symbolgraph.functions.lineage import cut
+
 MOST_LEVELS = 32
 
 
@@ -14,12 +16,14 @@ def closure(edges: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     Depth doubles with every join, so a tree of depth d takes log d joins.
     """
     step = edges.where("type = 'EXTENDS' and from_id <> to_id").select(F.col("from_id").alias("child"), F.col("to_id").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    found, reach = step, 1
+    found, reach = cut(step), 1
     while reach < levels:
         longer = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.child")).where("a.child <> b.ancestor")
         longer = longer.select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        found = found.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
-        reach *= 2
+        longer = cut(found.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        grown, found, reach = longer.count() > found.count(), longer, reach * 2
+        if not grown:
+            break
     return found
 
 

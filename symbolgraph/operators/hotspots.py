@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolgraph.functions.graph import calls, round2, usages
+from symbolgraph.functions.lineage import cut
 from symbolgraph.operators import impact
 
 
@@ -44,6 +45,7 @@ def risk_ranking(nodes: DataFrame, edges: DataFrame, limit: int = 20, pool: int
     pool = pool or max(20 * limit, 100)
     lists = [methods(nodes, edges, pool).select("id", "score"), classes(nodes, edges, pool).select("id", "score"), fan_out(nodes, edges, pool).select("id", F.col("outgoing").alias("score"))]
     candidates = lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy("id").agg(F.max("score").alias("hotspot"))
+    candidates = cut(candidates)
     found = impact.report(nodes, impact.impact_edges(edges), candidates.select(F.col("id").alias("seed")), depth).select(F.col("seed").alias("id"), F.col("score").alias("impact"), "risk")
     ranked = candidates.join(found, "id").withColumn("combined", round2(3 * F.col("impact") + F.col("hotspot")))
     order = Window.orderBy(F.expr("array_position(array('CRITICAL', 'HIGH', 'MEDIUM', 'LOW'), risk)"), F.desc("combined"), F.desc("hotspot"), "id")

@@ -11,6 +11,7 @@ from symbolgraph.functions.graph import LAYERS, short_label
 from symbolgraph.operators import architecture, cycles, deadcode, hierarchy, hotspots, impact, navigation, resolve, search, ticket
 from symbolgraph.plans.projection import SQL, event_pairs, graph
 from symbolgraph.sources import scan, store
+from symbolgraph.sources.store import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +20,19 @@ SERVICE = "App\\Services\\N1Service"
 CONTROLLER = "App\\Http\\Controllers\\N1Controller"
 
 
+_GRAPHS: dict[tuple[str, str], Graph] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projection of a folder of tables, built once a session and kept in memory and on disk, as a loaded graph is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        g = graph(spark, sf_dir)
+        g.nodes, g.edges = g.nodes.persist(), g.edges.persist()
+        _GRAPHS[key] = g
+    return _GRAPHS[key]
+
+
 def query(sql: str, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
@@ -33,7 +47,7 @@ def on_graph(sql: str, recursive: bool = False):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            g = graph(spark, sf_dir)
+            g = stored_graph(spark, sf_dir)
             return f(g.nodes, g.edges)
 
         run.__name__ = f.__name__
@@ -409,7 +423,7 @@ def flow_paths(nodes, edges):
 def _ticket_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes that each user turn of the conversations speaks about."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
-    return ticket.rank(graph(spark, sf_dir).nodes, turns.withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "text")
+    return ticket.rank(stored_graph(spark, sf_dir).nodes, turns.withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "text")
 
 
 QUERIES["ticket_rank"] = _ticket_rank
