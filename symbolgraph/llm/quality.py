@@ -2,7 +2,7 @@
 
 Bytes are embedded, filters of WIDTH bytes run over overlapping chunks that together cover the whole text,
 each filter's activation is max-pooled over its chunk, and the mean of the pooled vectors over all chunks,
-with how much of a chunk a short text leaves empty, gives one probability through a logistic layer. As an embedding followed by a filter is a table of 256 rows
+with how short the text is, gives one probability through a logistic layer. As an embedding followed by a filter is a table of 256 rows
 for each of the filter's places, scoring adds WIDTH table rows at each byte.
 
 Training reads at most `max_rows` labelled rows (a hash of the id chooses them) and at most `max_chunks`
@@ -28,6 +28,7 @@ from .common import bounded_share, bucket, hash_share, utf8
 WIDTH = 5
 EMBEDDED = 6
 FILTERS = 16
+GAPS = 3
 CHUNK = 1024
 STEP = 1008
 EPOCHS = 10
@@ -53,9 +54,9 @@ def chunks(text: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(a, CHUNK)[starts]
 
 
-def gap(length: int) -> float:
-    """The share of a chunk that a text of so many bytes leaves empty."""
-    return max(0.0, 1 - length / CHUNK)
+def gaps(length: int) -> np.ndarray:
+    """How much a text of so many bytes leaves empty of a chunk, of a paragraph and of a line."""
+    return np.array([max(0.0, 1 - length / CHUNK), *(np.exp(-length / n) if length < CHUNK else 0.0 for n in (256, 64))])
 
 
 @dataclass
@@ -82,7 +83,7 @@ class Model:
         total = np.zeros(len(self.bias))
         for at in range(0, len(rows), PIECE):
             total += self.pooled(rows[at : at + PIECE]).sum(axis=0)
-        z = float(total @ self.weights[:-1]) / len(rows) + self.weights[-1] * gap(rows.shape[1]) + self.offset
+        z = float(total @ self.weights[:-GAPS]) / len(rows) + float(gaps(rows.shape[1]) @ self.weights[-GAPS:]) + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -93,12 +94,12 @@ def fit(samples: list[list[bytes]], labels: np.ndarray) -> Model:
         "embed": rng.normal(0, 0.5, (256, EMBEDDED)),
         "filters": rng.normal(0, 1 / np.sqrt(WIDTH * EMBEDDED), (WIDTH * EMBEDDED, FILTERS)),
         "bias": np.zeros(FILTERS),
-        "weights": rng.normal(0, 0.1, FILTERS + 1),
+        "weights": rng.normal(0, 0.1, FILTERS + GAPS),
         "offset": np.zeros(1),
     }
     par = {k: v.astype(np.float32) for k, v in par.items()}
     if not len(labels):
-        return Model(np.zeros((WIDTH, 256, FILTERS), np.int16), 1.0, par["bias"], np.zeros(FILTERS + 1), 0.0)
+        return Model(np.zeros((WIDTH, 256, FILTERS), np.int16), 1.0, par["bias"], np.zeros(FILTERS + GAPS), 0.0)
     rate = np.clip(labels.mean(), 0.02, 0.98)
     par["offset"][0] = np.log(rate / (1 - rate))
     first, second, step = {k: np.zeros_like(v) for k, v in par.items()}, {k: np.zeros_like(v) for k, v in par.items()}, 0
@@ -124,10 +125,10 @@ def fit(samples: list[list[bytes]], labels: np.ndarray) -> Model:
             pool = np.maximum(top, 0)
             mean = np.zeros((len(take), FILTERS), np.float32)
             np.add.at(mean, owner, pool * share)
-            mean = np.hstack((mean, np.array([[gap(len(samples[i][0]))] for i in take], np.float32)))
+            mean = np.hstack((mean, np.array([gaps(len(samples[i][0])) for i in take], np.float32)))
             z = mean @ par["weights"] + par["offset"]
             wrong = (1 / (1 + np.exp(-z)) - labels[take]).astype(np.float32) / len(take)
-            back = (wrong[owner][:, None] * share) * par["weights"][:-1] * (top > 0)  # chunk x filter
+            back = (wrong[owner][:, None] * share) * par["weights"][:-GAPS] * (top > 0)  # chunk x filter
             grad = {"weights": mean.T @ wrong + 1e-4 * par["weights"], "offset": wrong.sum(keepdims=True), "bias": back.sum(axis=0), "embed": np.zeros_like(par["embed"]), "filters": np.zeros((WIDTH, EMBEDDED, FILTERS), np.float32)}
             filters = par["filters"].reshape(WIDTH, EMBEDDED, FILTERS)
             for j in range(WIDTH):
