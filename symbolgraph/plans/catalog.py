@@ -438,3 +438,85 @@ def merge_insert_if_absent(nodes, edges):
 @on_table("events", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def edge_last_write_wins(events):
     return store.last_write_wins(events.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+# --- derived edges, over small graphs made of the tables
+
+_CLASSES = """h AS (SELECT 'N' || n_nationkey AS cls, 'N' || (n_nationkey // 2) AS base, n_nationkey AS k FROM nation),
+up AS (SELECT cls AS child, base AS ancestor, 1 AS depth FROM h WHERE k > 0 UNION ALL SELECT u.child, h.base, depth + 1 FROM up u JOIN h ON h.cls = u.ancestor AND h.k > 0 WHERE depth < 8),
+m AS (SELECT cls || '::all' AS id, cls, 'all' AS name, k < 2 AS abstract FROM h UNION ALL SELECT cls || '::m' || k % 3, cls, 'm' || k % 3, false FROM h),
+c AS (SELECT 'App::run' || k AS caller, cls || '::all' AS target FROM h WHERE k < 6)"""
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("N"), "n_nationkey").alias("cls"))
+    method = lambda name, abstract: k.select(F.concat_ws("::", "cls", name).alias("id"), F.col("cls").alias("parent"), F.lit("method").alias("type"), name.alias("name"), abstract.alias("is_abstract"))
+    nodes = method(F.lit("all"), F.col("k") < 2).unionByName(method(F.concat(F.lit("m"), F.col("k") % 3), F.lit(False)))
+    none = F.lit(None).cast("string").alias("call_type")
+    extends = k.where("k > 0").select(F.col("cls").alias("from_id"), F.concat(F.lit("N"), F.floor(F.col("k") / 2)).alias("to_id"), F.lit("EXTENDS").alias("type"), none)
+    calls = k.where("k < 6").select(F.concat(F.lit("App::run"), "k").alias("from_id"), F.concat("cls", F.lit("::all")).alias("to_id"), F.lit("CALLS").alias("type"), none)
+    return nodes, extends.unionByName(calls)
+
+
+def _derived(kind: str, abstract: str) -> str:
+    return f"WITH RECURSIVE {_CLASSES} SELECT DISTINCT c.caller AS from_id, t.id AS to_id, c.target AS via, '{kind}' AS call_type FROM c JOIN m s ON s.id = c.target AND {abstract} JOIN up ON up.ancestor = s.cls JOIN m t ON t.cls = up.child AND t.name = s.name AND NOT t.abstract"
+
+
+@query(_derived("OVERRIDE_RESOLVED", "NOT s.abstract"))
+def override_resolved(spark, sf_dir):
+    return resolve.override_calls(*_classes(spark, sf_dir))
+
+
+@query(_derived("EXTENDS_RESOLVED", "s.abstract"))
+def extends_resolved(spark, sf_dir):
+    return resolve.extends_calls(*_classes(spark, sf_dir))
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return line.select(F.concat(F.lit("s"), "l_suppkey").alias("from_id"), F.concat(F.lit("p"), "l_partkey").alias("to_id"), F.lit("FLOWS_TO").alias("type"), F.col("l_linenumber").alias("argument_index"), F.col("l_returnflag").alias("via"))
+
+
+@query("""WITH f AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, l_linenumber AS i, l_returnflag AS via FROM lineitem), h AS (SELECT 'p' || p_partkey AS p, 'p' || p_partkey || '::$' || i AS par, i FROM part, (SELECT unnest([1, 2, 3]) AS i))
+SELECT s AS from_id, par AS to_id, CAST(f.i AS INTEGER) AS argument_index, min(via) AS via FROM f JOIN h ON f.p = h.p AND f.i = h.i GROUP BY 1, 2, 3""")
+def argument_edges(spark, sf_dir):
+    method = F.concat(F.lit("p"), "p_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(method.alias("from_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("argument_index"))
+    has = part.select("from_id", F.concat("from_id", F.lit("::$"), "argument_index").alias("to_id"), F.lit("HAS_PARAMETER").alias("type"), "argument_index", F.lit(None).cast("string").alias("via"))
+    return resolve.argument_edges(_flows(spark, sf_dir).unionByName(has))
+
+
+@query("""WITH f AS (SELECT 's' || l_suppkey || 'o' || l_orderkey % 500 AS s, l_linenumber AS i, l_returnflag AS via FROM lineitem), a AS (SELECT s, via FROM f WHERE i = 1)
+SELECT type, count(*) AS n FROM (SELECT 'ARGUMENT_TO' AS type FROM a UNION ALL SELECT 'FLOWS_TO' FROM f WHERE i <> 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.s = f.s AND a.via = f.via)) GROUP BY type""")
+def field_flow_filter(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    source = F.concat(F.lit("s"), "l_suppkey", F.lit("o"), F.col("l_orderkey") % 500)
+    flows = line.select(source.alias("from_id"), F.concat(F.lit("p"), "l_partkey").alias("to_id"), F.col("l_linenumber").alias("argument_index"), F.col("l_returnflag").alias("via"))
+    kinds = flows.withColumn("type", F.when(F.col("argument_index") == 1, "ARGUMENT_TO").otherwise("FLOWS_TO"))
+    return navigation.field_flow(kinds).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT 'm' || o_custkey AS m, 'request_field:' || o_orderpriority AS f FROM orders), a AS (SELECT 'request_field:' || p AS f, '$' || p AS v FROM (SELECT DISTINCT o_orderpriority AS p FROM orders) WHERE p < '3')
+SELECT f AS from_id, v AS to_id, 'ASSIGNS' AS type FROM a UNION ALL SELECT m, f, 'READS_FIELD' FROM r WHERE f NOT IN (SELECT f FROM a)""")
+def field_intake_filter(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    field = F.concat(F.lit("request_field:"), "o_orderpriority")
+    reads = orders.select(F.concat(F.lit("m"), "o_custkey").alias("from_id"), field.alias("to_id"), F.lit("READS_FIELD").alias("type")).distinct()
+    assigns = orders.where("o_orderpriority < '3'").select(field.alias("from_id"), F.concat(F.lit("$"), "o_orderpriority").alias("to_id"), F.lit("ASSIGNS").alias("type")).distinct()
+    return navigation.field_intake(reads.unionByName(assigns))
+
+
+@on_graph("SELECT DISTINCT 'v' || c_nationkey AS from_id, n.id AS to_id FROM customer c JOIN nodes n ON n.type = 'method' AND n.visibility = 'public' AND lower(n.name) = 'c' || c.c_custkey")
+def blade_calls(nodes, edges):
+    views = nodes.where("type = 'method'").where(F.col("id").contains("Controllers"))
+    nation = F.regexp_extract("parent", r"N(\d+)Controller", 1)
+    refs = views.select(F.concat(F.lit("v"), nation).alias("from_id"), F.concat(F.lit("blade_method_ref:"), F.upper("name")).alias("to_id"), F.lit("BLADE_METHOD_CALL").alias("type"))
+    return resolve.view_calls(nodes, refs)
+
+
+@on_graph("""SELECT 'api:GET:orders/' || split_part(id, '/', 3) || '/{x}' AS from_id, min(id) OVER (PARTITION BY split_part(id, '/', 3)) AS to_id FROM nodes WHERE false
+UNION ALL SELECT replace(id, ':/orders', ':api/orders') || '/', id FROM nodes WHERE type = 'api_endpoint'""")
+def endpoint_merge(nodes, edges):
+    ends = nodes.where("type = 'api_endpoint'").select("id", "type")
+    named = ends.select(F.concat(F.replace("id", F.lit(":/orders"), F.lit(":api/orders")), F.lit("/")).alias("id"), "type")
+    return resolve.link_endpoints(ends.unionByName(named))
