@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the openings of words, letters folded. Those that the labels of the training rows speak
-about (a chi-squared test, `LEAST_CHI2`) make up the vocabulary; their document frequencies are counted over all
+about (a chi-squared test, `LEAST_CHI2`, and a share of toxic rows, `LEAST_SHARE`) make up the vocabulary; their document frequencies are counted over all
 rows. Labelled examples with equal vectors are one example that remembers how many rows, and how many toxic ones,
 it stands for. The index lists each term's examples with their weights in blocks of `BLOCK` examples and the
 largest weight in each block. A search bounds every block's cosine by these, scores blocks in falling order of
@@ -32,9 +32,15 @@ from pyspark.sql import functions as F
 from .common import bounded_share, bucket, hash_share
 
 NEAREST = 15
-BLOCK = 64
+BLOCK = 32
+#: Blocks that a search scores at first; then four times as many.
+BATCH = 8
+#: Scores that a task remembers, as many texts have few terms.
+REMEMBERED = 50_000
 LEAST_ROWS = 4
 LEAST_CHI2 = 30.0
+#: Of a term's rows so many are toxic at least; common words with a slight leaning say nothing of a text.
+LEAST_SHARE = 0.4
 MOST_TERMS = 8192
 OPENINGS = (4, 5, 6)
 MAX_ROWS = 20_000
@@ -99,7 +105,8 @@ class Model:
     rows: np.ndarray  # of each example, rows and toxic rows
     toxic: np.ndarray
     ids: np.ndarray  # the smallest id of each example's rows
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # of each term and block: examples and weights
+    places: np.ndarray  # term x block: which row of the term's weights the block has, or -1
+    weights: list[np.ndarray]  # of each term: a row for each block that holds it, a weight for each of the block's examples
     bounds: np.ndarray  # term x block: the largest weight
     empty: float
     votes: np.ndarray
@@ -114,22 +121,28 @@ class Model:
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, and their cosines."""
         bound = w @ self.bounds[at]
-        found, score, least = [], [], 0.0
-        n = 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or n >= k and bound[b] < least - 1e-12:
-                break
-            total = np.zeros(BLOCK)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, score, least, n = [], [], 0.0, 0
+        first, step = 0, BATCH
+        while first < len(order):
+            blocks = order[first : first + step]
+            if n >= k:
+                blocks = blocks[bound[blocks] >= least - 1e-12]
+                if not len(blocks):
+                    break
+            total = np.zeros((len(blocks), BLOCK))
             for t, x in zip(at, w):
-                if b in self.postings[t]:
-                    examples, weights = self.postings[t][b]
-                    total[examples] += x * weights
-            hit = np.flatnonzero(total > 0)
-            found.append(hit + b * BLOCK)
-            score.append(total[hit])
-            n += len(hit)
+                rows = self.places[t][blocks]
+                held = rows >= 0
+                total[held] += x * self.weights[t][rows[held]]
+            block, inside = np.nonzero(total > 0)
+            found.append(blocks[block] * BLOCK + inside)
+            score.append(total[block, inside])
+            n += len(block)
             if n >= k:
                 least = np.partition(np.concatenate(score), n - k)[n - k]
+            first, step = first + step, step * 4
         if not found:
             return np.empty(0, np.intp), np.empty(0)
         found, score = np.concatenate(found), np.concatenate(score)
@@ -155,7 +168,10 @@ class Model:
         return (float(weight @ share / total) if total > 0 else None), [(int(self.ids[i]), float(s)) for i, s in zip(found, score)]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        vote, evidence = self.vote(self.vocabulary.counts(text))
+        return self.score_counts(self.vocabulary.counts(text))
+
+    def score_counts(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
+        vote, evidence = self.vote(counts)
         if vote is None:
             return self.empty, evidence
         return float(np.interp(vote, self.votes, self.shares)), evidence
@@ -172,16 +188,26 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
     # Examples that share their rarest term lie together, so that blocks differ in their bounds.
     keys = sorted(groups, key=lambda key: (max((idf[t], t) for t, _ in key), key))
     n = len(keys)
-    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), [{} for _ in idf], np.zeros((len(idf), -(-n // BLOCK))), (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), np.full((len(idf), -(-n // BLOCK)), -1, np.int32), [], np.zeros((len(idf), -(-n // BLOCK))), (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in idf]
     for i, key in enumerate(keys):
         at, w = model.vector(dict(key))
         for t, x in zip(at, w):
             lists[t].setdefault(i // BLOCK, []).append((i % BLOCK, x))
             model.bounds[t, i // BLOCK] = max(model.bounds[t, i // BLOCK], x)
-    model.postings = [{b: (np.array([i for i, _ in p], np.intp), np.array([x for _, x in p])) for b, p in blocks.items()} for blocks in lists]
+    for t, blocks in enumerate(lists):
+        dense = np.zeros((len(blocks), BLOCK), np.float64)
+        for row, (b, postings) in enumerate(sorted(blocks.items())):
+            model.places[t, b] = row
+            for i, x in postings:
+                dense[row, i] = x
+        model.weights.append(dense)
     # Calibration: pool adjacent violators over the training rows' votes.
-    measured = sorted((v, label) for _, label, key in vectors if key for v in [model.vote(dict(key), own=label)[0]] if v is not None)
+    alike: dict[tuple, int] = {}
+    for _, label, key in vectors:
+        if key:
+            alike[key, label] = alike.get((key, label), 0) + 1
+    measured = sorted(x for (key, label), n in alike.items() for v in [model.vote(dict(key), own=label)[0]] if v is not None for x in [(v, label)] * n)
     pools: list[list[float]] = []
     for part in np.array_split(np.array(measured), min(BINS, max(1, len(measured) // 10))) if measured else []:
         pools.append([part[:, 0].sum(), part[:, 1].sum(), len(part)])
@@ -217,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # chi-squared of the 2 x 2 table of term and label
     a, n, m, k = F.col("toxic").cast("double"), F.col("n").cast("double"), float(total.n), float(total.toxic)
     chi2 = m * F.pow(a * (m - n - k + a) - (n - a) * (k - a), 2) / (n * (m - n + 1) * k * (m - k))
-    told = by_term.where((F.col("n") >= LEAST_ROWS) & (chi2 >= LEAST_CHI2) & (a * m > n * k)).select("term", chi2.alias("chi2")).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
+    told = by_term.where((F.col("n") >= LEAST_ROWS) & (chi2 >= LEAST_CHI2) & (a * m > n * k) & (a >= LEAST_SHARE * n)).select("term", chi2.alias("chi2")).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
     vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(r.term for r in told.collect()))})  # MOST_TERMS at most
     size = len(vocabulary.places)
 
@@ -250,9 +276,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_column(text: Column | str, model: Model) -> Column:
     """struct<score, evidence> of a text column; evidence is the nearest examples' ids and cosines."""
 
+    remembered: dict[tuple, tuple[float, list]] = {}
+
     @F.arrow_udf("struct<score:double,evidence:array<struct<id:long,cosine:double>>>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [model.score(t) for t in texts.to_pylist()]
+        found = []
+        for t in texts.to_pylist():
+            counts = model.vocabulary.counts(t)
+            key = tuple(sorted(counts.items()))
+            known = remembered.get(key)
+            if known is None:
+                known = model.score_counts(counts)
+                if len(remembered) < REMEMBERED:
+                    remembered[key] = known
+            found.append(known)
         evidence = pa.array([[dict(id=i, cosine=c) for i, c in e] for _, e in found], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
         return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), evidence], names=["score", "evidence"])
 
