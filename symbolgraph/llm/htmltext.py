@@ -1,15 +1,16 @@
-"""Main text of web pages: the structure of the page, then nearest-URL page differencing.
+"""Main text of web pages by nearest-URL page differencing, with the structure of the page as a prior.
 
-A page is read as lines, one for each block of text. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms, comments and the like, by element or by the words of class, id and role, are dropped. If the page marks
-its article (article, main, or the like), the lines inside it are the text: an article's lines stay even when
-another page repeats them. Other pages are told apart from their template by differencing: within each host, pages are
-ordered by path; a page is paired with the neighbour that shares more of its path; the lines of both are
-aligned by longest common subsequence, and the shared ones are deleted. A neighbour that has the very same lines
-is a copy and shows nothing about the template, so the nearest one before it that differs is used.
+A page is read as lines, one for each block of text. Within each host, pages are ordered by path; every page is paired
+with the neighbour that shares more of its path; all lines of both are aligned by longest common subsequence, and the
+shared ones are deleted. A neighbour whose text is the very same is a copy and shows nothing about the template, so the
+nearest one before it that differs is used.
+
+The prior takes away what differs from page to page and isn't text all the same: lines inside menus, headers, footers,
+sidebars, notices, adverts, forms, comments and the like, by element or by the words of class, id and role; and lines
+outside the article, if the page marks one (article, main, or the like). These lines take part in the alignment, too.
 
 Pages of a host, hot or not, are dealt into ranges of path; the rows at the ends of a range go to the next range
-too, so that every page meets its true neighbours whatever the number of ranges. Only lines outside articles are moved.
+too, so that every page meets its true neighbours whatever the number of ranges.
 
 Defined results: null and empty html give an empty text; a null url counts as host and path empty; a page alone in
 its host, or among copies only, keeps all lines; repeated rows are each judged; ties between neighbours go to the
@@ -72,23 +73,24 @@ def _role(tag: str, attributes: str, inside: bool) -> str:
     return ""
 
 
-def lines(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks its article, and the lines: the article's, or else all that no element drops."""
+def all_lines(page: str | None) -> tuple[bool, list[str], list[bool]]:
+    """Whether the page marks its article, all lines of the page, and which the prior keeps: the article's, or else all
+    that no element drops."""
     page = page or ""
-    main: list[str] = []
-    other: list[str] = []
+    found: list[tuple[str, str]] = []  # lines, and `main`, `drop` or `` for where they were
     piece: list[str] = []
+    dropped: list[str] = []
     open_: list[tuple[str, str]] = []  # the regions that are open
     drop = inside = 0
     marked = False
     at = 0
 
-    def end() -> None:
-        if piece:
-            text = _SPACE.sub(" ", html.unescape("".join(piece)).replace("​", "")).strip()
-            piece.clear()
+    def end(pieces: list[str], where: str) -> None:
+        if pieces:
+            text = _SPACE.sub(" ", html.unescape("".join(pieces)).replace("​", "")).strip()
+            pieces.clear()
             if text:
-                (main if inside else other).append(text)
+                found.append((text, where))
 
     def leave(k: int) -> None:
         nonlocal drop, inside
@@ -96,15 +98,16 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
             drop -= role == "drop"
             inside -= role == "main"
         del open_[k:]
+        if not drop:
+            end(dropped, "drop")
 
     while True:
         m = _TAG.search(page, at)
         if m is None:
-            if not drop:
-                piece.append(page[at:])
+            (dropped if drop else piece).append(page[at:])
             break
-        if m.start() > at and not drop:
-            piece.append(page[at : m.start()])
+        if m.start() > at:
+            (dropped if drop else piece).append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -117,9 +120,11 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
             continue
         if tag not in _INLINE:
             if tag == "br":
-                piece.append(" ")
-            elif not drop:
-                end()
+                (dropped if drop else piece).append(" ")
+            elif drop:
+                end(dropped, "drop")
+            else:
+                end(piece, "main" if inside else "")
         if tag not in _REGION or tag in _VOID:
             continue
         if closing:
@@ -137,14 +142,27 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
         drop += role == "drop"
         inside += role == "main"
         marked |= role == "main" and not drop
+    end(dropped, "drop")
     if not drop:
-        end()
-    return (True, main) if marked and main else (False, other)
+        end(piece, "main" if inside else "")
+    marked = marked and any(where == "main" for _, where in found)
+    return marked, [line for line, _ in found], [where == ("main" if marked else "") for _, where in found]
+
+
+def lines(page: str | None) -> tuple[bool, list[str]]:
+    """Whether the page marks its article, and the lines that the prior keeps."""
+    marked, every, kept = all_lines(page)
+    return marked, [line for line, k in zip(every, kept) if k]
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     """Which lines of a are in the longest common subsequence of a and b (bit-parallel, whole rows kept for the way back)."""
-    shared = [False] * len(a)
+    of_b, shared = set(b), [False] * len(a)
+    # Lines that the other page lacks are in no common subsequence.
+    at = [i for i, line in enumerate(a) if line in of_b]
+    a = [a[i] for i in at]
+    of_a = set(a)
+    b = [line for line in b if line in of_a]
     masks: dict[str, int] = {}
     for j, line in enumerate(b):
         masks[line] = masks.get(line, 0) | 1 << j
@@ -162,7 +180,7 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
             continue
         while rows[i] >> (j - 1) & 1:
             j -= 1
-        shared[i - 1] = True
+        shared[at[i - 1]] = True
         i, j = i - 1, j - 1
     return shared
 
@@ -183,13 +201,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _key(F.col(url_col), F.col(id_col)).alias("key"), F.col(html_col).alias("html"))
     id_type = dict(pages.dtypes)[id_col]
 
-    @F.arrow_udf("struct<marked:boolean,lines:array<string>>")
+    @F.arrow_udf("struct<lines:array<string>,kept:array<boolean>>")
     def read(htmls: pa.Array) -> pa.Array:
-        found = [lines(h) for h in htmls.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=["marked", "lines"])
+        found = [all_lines(h) for h in htmls.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.list_(pa.bool_()))], names=["lines", "kept"])
 
-    parsed = rows.select("id", "url", "key", read("html").alias("r")).select("id", "url", "key", "r.marked", "r.lines")
-    articles = parsed.where("marked").select("id", "url", F.array_join("lines", " ").alias("text"), F.lit(0).alias("n_shared"))
+    parsed = rows.select("id", "url", "key", read("html").alias("r")).select("id", "url", "key", "r.lines", "r.kept")
 
     # The ranges: bounds from a sample, then the true first and last key of each range.
     count = rows.count()
@@ -212,12 +229,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         own = [bisect.bisect_right(bounds, k.encode()) for k in keys.to_pylist()]
         return pa.array([[p, *sorted(also.get(k, ()))] for p, k in zip(own, keys.to_pylist())], pa.list_(pa.int32()))
 
-    dealt = parsed.select("id", "url", "key", "marked", F.when(F.col("marked"), F.array().cast("array<string>")).otherwise(F.col("lines")).alias("lines"), F.posexplode(parts_of("key")).alias("guest", "part"))
-    # Pages with an article have no lines that say anything about the template of others without one.
-    dealt = dealt.where("not marked").repartition(max(1, len(ends)), "part").sortWithinPartitions("part", "key")
+    dealt = parsed.select("id", "url", "key", "lines", "kept", F.posexplode(parts_of("key")).alias("guest", "part"))
+    dealt = dealt.repartition(max(1, len(ends)), "part").sortWithinPartitions("part", "key")
 
     def difference(batches):
-        before = None  # (part, host, path, lines) of the nearest row before that differs from the one at hand
+        before = None  # the nearest row before whose text differs from that of the one at hand
         held = None  # the row whose next isn't known yet, and its neighbour before
         out: list[tuple] = []
 
@@ -228,8 +244,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if mate is not None and mate[:2] == row[:2] and mate[3] != row[3] and (n := _common_prefix(mate[2], row[2])) > most:
                     best, most = mate, n
             if not row[4]:
-                marks = shared_lines(row[3], best[3]) if best else [False] * len(row[3])
-                out.append((row[5], row[6], " ".join(x for x, s in zip(row[3], marks) if not s), sum(marks)))
+                every, kept = row[7], row[8]
+                marks = shared_lines(every, best[7]) if best else [False] * len(every)
+                out.append((row[5], row[6], " ".join(x for x, k, s in zip(every, kept, marks) if k and not s), sum(k and s for k, s in zip(kept, marks))))
 
         def flush():
             batch = pa.record_batch([pa.array([o[0] for o in out], id_kind), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string()), pa.array([o[3] for o in out], pa.int32())], names=["id", "url", "text", "n_shared"])
@@ -241,7 +258,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             id_kind = batch.schema.field("id").type
             for r in batch.to_pylist():
                 host, path, _ = r["key"].split("\x01", 2)
-                row = (r["part"], host, path, r["lines"], r["guest"] > 0, r["id"], r["url"])
+                text = [x for x, k in zip(r["lines"], r["kept"]) if k]
+                row = (r["part"], host, path, text, r["guest"] > 0, r["id"], r["url"], r["lines"], r["kept"])
                 if held:
                     settle(row)
                     if held[0][:2] != row[:2]:
@@ -256,5 +274,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if out:
             yield flush()
 
-    others = dealt.select("id", "url", "key", "lines", "guest", "part").mapInArrow(difference, f"id {id_type}, url string, text string, n_shared int")
-    return articles.unionByName(others).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
+    found = dealt.select("id", "url", "key", "lines", "kept", "guest", "part").mapInArrow(difference, f"id {id_type}, url string, text string, n_shared int")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")

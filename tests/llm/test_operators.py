@@ -227,6 +227,19 @@ def test_pages_without_articles_lose_what_their_neighbours_share(spark):
     assert htmltext.extract(frame.limit(0)).count() == 0
 
 
+def test_pages_with_articles_lose_what_their_neighbours_share(spark):
+    template = "<nav>menu</nav><p>outside</p><article><h1>Title {0}</h1><p>notice to all</p><p>text {0}</p></article>"
+    rows = [(i, f"http://h.com/p/{i}", template.format(i)) for i in range(40)]
+    # A marked page is the neighbour of one that marks nothing, and the other way round.
+    rows += [(50, "http://m.com/a/1", template.format(50)), (51, "http://m.com/a/2", "<div>menu</div><div>notice to all</div><div>plain</div>"), (60, "http://alone.com/", template.format(60))]
+    got = {r.page_id: r for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in (*range(40), 50):
+        assert got[i].text == f"Title {i} text {i}" and got[i].n_shared == 1, got[i]
+    assert got[51].text == "plain" and got[51].n_shared == 2
+    assert got[60].text == "Title 60 notice to all text 60" and got[60].n_shared == 0
+
+
 # --- mixing
 
 
