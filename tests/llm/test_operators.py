@@ -472,3 +472,26 @@ def test_decontamination_equals_brute_force(spark):
     kept = decontam.clean(frame, bench)
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {d for d, *_ in want} and kept.columns == frame.columns
     assert decontam.clean(frame, bench.limit(0)).count() == len(rows) and decontam.contaminated(frame.limit(0), bench).count() == 0
+
+
+def test_many_least_edits_are_those_of_one():
+    rng = np.random.default_rng(10)
+    pairs = [tuple("".join(rng.choice(list("abcé"), rng.integers(a, b))) for a, b in ((1, 200), (0, 300))) for _ in range(150)]
+    assert decontam.least_edits_of(pairs) == [decontam.least_edits(*p) for p in pairs]
+
+
+def test_decontamination_finds_the_edits_that_its_similarity_allows():
+    rng = np.random.default_rng(12)
+    letters = list("etaoinshrdlucmfwyp")
+    say = lambda n: " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(n))
+    items = [say(n) for n in (9, 12, 30, 60) for _ in range(50)] + ["".join(rng.choice(letters, 60)) for _ in range(20)]
+    index = decontam.Index([(i, t.encode()) for i, t in enumerate(items)])
+    for even in (True, False):
+        texts = []
+        for item in items:
+            texts.append(f"{say(20)} {decontam.edited(item, int(0.19 * len(item)), even, rng)} {say(20)}")
+        want = {(d, i) for d, t in enumerate(texts) for i in (d,) if decontam.least_edits(items[i], t) <= 0.2 * len(items[i])}
+        got = {(d, i) for d, found in enumerate(index.find([t.encode() for t in texts], 0.8)) for i, _, _ in found}
+        for first, last in ((0, 50), (50, 100), (100, 150), (150, 200), (200, 220)):
+            here = {p for p in want if first <= p[0] < last}
+            assert len(here & got) >= 0.9 * len(here), (even, first)
