@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -9,19 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; our own only where the session names none."""
+    """The folder that all executors share: the checkpoint folder, which the session must name."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or FALLBACK_CHECKPOINT_DIR)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints")  # in local mode one machine is all there is
     return sc.getCheckpointDir()
 
 
@@ -31,12 +31,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables in the shared folder that hold what is read again. A checkpoint keeps what the planner knew of a frame, and
+    in a loop of joins that grows with every round; a table starts afresh. A table goes when another of its name is put."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.held, self.named = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}, {}
+
+    def put(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df, stored; in buckets of column `by`, so that joins on it needn't shuffle it."""
+        at = f"{self.at}/{name}-{uuid.uuid4().hex}"
+        if by is None:
+            df.write.parquet(at)
+            found = self.spark.read.parquet(at)
+        else:
+            table, n = f"t_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(n, by).write.bucketBy(n, by).format("parquet").option("path", at).saveAsTable(table)
+            self.named[at] = table
+            found = self.spark.table(table)
+        before = self.held.get(name)
+        self.held[name] = at
+        if before:
+            self._drop(before)
+        return found
+
+    def _drop(self, at: str) -> None:
+        if at in self.named:
+            self.spark.sql(f"DROP TABLE {self.named.pop(at)}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        for at in self.held.values():
+            self._drop(at)
+        self.held = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again. A checkpoint keeps what the planner knew of df, and in a long loop of
-    joins that grows with every round; a table starts afresh."""
-    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+    """df as a table in the shared folder, read again."""
+    return Tables(df.sparkSession).put("t", df)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
