@@ -1,27 +1,30 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the openings of words, letters folded. Those that the labels of the training rows speak
-about (a chi-squared test, `LEAST_CHI2`, and a share of toxic rows, `LEAST_SHARE`) make up the vocabulary; their document frequencies are counted over all
-rows. Labelled examples with equal vectors are one example that remembers how many rows, and how many toxic ones,
-it stands for. The index lists each term's examples with their weights in blocks of `BLOCK` examples and the
-largest weight in each block. A search bounds every block's cosine by these, scores blocks in falling order of
-the bound, and stops when the next bound is below the k-th best cosine found: the result is that of a full scan.
-
-A text's vote is the share of toxic rows among the examples found, weighted by cosine; a monotone table from votes
-to the share of toxic rows, measured on the training rows with each one's own vector's rows left out, gives
-the score. A text without a term of the vocabulary gets the share of toxic rows among such training rows.
-
-Training takes at most about `max_rows` labelled rows (a hash of the id chooses them). Document frequencies,
-and scoring, cover all rows and whole texts.
-
-Defined results: null and empty texts are texts without terms; without labels every score is 0; labels other
-than 0 and 1 and null labels don't train; of several labels of one id the largest counts; equal cosines go to
-the example that comes first in the index; an empty table gives an empty result; only the named columns are read.
+Terms are the openings of words, `OPENING` letters or the whole of a shorter word, letters folded, so that the forms of
+a word are one term. The vocabulary is every term that a labelled example holds, whatever its label; their document
+frequencies are counted over all rows. Labelled examples with equal vectors are one example that remembers how many
+rows, and how many toxic ones, it stands for. The index lists each term's examples with their weights in blocks of
+`BLOCK` examples and the largest weight in each block. A search bounds every block's cosine by these, scores the
+blocks of the largest bounds, then those whose bound isn't below the k-th best cosine found: the result is that of a
+full scan.
+
+A text's vote is the share of toxic rows among the examples found, weighted by cosine (nearer examples count more); a
+monotone table from votes to the share of toxic rows, measured on the training rows with each one's own row left out,
+gives the score. A text without a term of the vocabulary gets the share of toxic rows among such training rows.
+
+Training takes at most about `max_rows` labelled rows (a hash of the id chooses them), of an id that has several texts one.
+Document frequencies, and scoring, cover all rows and whole texts.
+
+Defined results: null and empty texts are texts without terms; without labels, or with labels of one class only, every
+score is 0; labels other than 0 and 1 and null labels don't train; of several labels of one id the largest counts; ids cast
+to long; equal cosines go to the example that comes first in the index; an empty table gives an empty result; only the
+named columns are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,70 +35,40 @@ from pyspark.sql import functions as F
 from .common import bounded_share, bucket, hash_share
 
 NEAREST = 15
-BLOCK = 32
-#: Blocks that a search scores at first; then four times as many.
-BATCH = 8
-#: Scores that a task remembers, as many texts have few terms.
-REMEMBERED = 50_000
-LEAST_ROWS = 4
-LEAST_CHI2 = 30.0
-#: Of a term's rows so many are toxic at least; common words with a slight leaning say nothing of a text.
-LEAST_SHARE = 0.4
-MOST_TERMS = 8192
-OPENINGS = (4, 5, 6)
-MAX_ROWS = 20_000
+BLOCK = 64
+#: Blocks that a search scores at first; then all that may hold a nearer example.
+FIRST = 4
+#: Texts that are searched for together.
+TOGETHER = 64
+#: A term that so large a share of the examples hold keeps a weight for each example instead of a list.
+COMMON = 0.2
+OPENING = 4
+MAX_ROWS = 6_000
 THRESHOLD = 0.5
 SEED = 8
-BINS = 20
+BINS = 200
 
-_WORD = re.compile(r"[^\W_]+")
+_OPENING = re.compile(rf"([^\W_]{{1,{OPENING}}})[^\W_]*")
 
 
-def terms(text: str | None) -> dict[str, int]:
-    """Words and openings of longer words, with their counts. An opening ends in `*`."""
-    found: dict[str, int] = {}
-    for word, n in _counts(text).items():
-        found[word] = n
-        for size in OPENINGS:
-            if len(word) > size:
-                opening = word[:size] + "*"
-                found[opening] = found.get(opening, 0) + n
-    return found
-
-
-def _counts(text: str | None) -> dict[str, int]:
-    found: dict[str, int] = {}
-    for word in _WORD.findall((text or "").lower()):
-        found[word] = found.get(word, 0) + 1
-    return found
+def terms(text: str | None) -> Counter:
+    return Counter(_OPENING.findall((text or "").lower()))
 
 
 @dataclass
 class Vocabulary:
     places: dict[str, int]
 
-    def __post_init__(self):
-        self.openings = {t[:-1] for t in self.places if t.endswith("*")}
-        self.sizes = sorted({len(t) for t in self.openings})
-        self._known: dict[str, tuple[int, ...]] = {}
+    def counts(self, text: str | None) -> dict[int, int]:
+        return {self.places[t]: n for t, n in terms(text).items() if t in self.places}
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        at = [self.places[word]] if word in self.places else []
-        at += [self.places[word[:n] + "*"] for n in self.sizes if len(word) > n and word[:n] in self.openings]
-        return tuple(at)
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        known = self._known
-        for word in _WORD.findall((text or "").lower()):
-            at = known.get(word)
-            if at is None:
-                at = self.of_word(word)
-                if len(known) < 200_000:
-                    known[word] = at
-            for k in at:
-                found[k] = found.get(k, 0) + 1
-        return found
+def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text, and their TF-IDF weights in a vector of length 1."""
+    at = np.array(sorted(counts), np.intp)
+    w = np.array([counts[k] for k in at], float) * idf[at] if len(at) else np.empty(0)
+    norm = np.sqrt(w @ w)
+    return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
 
 @dataclass
@@ -105,76 +78,81 @@ class Model:
     rows: np.ndarray  # of each example, rows and toxic rows
     toxic: np.ndarray
     ids: np.ndarray  # the smallest id of each example's rows
-    places: np.ndarray  # term x block: which row of the term's weights the block has, or -1
-    weights: list[np.ndarray]  # of each term: a row for each block that holds it, a weight for each of the block's examples
     bounds: np.ndarray  # term x block: the largest weight
+    common: np.ndarray  # of each term, its row among the common ones, or -1
+    whole: np.ndarray  # common term x example: the weight
+    first: np.ndarray  # term x block: the first posting below, and how many; postings are in the order of terms and examples
+    held: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
     empty: float
     votes: np.ndarray
     shares: np.ndarray
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.intp)
-        w = (1 + np.log([counts[k] for k in at])) * self.idf[at] if len(at) else np.empty(0)
-        norm = np.sqrt(w @ w)
-        return (at, w / norm) if norm > 0 else (at[:0], w[:0])
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, and their cosines."""
-        bound = w @ self.bounds[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, score, least, n = [], [], 0.0, 0
-        first, step = 0, BATCH
-        while first < len(order):
-            blocks = order[first : first + step]
-            if n >= k:
-                blocks = blocks[bound[blocks] >= least - 1e-12]
-                if not len(blocks):
-                    break
-            total = np.zeros((len(blocks), BLOCK))
-            for t, x in zip(at, w):
-                rows = self.places[t][blocks]
-                held = rows >= 0
-                total[held] += x * self.weights[t][rows[held]]
-            block, inside = np.nonzero(total > 0)
-            found.append(blocks[block] * BLOCK + inside)
-            score.append(total[block, inside])
-            n += len(block)
-            if n >= k:
-                least = np.partition(np.concatenate(score), n - k)[n - k]
-            first, step = first + step, step * 4
-        if not found:
-            return np.empty(0, np.intp), np.empty(0)
-        found, score = np.concatenate(found), np.concatenate(score)
+        return unit(counts, self.idf)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector, the k examples of largest cosine above 0, and their cosines."""
+        out = []
+        for low in range(0, len(vectors), TOGETHER):
+            part = vectors[low : low + TOGETHER]
+            x = np.zeros((len(part), len(self.whole)))
+            for i, (at, w) in enumerate(part):
+                row = self.common[at]
+                x[i, row[row >= 0]] = w[row >= 0]
+            out += [self._nearest(at, w, begun, k) for (at, w), begun in zip(part, x @ self.whole)]
+        return out
+
+    def _nearest(self, at: np.ndarray, w: np.ndarray, begun: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """begun: what common terms add to each example, all blocks filled up with zeros."""
+        rare = self.common[at] < 0
+        at, w = at[rare], w[rare]
+        bound = begun.reshape(-1, BLOCK).max(axis=1) + w @ self.bounds[at]
+        open_ = bound > 0
+        found, score, least = np.empty(0, np.intp), np.empty(0), 0.0
+        for last in (False, True):
+            now = open_ & (bound >= least - 1e-6)
+            if not last and len(bound) > FIRST:
+                now &= bound >= np.partition(bound, len(bound) - FIRST)[len(bound) - FIRST]
+            open_ &= ~now
+            blocks = np.flatnonzero(now)
+            if not len(blocks):
+                continue
+            first, n = self.first[at][:, blocks].ravel(), self.held[at][:, blocks].ravel()
+            some = np.flatnonzero(n)
+            first, n, x = first[some], n[some], np.repeat(w, len(blocks))[some]
+            posting = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            total = begun + np.bincount(self.example[posting], np.repeat(x, n) * self.weight[posting], len(begun)) if len(posting) else begun
+            total = total.reshape(-1, BLOCK)[blocks]
+            row, inside = np.nonzero(total > max(0.0, least - 1e-9))
+            found, score = np.append(found, blocks[row] * BLOCK + inside), np.append(score, total[row, inside])
+            if len(score) >= k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+        near = score >= least - 1e-9
+        found, score = found[near], score[near]
         order = np.lexsort((found, -np.round(score, 12)))[:k]
         return found[order], score[order]
 
-    def vote(self, counts: dict[int, int], own: int | None = None) -> tuple[float | None, list[tuple[int, float]]]:
-        """The cosine-weighted share of toxic rows among the nearest examples, and these as evidence. own: the label of a
-        training row, which is left out of the example that it is part of."""
-        at, w = self.vector(counts)
-        if not len(at):
-            return None, []
-        found, score = self.nearest(at, w, NEAREST)
+    def vote(self, found: np.ndarray, score: np.ndarray, own: int | None = None) -> float | None:
+        """The cosine-weighted share of toxic rows among the examples found. own: the label of a training row, which is left
+        out of the example that it is part of."""
         rows, toxic = self.rows[found].astype(float), self.toxic[found].astype(float)
         if own is not None and len(found) and score[0] > 1 - 1e-9:
             rows[0], toxic[0] = rows[0] - 1, toxic[0] - own
         # An example of many rows votes once for each, up to as many as were asked for in all.
         left = np.clip(NEAREST - np.concatenate(([0], np.cumsum(rows)[:-1])), 0, None) if len(rows) else rows
         weight = score * np.minimum(rows, left)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            share = np.where(rows > 0, toxic / np.maximum(rows, 1), 0)
         total = weight.sum()
-        return (float(weight @ share / total) if total > 0 else None), [(int(self.ids[i]), float(s)) for i, s in zip(found, score)]
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        return self.score_counts(self.vocabulary.counts(text))
+        return float(weight @ (toxic / np.maximum(rows, 1)) / total) if total > 0 else None
 
-    def score_counts(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        vote, evidence = self.vote(counts)
-        if vote is None:
-            return self.empty, evidence
-        return float(np.interp(vote, self.votes, self.shares)), evidence
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """The score of each text, and its nearest examples' ids and cosines."""
+        out = []
+        for found, score in self.nearest([self.vector(self.vocabulary.counts(t)) for t in texts], NEAREST):
+            vote = self.vote(found, score)
+            out.append((self.empty if vote is None else float(np.interp(vote, self.votes, self.shares)), list(zip(self.ids[found].tolist(), score.tolist()))))
+        return out
 
 
 def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, tuple]]) -> Model:
@@ -185,31 +163,34 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
         g[0], g[1], g[2] = min(g[0], doc), g[1] + 1, g[2] + label
     none = groups.pop((), [0, 0, 0])
     rate = sum(x[1] for x in vectors) / len(vectors) if vectors else 0.0
-    # Examples that share their rarest term lie together, so that blocks differ in their bounds.
-    keys = sorted(groups, key=lambda key: (max((idf[t], t) for t, _ in key), key))
-    n = len(keys)
-    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), np.full((len(idf), -(-n // BLOCK)), -1, np.int32), [], np.zeros((len(idf), -(-n // BLOCK))), (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in idf]
-    for i, key in enumerate(keys):
-        at, w = model.vector(dict(key))
-        for t, x in zip(at, w):
-            lists[t].setdefault(i // BLOCK, []).append((i % BLOCK, x))
-            model.bounds[t, i // BLOCK] = max(model.bounds[t, i // BLOCK], x)
-    for t, blocks in enumerate(lists):
-        dense = np.zeros((len(blocks), BLOCK), np.float64)
-        for row, (b, postings) in enumerate(sorted(blocks.items())):
-            model.places[t, b] = row
-            for i, x in postings:
-                dense[row, i] = x
-        model.weights.append(dense)
+    # Examples whose weightiest term is the same lie together, so that blocks differ in their bounds.
+    keys = sorted(groups, key=lambda key: (max((n * idf[t], t) for t, n in key)[1], key))
+    found = [unit(dict(key), idf) for key in keys]
+    term = np.concatenate([np.empty(0, np.intp), *(at for at, _ in found)])
+    weight = np.concatenate([np.empty(0), *(w for _, w in found)])
+    example = np.repeat(np.arange(len(keys)), [len(at) for at, _ in found]).astype(np.int32)
+    order = np.lexsort((example, term))
+    term, weight, example = term[order], weight[order], example[order]
+    bounds = np.zeros((len(idf), -(-len(keys) // BLOCK)), np.float32)
+    np.maximum.at(bounds, (term, example // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+    often = np.flatnonzero(np.bincount(term, minlength=len(idf)) > COMMON * len(keys)) if len(keys) else np.empty(0, np.intp)
+    common = np.full(len(idf), -1)
+    common[often] = np.arange(len(often))
+    whole, dense = np.zeros((len(often), bounds.shape[1] * BLOCK)), common[term] >= 0
+    whole[common[term[dense]], example[dense]] = weight[dense]
+    term, weight, example = term[~dense], weight[~dense], example[~dense]
+    held = np.bincount(term * bounds.shape[1] + example // BLOCK, minlength=bounds.size).astype(np.int32).reshape(bounds.shape)
+    first = (np.cumsum(held.ravel()) - held.ravel()).astype(np.int32).reshape(bounds.shape)
+    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), bounds, common, whole, first, held, example, weight, (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     # Calibration: pool adjacent violators over the training rows' votes.
     alike: dict[tuple, int] = {}
     for _, label, key in vectors:
         if key:
             alike[key, label] = alike.get((key, label), 0) + 1
-    measured = sorted(x for (key, label), n in alike.items() for v in [model.vote(dict(key), own=label)[0]] if v is not None for x in [(v, label)] * n)
+    votes = {key: got for key, got in zip(keys, model.nearest(found, NEAREST))}
+    measured = sorted((v, label) for (key, label), n in alike.items() for v in [model.vote(*votes[key], own=label)] if v is not None for _ in range(n))
     pools: list[list[float]] = []
-    for part in np.array_split(np.array(measured), min(BINS, max(1, len(measured) // 10))) if measured else []:
+    for part in np.array_split(np.array(measured), min(BINS, max(1, len(measured) // 15))) if measured else []:
         pools.append([part[:, 0].sum(), part[:, 1].sum(), len(part)])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             last = pools.pop()
@@ -223,28 +204,17 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     known = known.where(hash_share("id", bounded_share(known.count(), max_rows), SEED))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # about max_rows rows at most
 
-    def seen(batches):
-        """(term, toxic rows, rows) of the rows of a task."""
-        counts: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                for t in terms(text):
-                    c = counts.setdefault(t, [0, 0])
-                    c[0] += y
-                    c[1] += 1
-        yield pa.record_batch({"term": list(counts), "toxic": [c[0] for c in counts.values()], "n": [c[1] for c in counts.values()]}, schema=pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())]))
-
-    by_term = rows.select("text", "y").mapInArrow(seen, "term string, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
-    if not total.n or not total.toxic or total.toxic == total.n:
+    @F.arrow_udf("string")
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([" ".join(f"{t} {n}" for t, n in sorted(terms(x).items())) for x in texts.to_pylist()], pa.string())
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # about max_rows ids
+    rows = rows.select(F.col("id").cast("long").alias("id"), "y", told("text").alias("told")).groupBy("id", "y").agg(F.min("told").alias("told"))
+    got = sorted((r.id, r.y, r.told.split(" ") if r.told else []) for r in rows.collect())  # one row an id
+    if len({y for _, y, _ in got}) < 2:
         return build(Vocabulary({}), np.empty(0), [])
-    # chi-squared of the 2 x 2 table of term and label
-    a, n, m, k = F.col("toxic").cast("double"), F.col("n").cast("double"), float(total.n), float(total.toxic)
-    chi2 = m * F.pow(a * (m - n - k + a) - (n - a) * (k - a), 2) / (n * (m - n + 1) * k * (m - k))
-    told = by_term.where((F.col("n") >= LEAST_ROWS) & (chi2 >= LEAST_CHI2) & (a * m > n * k) & (a >= LEAST_SHARE * n)).select("term", chi2.alias("chi2")).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
-    vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(r.term for r in told.collect()))})  # MOST_TERMS at most
+    vocabulary = Vocabulary({t: i for i, t in enumerate(sorted({t for *_, x in got for t in x[::2]}))})
     size = len(vocabulary.places)
 
     def frequencies(batches):
@@ -252,44 +222,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                for t in vocabulary.counts(text):
-                    df[t] += 1
+                df[list(vocabulary.counts(text))] += 1
         at = np.flatnonzero(df)
         yield pa.record_batch({"term": np.append(at, -1), "n": np.append(df[at], n)})
 
-    df, n_docs = np.zeros(size), 1
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
-        if r.term < 0:
-            n_docs = r.n
-        else:
-            df[r.term] = r.n
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-
-    @F.arrow_udf("array<struct<t:int,n:int>>")
-    def vectors(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(t=t, n=n) for t, n in sorted(vocabulary.counts(x).items())] for x in texts.to_pylist()], pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int32())])))
-
-    got = rows.select("id", "y", vectors("text").alias("v")).collect()  # about max_rows rows, of vocabulary terms only
-    return build(vocabulary, idf, sorted((int(r.id), r.y, tuple((x.t, x.n) for x in r.v)) for r in got))
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term
+    df = np.bincount(counted.term[counted.term >= 0], counted.n[counted.term >= 0], size)
+    idf = np.log((1 + int(counted.n[counted.term < 0].sum())) / (1 + df)) + 1e-9
+    vectors = [(i, y, tuple(sorted((vocabulary.places[t], int(n)) for t, n in zip(x[::2], x[1::2])))) for i, y, x in got]
+    return build(vocabulary, idf, vectors)
 
 
 def score_column(text: Column | str, model: Model) -> Column:
     """struct<score, evidence> of a text column; evidence is the nearest examples' ids and cosines."""
-
-    remembered: dict[tuple, tuple[float, list]] = {}
-
     @F.arrow_udf("struct<score:double,evidence:array<struct<id:long,cosine:double>>>")
     def of(texts: pa.Array) -> pa.Array:
-        found = []
-        for t in texts.to_pylist():
-            counts = model.vocabulary.counts(t)
-            key = tuple(sorted(counts.items()))
-            known = remembered.get(key)
-            if known is None:
-                known = model.score_counts(counts)
-                if len(remembered) < REMEMBERED:
-                    remembered[key] = known
-            found.append(known)
+        found = model.scores(texts.to_pylist())
         evidence = pa.array([[dict(id=i, cosine=c) for i, c in e] for _, e in found], pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())])))
         return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), evidence], names=["score", "evidence"])
 

@@ -339,29 +339,46 @@ def test_trigrams_of_pieces_add_up(monkeypatch):
 # --- toxicity
 
 
-def test_nearest_examples_are_those_of_a_full_scan():
+def full_scan(model, keys, key):
+    """Examples by cosine, in plain Python: (example, cosine) of all above 0, nearest first."""
+    weigh = lambda k: {t: n * model.idf[t] for t, n in k}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    q, found = weigh(key), []
+    for i, k in enumerate(keys):
+        v = weigh(k)
+        dot = sum(x * v[t] for t, x in q.items() if t in v)
+        if dot > 0:
+            found.append((i, dot / norm(q) / norm(v)))
+    return sorted(found, key=lambda x: (-round(x[1], 12), x[0]))[: toxicity.NEAREST]
+
+
+def test_toxicity_equals_a_full_scan():
     rng = np.random.default_rng(5)
-    places = {f"t{i}": i for i in range(30)}
+    places = {f"t{i}": i for i in range(60)}
     rows = []
-    for i in range(700):
-        held = np.sort(rng.choice(30, rng.integers(0, 6), replace=False))
+    for i in range(900):
+        held = np.sort(rng.choice(60, rng.integers(0, 7), replace=False, p=np.r_[np.full(3, 0.12), np.full(57, 0.64 / 57)]))
         rows.append((i, int(rng.random() < 0.3), tuple((int(t), int(rng.integers(1, 4))) for t in held)))
-    model = toxicity.build(toxicity.Vocabulary(places), rng.random(30) + 0.5, rows)
-    keys = sorted({k for _, _, k in rows if k}, key=lambda key: (max((model.idf[t], t) for t, _ in key), key))
-    dense = np.zeros((len(keys), 30))
-    for i, k in enumerate(keys):
-        at, w = model.vector(dict(k))
-        dense[i, at] = w
-    for _, _, k in rows[:80]:
-        at, w = model.vector(dict(k))
-        if not len(at):
+    rows += [(1000 + i, 1, rows[5][2]) for i in range(40)]
+    model = toxicity.build(toxicity.Vocabulary(places), rng.random(60) + 0.5, rows)
+    assert (model.common >= 0).any() and (model.common < 0).any()
+    alike = {}
+    for _, y, k in rows:
+        alike.setdefault(k, []).append(y)
+    order = sorted((k for k in alike if k), key=lambda key: (max((n * model.idf[t], t) for t, n in key)[1], key))
+    for _, _, k in rows[:120]:
+        if not k:
             continue
-        q = np.zeros(30)
-        q[at] = w
-        s = dense @ q
-        want = np.lexsort((np.arange(len(keys)), -np.round(s, 12)))[:15]
-        found, score = model.nearest(at, w, 15)
-        assert list(found) == [i for i in want if s[i] > 0] and np.allclose(score, s[found])
+        want = full_scan(model, order, k)
+        (found, score), = model.nearest([model.vector(dict(k))], toxicity.NEAREST)
+        assert list(found) == [i for i, _ in want] and np.allclose(score, [c for _, c in want])
+        left, up, down = toxicity.NEAREST, 0.0, 0.0
+        for i, c in want:
+            n = min(left, len(alike[order[i]]))
+            left -= n
+            up, down = up + c * n * np.mean(alike[order[i]]), down + c * n
+        assert abs(model.vote(found, score) - up / down) < 1e-9
+    assert (np.diff(model.votes) >= 0).all() and (np.diff(model.shares) >= -1e-12).all()
 
 
 def test_toxicity_learns_its_terms(spark):
@@ -443,7 +460,7 @@ def test_decontamination_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdefghijklé"), rng.integers(2, 8))) for _ in range(400)]
     say = lambda n: " ".join(rng.choice(words, n))
-    items = [(i, say(30)) for i in range(12)] + [(50, None), (51, ""), (52, "short item here"), (53, say(7) + "\n" + say(8))]
+    items = [(i, say(30)) for i in range(12)] + [(50, None), (51, ""), (52, "short item here"), (53, say(7) + "\n" + say(8)), (54, "cat"), (55, "a fairly shört item of text")]
     rows = []
     for i in range(90):
         item = (items[i % 12][1] if i % 7 else items[15][1]).split()
@@ -454,7 +471,7 @@ def test_decontamination_equals_brute_force(spark):
                 item[rng.integers(len(item))] = say(1)
             body = f"{say(int(rng.integers(0, 40)))} {' '.join(item).upper() if i % 5 == 0 else '  '.join(item)} {say(int(rng.integers(0, 40)))}"
         rows.append((i, body, "en", "s"))
-    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "a short item here b", "en", "s"), (903, "shorts item here", "en", "s"), (5, rows[5][1], "en", "s")]
+    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "a short item here b", "en", "s"), (903, "shorts item here", "en", "s"), (904, "concatenate", "en", "s"), (905, "a cat", "en", "s"), (906, "this fairly shert itm of texts", "en", "s"), (5, rows[5][1], "en", "s")]
     frame = docs(spark, rows)
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, edits int")
     fold = lambda t: decontam.normal((t or "").encode()).decode()
@@ -462,9 +479,9 @@ def test_decontamination_equals_brute_force(spark):
     for d, t, *_ in rows:
         for i, item in items:
             n = len(fold(item))
-            if n >= decontam.SHORT and (e := brute_least_edits(fold(item), fold(t))) <= 0.2 * n:
+            if n >= 5 and (e := brute_least_edits(fold(item), fold(t))) <= int(0.2 * n):
                 want.add((d, i, e))
-            elif 0 < n < decontam.SHORT and f" {fold(item)} " in f" {fold(t)} ":
+            elif 0 < n < 5 and f" {fold(item)} " in f" {fold(t)} ":
                 want.add((d, i, 0))
     for block in (decontam.BLOCK_BYTES, 400):
         got = {(r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(frame, bench, block_bytes=block).collect()}
