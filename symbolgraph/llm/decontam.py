@@ -11,9 +11,10 @@ evenly spread, and repetitions are added until the share `TARGET` of the copies
 collisions. Candidates are verified by exact edit distance: the least distance of the item to any part of the text
 around the candidate (Myers' bit-parallel recurrence).
 
-Items go to the tasks in blocks of at most `BLOCK_BYTES` of text, so a broadcast has a bound however many items
-there are; each block is searched over all rows. Texts and items are compared with A-Z folded and white
-space made one space. An item with fewer than `SHORT` characters is found where it occurs exactly, at word bounds.
+Items go to the tasks in blocks of about `BLOCK_BYTES` of text, one after the other: the driver and a task hold one
+block's index at a time, however many items there are, and each block is one pass over the rows. Texts and items are compared with A-Z folded and white
+space made one space. An item with fewer than `SHORT` characters is searched for by exact pieces instead: of one piece
+more than the edits allowed, one is there unchanged; where no edit is allowed, it must be there at word bounds.
 
 Defined results: null and empty texts and items match nothing; items with equal text each match; repeated rows
 are each judged; an empty table, or no items, gives no match; only the named columns are read.
@@ -22,13 +23,14 @@ are each judged; an empty table, or no items, gives no match; only the named col
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import stored, utf8
 
 SIMILARITY = 0.8
 SHORT = 40
@@ -43,6 +45,7 @@ HELD = 8_000_000
 SEED = 11
 PIECE, CACHED = 1 << 22, 1 << 17
 _BITS = 20
+GRAM = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +93,12 @@ def edited(text: str, edits: int, even: bool, rng: np.random.Generator) -> str:
     return "".join(out)
 
 
+def _grams(text: bytes) -> np.ndarray:
+    """Hashed byte trigrams."""
+    a = np.frombuffer(text, np.uint8).astype(np.int64)
+    return (a[:-2] * 2357 + a[1:-1] * 313 + a[2:] * 41) & 0xFFF if len(a) >= GRAM else np.empty(0, np.int64)
+
+
 def _slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - _BITS)).astype(np.intp)
 
@@ -103,6 +112,7 @@ class Index:
         self.words = [t.decode("utf-8", "replace") for t in self.texts]
         self.size = np.array([len(t) for t in self.texts], np.intp)
         self.grain = np.maximum(1, np.ceil((1 - similarity) * self.size).astype(np.intp))
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.short = [k for k, t in enumerate(self.words) if 0 < len(t) < SHORT]
         self.walks, self.seen, self.keys, self.owners, self.offsets = [], [], [], [], []
         self.least = np.ones(len(items), np.intp)
@@ -192,8 +202,10 @@ class Index:
         cell = np.concatenate((item * wide + across, item * wide + across + 1))
         window = np.concatenate((window, window))
         if (len(self.ids) + 1) * wide * len(starts) < 1 << 62:
-            both = np.unique(cell * len(starts) + window)
-            cell, window = both // len(starts), both % len(starts)
+            both = cell * len(starts) + window
+            both.sort()
+            both = both[np.append(True, both[1:] != both[:-1])]
+            cell, window = np.divmod(both, len(starts))
         else:
             order = np.lexsort((window, cell))
             cell, window = cell[order], window[order]
@@ -208,6 +220,42 @@ class Index:
             item, doc, across, count = item[keep], doc[keep], across[keep], count[keep]
         return item, doc, across * self.grain[item] - self.size[item], count
 
+    def may_hold(self, item: int, near: bytes, similarity: float) -> bool:
+        """False only where near lacks more of the item's grams than edits within the similarity could destroy: one edit of
+        a character of w bytes changes w + GRAM - 1 of them at most."""
+        text, words = self.texts[item], self.words[item]
+        if item not in self.grams:
+            self.grams[item] = np.unique(_grams(text), return_counts=True)
+        found, n = self.grams[item]
+        wide = 1 if len(text) == len(words) else max(len(c.encode()) for c in set(words))
+        edits = math.floor((1 - similarity) * len(words) + 1e-9)
+        shared = int(np.minimum(np.bincount(_grams(near), minlength=1 << 12)[found], n).sum())
+        return shared >= len(text) - GRAM + 1 - edits * (wide + GRAM - 1)
+
+    def short_edits(self, item: int, text: bytes, similarity: float) -> int | None:
+        """The least edits of a short item in text, if its similarity allows them. Of one piece more than these edits, one is
+        in the text as it is; only what is around such pieces is verified, so that nothing is missed."""
+        words = self.words[item]
+        edits = math.floor((1 - similarity) * len(words) + 1e-9)
+        if not edits:
+            return 0 if b" " + self.texts[item] + b" " in b" " + text + b" " else None
+        if self.texts[item] in text:
+            return 0
+        slack, best = edits * max(len(c.encode()) for c in words) + 4, None
+        bounds = [len(words) * i // (edits + 1) for i in range(edits + 2)]
+        near: list[list[int]] = []  # parts of the text to verify
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            piece, ahead = words[a:b].encode(), len(words[:a].encode())
+            at = text.find(piece)
+            while at >= 0:
+                near.append([max(0, at - ahead - slack), at - ahead + len(self.texts[item]) + slack])
+                at = text.find(piece, at + 1)
+        for low, high in sorted(near):
+            found = least_edits(words, text[low:high].decode("utf-8", "ignore"))
+            if found <= (edits if best is None else best - 1):
+                best = found
+        return best
+
     def find(self, texts: list[bytes], similarity: float) -> list[list[tuple[int, int, float]]]:
         """Of each text, (item id, edits, similarity) of the items that it holds."""
         out: list[dict[int, int]] = [{} for _ in texts]
@@ -239,15 +287,16 @@ class Index:
             near = texts[d][max(0, low - first - slack) : max(0, high - first + n + slack)]
             if self.texts[i] in near:
                 out[d][i] = 0
-            else:
+            elif self.may_hold(i, near, similarity):
                 todo.append((i, d, near.decode("utf-8", "ignore")))
         for (i, d, _), edits in zip(todo, least_edits_of([(self.words[i], near) for i, _, near in todo])):
             if edits <= min(math.floor((1 - similarity) * len(self.words[i]) + 1e-9), out[d].get(i, edits)):
                 out[d][i] = edits
         for item in self.short:
             for d, text in enumerate(texts):
-                if b" " + self.texts[item] + b" " in b" " + text + b" ":
-                    out[d][item] = 0
+                edits = self.short_edits(item, text, similarity)
+                if edits is not None:
+                    out[d][item] = edits
         return [sorted((self.ids[k], e, 1 - e / len(self.words[k])) for k, e in found.items()) for found in out]
 
 
@@ -324,16 +373,14 @@ def least_edits_of(pairs: list[tuple[str, str]]) -> list[int]:
     return out
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, similarity: float = SIMILARITY) -> list[Index]:
-    """The items' indexes, one for each block of bounded size."""
-    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, similarity: float = SIMILARITY) -> Iterator[tuple[Index, bool]]:
+    """The items' indexes, one for each block of about block_bytes, and whether there are more blocks than one."""
+    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(total / block_bytes))
-    out = []
     for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()  # a block
-        out.append(Index(sorted({(r.id, normal(r.text.encode())) for r in rows if r.id is not None}), similarity))
-    return out
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()  # a block
+        yield Index(sorted({(r.id, normal(r.text.encode())) for r in rows}), similarity), count > 1
 
 
 def found_column(text: Column | str, index: Index, similarity: float = SIMILARITY) -> Column:
@@ -358,13 +405,18 @@ def found_column(text: Column | str, index: Index, similarity: float = SIMILARIT
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item, edits, similarity): one row for each row of docs and item that it holds."""
-    every = [found_column(F.col(text_col), index, similarity) for index in blocks(items, item_col, text_col, block_bytes, similarity)]
-    found = docs.select(F.col(id_col).alias("id"), F.explode(every[0] if len(every) == 1 else F.concat(*every)).alias("x"))
-    return found.select(F.col("id").alias(id_col), F.col("x.item_id").alias(item_col), F.col("x.edits").alias("edits"), F.col("x.similarity").alias("similarity"))
+    every = None
+    for index, several in blocks(items, item_col, text_col, block_bytes, similarity):
+        found = docs.select(F.col(id_col).alias("id"), F.explode(found_column(F.col(text_col), index, similarity)).alias("x"))
+        found = found.select(F.col("id").alias(id_col), F.col("x.item_id").alias(item_col), F.col("x.edits").alias("edits"), F.col("x.similarity").alias("similarity"))
+        found = stored(found) if several else found
+        every = found if every is None else every.unionByName(found)
+    return every
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold an item."""
-    for index in blocks(items, item_col, text_col, block_bytes, similarity):
+    for index, several in blocks(items, item_col, text_col, block_bytes, similarity):
         docs = docs.where(F.size(found_column(F.col(text_col), index, similarity)) == 0)
+        docs = stored(docs) if several else docs
     return docs
