@@ -72,6 +72,11 @@ def stored(df: DataFrame) -> DataFrame:
     return Tables(df.sparkSession).put("t", df)
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs with all columns in one struct, `row`, beside columns of our own, whose names thus can't clash with theirs."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in more.items()))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each string of an Arrow column."""
     if isinstance(column, pa.ChunkedArray):

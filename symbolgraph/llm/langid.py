@@ -30,6 +30,7 @@ SMOOTHING = 0.05
 BACKGROUND = 1 / 40**3
 CORRELATION = 3.0
 ROUNDS = 25
+MAX_LANGUAGES = 200
 #: Bytes a step of counting takes at once.
 PIECE = 1 << 20
 
@@ -99,8 +100,9 @@ class Model:
         return top, min(1.0, max(0.0, shares[top])), shares
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Likelihoods from all rows of docs. What comes to the driver is bounded by languages x CODES counts."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model:
+    """Likelihoods from all rows of docs. What comes to the driver is bounded by max_languages x CODES counts; a table of more
+    languages is refused."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
     def count(batches):
@@ -113,6 +115,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             codes = np.flatnonzero(n)
             yield pa.record_batch({"lang": [lang] * len(codes), "code": codes.astype(np.int32), "n": n[codes]})
 
+    found = labelled.select("lang").distinct().limit(max_languages + 1).count()
+    if found > max_languages:
+        raise ValueError(f"more than {max_languages} languages; a model holds {CODES} counts of each")
     counted = labelled.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     languages = sorted(got.lang.unique())

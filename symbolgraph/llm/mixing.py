@@ -8,10 +8,12 @@ A target is a share of the kept tokens. Where none is given, a marginal's target
 to `TEMPERATURE` and normed, so large sources give way to small ones. A category that can't fill its target
 gives all it has, and the others of its marginal share the rest. What a category that no target names has is left out.
 
-Topics, where no column has them, are the nearest of `TOPICS` centroids of hashed word openings, found by spherical
-k-means on at most about `SAMPLE` documents (a hash of the id chooses them); all documents are assigned.
+Topics, where no column has them, are the nearest of `TOPICS` centroids of hashed word openings, found by `LLOYD` rounds of
+spherical k-means over all documents.
 
-There is a row for each cell; up to `DRIVER_CELLS` cells are raked in the driver, more by joins and aggregations.
+There is a row for each cell; up to `driver_cells` cells, a parameter, are raked in the driver, more by joins and
+aggregations: the same steps, ended by the same rule. Targets that contradict each other, or what the sources hold, can't
+be met: raking then ends when the rates stay, or after `ROUNDS`, with a warning; `residuals` shows what is missed.
 
 Defined results: a null source or language is a category of its own; null and empty texts have no tokens and topic 0;
 rows with equal ids share one draw, as do all rows with a null id; an empty table gives an empty result; columns that are
@@ -20,21 +22,23 @@ not named are kept by `mix` and not read.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, cut, hash_share, stored, utf8
+from .common import Tables, boxed, cut, utf8
 
 MARGINALS = ("source", "language", "topic")
 TEMPERATURE = 0.6
 KEEP = 0.7
 TOPICS = 12
 DIMENSIONS = 1024
-SAMPLE = 4096
-ROUNDS = 200
+LLOYD = 8
+ROUNDS = 60
 CLOSE = 1e-4
 DRIVER_CELLS = 200_000
 SEED = 5
@@ -53,20 +57,10 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 class Topics:
-    def __init__(self, sample: np.ndarray):
-        """Spherical k-means from the rows of feature counts."""
-        df = (sample > 0).sum(axis=0)
-        self.idf = np.log((1 + len(sample)) / (1 + df))
-        x = self.weigh(sample)
-        x = x[np.linalg.norm(x, axis=1) > 0]
-        rng = np.random.default_rng(SEED)
-        self.centroids = x[rng.choice(len(x), min(TOPICS, len(x)), replace=False)] if len(x) else np.zeros((1, DIMENSIONS))
-        for _ in range(15):
-            of = (x @ self.centroids.T).argmax(axis=1) if len(x) else np.empty(0, int)
-            for k in range(len(self.centroids)):
-                if (of == k).any():
-                    c = x[of == k].sum(axis=0)
-                    self.centroids[k] = c / np.linalg.norm(c)
+    """Centroids of unit length, and the weights of features."""
+
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray):
+        self.idf, self.centroids = idf, centroids
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         w = np.sqrt(counts) * self.idf
@@ -80,15 +74,75 @@ class Topics:
         return out
 
 
+def _dense(rows: pa.Array) -> np.ndarray:
+    """Counts from arrays of feature and count in turn."""
+    flat, sizes = rows.flatten().to_numpy(zero_copy_only=False), rows.value_lengths().fill_null(0).to_numpy()
+    out = np.zeros((len(rows), DIMENSIONS))
+    out[np.repeat(np.arange(len(rows)), sizes // 2), flat[::2]] = flat[1::2]
+    return out
+
+
+def _summed(rows: DataFrame, sums) -> np.ndarray:
+    """The sum over all tasks of what sums(counts) gives of a batch of rows, (topic, feature) -> value: TOPICS x DIMENSIONS."""
+
+    def total(batches):
+        held = np.zeros((TOPICS, DIMENSIONS))
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                held += sums(_dense(batch.column("x").slice(at, 512)))
+        k = np.flatnonzero(held)
+        yield pa.record_batch({"k": k, "value": held.ravel()[k]})
+
+    got = rows.select("x").mapInArrow(total, "k long, value double").groupBy("k").agg(F.sum("value").alias("value")).toPandas()  # TOPICS x DIMENSIONS at most
+    out = np.zeros(TOPICS * DIMENSIONS)
+    out[got.k.to_numpy()] = got.value.to_numpy()
+    return out.reshape(TOPICS, DIMENSIONS)
+
+
 def fit_topics(docs: DataFrame, id_col: str, text_col: str) -> Topics:
+    """Spherical k-means over all documents, from the documents of the smallest hashes of their text."""
+
     @F.arrow_udf("array<int>")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t).astype(np.int32) for t in utf8(texts)], pa.list_(pa.int32()))
+        out = []
+        for t in utf8(texts):
+            x = features(t)
+            k = np.flatnonzero(x)
+            out.append(np.stack((k, x[k]), axis=1).ravel().astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    tables = Tables(docs.sparkSession)
+    rows = tables.put("features", docs.select(F.col(text_col).alias("t")).where("t is not null").select(F.xxhash64("t", F.lit(SEED)).alias("h"), counted("t").alias("x")).where(F.size("x") > 0))
+    first = rows.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(TOPICS).collect()  # different texts
+    count = rows.count()
+    if not first:
+        return Topics(np.zeros(DIMENSIONS), np.zeros((1, DIMENSIONS)))
+
+    def held(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((TOPICS, DIMENSIONS))
+        out[0] = (x > 0).sum(axis=0)
+        return out
+
+    topics = Topics(np.log((1 + count) / (1 + _summed(rows, held)[0])), np.zeros((1, DIMENSIONS)))
+    topics.centroids = topics.weigh(_dense(pa.array([r.x for r in first], pa.list_(pa.int32()))))
 
-    share = bounded_share(docs.count(), SAMPLE)
-    rows = docs.where(hash_share(id_col, share, SEED)).select(F.col(id_col).cast("string").alias("id"), counted(F.col(text_col)).alias("x")).toPandas()  # about SAMPLE rows
-    rows = rows.sort_values("id", kind="stable")
-    return Topics(np.stack(rows.x.to_numpy()) if len(rows) else np.zeros((0, DIMENSIONS)))
+    def nearest(x: np.ndarray) -> np.ndarray:
+        x = topics.weigh(x)
+        of = (x @ topics.centroids.T).argmax(axis=1)
+        out = np.zeros((TOPICS, DIMENSIONS))
+        for k in range(len(topics.centroids)):
+            out[k] = x[of == k].sum(axis=0)
+        return out
+
+    for _ in range(LLOYD):
+        sums = _summed(rows, nearest)[: len(topics.centroids)]
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        before, topics.centroids = topics.centroids, np.where(norms > 0, sums / np.maximum(norms, 1e-12), topics.centroids)
+        if np.abs(topics.centroids - before).max() < 1e-3:
+            break
+    topics.centroids = np.round(topics.centroids, 9)  # the order in which tasks are added doesn't matter
+    tables.clear()
+    return topics
 
 
 def topic_column(text: Column | str, topics: Topics) -> Column:
@@ -119,40 +173,66 @@ def target_tokens(have: dict[str, float], wanted: dict[str, float] | None, keep:
     return out
 
 
+def _ended(worst: float, moved: float, round_: int) -> bool:
+    """Whether raking is over: the marginals hold, or the rates stay, or its rounds are used up."""
+    if worst < CLOSE:
+        return True
+    if moved < CLOSE / 100 or round_ == ROUNDS - 1:
+        warnings.warn(f"raking ends with a marginal that misses its targets by {worst:.3g} of its tokens", stacklevel=2)
+        return True
+    return False
+
+
 def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], keep: float) -> np.ndarray:
     """Each cell's rate, in the driver."""
     rate, tokens = np.full(len(cells), keep), cells.tokens.to_numpy(float)
     codes = {m: pd.Categorical(cells[m], categories=sorted(targets[m])).codes for m in targets}
     wanted = {m: np.array([targets[m][k] for k in sorted(targets[m])]) for m in targets}
-    for _ in range(ROUNDS):
-        worst = 0.0
+    for round_ in range(ROUNDS):
+        worst, before = 0.0, rate
         for m, code in codes.items():
             now = np.bincount(code, rate * tokens, len(wanted[m]))
             worst = max(worst, np.abs(now - wanted[m]).sum() / max(wanted[m].sum(), 1e-9))
             factor = np.divide(wanted[m], now, out=np.where(wanted[m] > 0, 1.0, 0.0), where=now > 0)
             rate = np.minimum(1.0, rate * factor[code])
-        if worst < CLOSE:
+        if _ended(worst, np.abs(rate - before) @ tokens / max(rate @ tokens, 1e-9), round_):
             break
     return rate
 
 
-def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: int = 40) -> DataFrame:
+def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], keep: float) -> DataFrame:
     """The same for any number of cells and categories; targets are (category, wanted) of each marginal."""
-    cells = stored(cells.withColumn("rate", F.lit(float(keep))))
-    for _ in range(rounds):
-        new = cells.withColumn("before", F.col("rate"))
+    tables = Tables(cells.sparkSession)
+    cells = tables.put("cells", cells.withColumn("rate", F.lit(float(keep))))
+    for round_ in range(ROUNDS):
+        new, worst = cells.withColumn("before", F.col("rate")), 0.0
         for m, wanted in targets.items():
-            now = new.groupBy(m).agg(F.sum(F.col("rate") * F.col("tokens")).alias("now")).join(wanted, m)
+            now = tables.put("now", new.groupBy(m).agg(F.sum(F.col("rate") * F.col("tokens")).alias("now")).join(wanted, m))
+            off = now.agg(F.sum(F.abs(F.col("now") - F.col("wanted"))), F.sum("wanted")).first()
+            worst = max(worst, (off[0] or 0.0) / max(off[1] or 0.0, 1e-9))
             factor = now.select(m, F.when(F.col("now") > 0, F.col("wanted") / F.col("now")).otherwise(F.signum("wanted")).alias("factor"))
             new = new.join(factor, m).withColumn("rate", F.least(F.lit(1.0), F.col("rate") * F.col("factor"))).drop("factor")
-        new = stored(new)
+            new = tables.put(f"raked_{m}", new)
         moved = new.agg(F.sum(F.abs(F.col("rate") - F.col("before")) * F.col("tokens")), F.sum(F.col("rate") * F.col("tokens"))).first()
-        cells = new.drop("before")
-        if (moved[0] or 0.0) <= CLOSE * max(moved[1] or 0.0, 1e-9):
+        cells = tables.put("cells", new.drop("before"))
+        if _ended(worst, (moved[0] or 0.0) / max(moved[1] or 0.0, 1e-9), round_):
             break
     return cells
 
 
+def residuals(assigned: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """(marginal, category, target, share): what share of the kept tokens each category was to have, and has in expectation."""
+    out = None
+    for m in targets:
+        expected = F.coalesce(F.sum(F.col("tokens") * F.col("probability")), F.lit(0.0))
+        total = assigned.agg(expected.alias("total"))
+        wanted = assigned.sparkSession.createDataFrame(sorted(targets[m].items()), "category string, target double")
+        have = assigned.groupBy(F.coalesce(m, F.lit(_NULL)).alias("category")).agg(expected.alias("have"))
+        of = have.join(wanted, "category", "full").join(F.broadcast(total)).select(F.lit(m).alias("marginal"), "category", F.coalesce("target", F.lit(0.0)).alias("target"), (F.coalesce("have", F.lit(0.0)) / F.greatest("total", F.lit(1e-9))).alias("share"))
+        out = of if out is None else out.unionByName(of)
+    return out
+
+
 def rates(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """cells (source, language, topic, tokens) with their rates."""
     spark = cells.sparkSession
@@ -182,34 +262,32 @@ def rates(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return rake_distributed(cells, wanted, keep).select(*MARGINALS, "rate")
 
 
-def _filed(docs: DataFrame, topics: Topics | None, text_col: str, lang_col: str, source_col: str, topic_col: str | None) -> DataFrame:
-    """docs with columns __source, __language, __topic and __tokens."""
+def _filed(docs: DataFrame, topics: Topics | None, id_col: str, text_col: str, lang_col: str, source_col: str, topic_col: str | None) -> DataFrame:
+    """(row, id, source, language, topic, tokens) of each row of docs; row holds all its columns."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
     topic = named(topic_col) if topic_col else topic_column(F.col(text_col), topics)
-    return docs.withColumns({"__source": named(source_col), "__language": named(lang_col), "__topic": topic, "__tokens": tokens_column(F.col(text_col))})
+    return boxed(docs, id=F.col(id_col), source=named(source_col), language=named(lang_col), topic=topic, tokens=tokens_column(F.col(text_col)))
 
 
-def _drawn(filed: DataFrame, rated: DataFrame, id_col: str, small: bool) -> DataFrame:
-    """filed with __rate, the probability, and __kept, whether the draw keeps the row."""
-    rated = rated.select(*(F.col(m).alias(f"__{m}") for m in MARGINALS), F.col("rate").alias("__rate"))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return filed.join(F.broadcast(rated) if small else rated, [f"__{m}" for m in MARGINALS], "left").withColumn("__rate", F.coalesce("__rate", F.lit(0.0))).withColumn("__kept", draw < F.col("__rate"))
+def _drawn(filed: DataFrame, rated: DataFrame, small: bool) -> DataFrame:
+    """filed with its rate, the probability, and whether the draw keeps the row."""
+    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return filed.join(F.broadcast(rated) if small else rated, list(MARGINALS), "left").withColumn("rate", F.coalesce("rate", F.lit(0.0))).withColumn("kept", draw < F.col("rate"))
 
 
 def assign(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", topic_col: str | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(id, source, language, topic, tokens, probability, kept) of each row."""
     topics = None if topic_col else fit_topics(docs, id_col, text_col)
-    filed = _filed(docs.select(*dict.fromkeys(c for c in (id_col, text_col, lang_col, source_col, topic_col) if c)), topics, text_col, lang_col, source_col, topic_col)
-    slim = cut(filed.select(F.col(id_col).alias("__id"), "__source", "__language", "__topic", "__tokens"))
-    cells = cut(slim.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINALS)).agg(F.sum("__tokens").alias("tokens")))
-    drawn = _drawn(slim, rates(cells, targets, keep, temperature, driver_cells), "__id", cells.count() <= driver_cells)
-    shown = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return drawn.select(F.col("__id").alias(id_col), shown("__source").alias("source"), shown("__language").alias("language"), shown("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__rate").alias("probability"), F.col("__kept").alias("kept"))
+    slim = cut(_filed(docs.select(*dict.fromkeys(c for c in (id_col, text_col, lang_col, source_col, topic_col) if c)), topics, id_col, text_col, lang_col, source_col, topic_col).drop("row"))
+    cells = cut(slim.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
+    drawn = _drawn(slim, rates(cells, targets, keep, temperature, driver_cells), cells.count() <= driver_cells)
+    shown = lambda c: F.when(F.col(c) != _NULL, F.col(c)).alias(c)
+    return drawn.select(F.col("id").alias(id_col), shown("source"), shown("language"), shown("topic"), "tokens", F.col("rate").alias("probability"), "kept")
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", topic_col: str | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """The rows of docs that the draw keeps, with all their columns; rows are judged where they are read."""
     topics = None if topic_col else fit_topics(docs, id_col, text_col)
-    filed = _filed(docs, topics, text_col, lang_col, source_col, topic_col)
-    cells = cut(filed.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINALS)).agg(F.sum("__tokens").alias("tokens")))
-    return _drawn(filed, rates(cells, targets, keep, temperature, driver_cells), id_col, cells.count() <= driver_cells).where("__kept").select(*(docs[c] for c in docs.columns))
+    filed = _filed(docs, topics, id_col, text_col, lang_col, source_col, topic_col)
+    cells = cut(filed.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
+    return _drawn(filed, rates(cells, targets, keep, temperature, driver_cells), cells.count() <= driver_cells).where("kept").select("row.*")

@@ -5,12 +5,12 @@ each filter's activation is max-pooled over its chunk, and the mean of the poole
 with how short the text is, gives one probability through a logistic layer. As an embedding followed by a filter is a table of 256 rows
 for each of the filter's places, scoring adds WIDTH table rows at each byte.
 
-Training reads at most `max_rows` labelled rows (a hash of the id chooses them) and at most `max_chunks`
-evenly spaced chunks of each; both are parameters. Scoring reads every byte of every text.
+Training reads every byte of at most about `max_rows` labelled rows, a parameter (a hash of the id chooses them; of an id that
+has several texts one). Scoring reads every byte of every text.
 
 Defined results: null and empty texts are scored as a text of one gap; without any labelled row every score
 is 0.5; with labels of one class only, scores lean to that class; labels other than 0 and 1 and null labels
-don't train; repeated rows train repeatedly; an empty table gives an empty result; only the named columns are
+don't train; repeated rows train once; ties don't arise; an empty table gives an empty result; only the named columns are
 read.
 """
 
@@ -37,7 +37,6 @@ LEAST_STEPS = 500
 BATCH = 32
 RATE = 0.004
 MAX_ROWS = 3000
-MAX_CHUNKS = 4
 THRESHOLD = 0.7
 SEED = 7
 #: Chunks that scoring takes at once, for bounded memory.
@@ -87,8 +86,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(samples: list[list[bytes]], labels: np.ndarray) -> Model:
-    """Adam on the logistic loss. samples: the chunks of each row."""
+def fit(samples: list[bytes], labels: np.ndarray) -> Model:
+    """Adam on the logistic loss, of whole texts."""
     rng = np.random.default_rng(SEED)
     par = {
         "embed": rng.normal(0, 0.5, (256, EMBEDDED)),
@@ -107,25 +106,24 @@ def fit(samples: list[list[bytes]], labels: np.ndarray) -> Model:
         order = rng.permutation(len(samples))
         for at in range(0, len(order), BATCH):
             take = order[at : at + BATCH]
-            lines, owner, share = [], [], []
-            for b, i in enumerate(take):
-                for c in samples[i]:
-                    lines.append(c + b" " * (CHUNK - len(c)))
-                    owner.append(b)
-                    share.append(1 / len(samples[i]))
-            owner, share = np.array(owner), np.array(share, np.float32)[:, None]
-            a = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, CHUNK)
+            parts = [chunks(samples[i]) for i in take]
+            a = np.concatenate([np.pad(c, ((0, 0), (0, CHUNK - c.shape[1])), constant_values=32) for c in parts])
+            owner = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
+            share = (1 / np.array([len(c) for c in parts], np.float32))[owner][:, None]
             n = CHUNK - WIDTH + 1
             tables = np.einsum("be,wef->wbf", par["embed"], par["filters"].reshape(WIDTH, EMBEDDED, FILTERS))
-            total = tables[0][a[:, :n]]
-            for j in range(1, WIDTH):
-                total += tables[j][a[:, j : j + n]]
-            where = total.argmax(axis=1)  # chunk x filter
-            top = np.take_along_axis(total, where[:, None, :], 1)[:, 0] + par["bias"]
+            where, top = np.empty((len(a), FILTERS), np.intp), np.empty((len(a), FILTERS), np.float32)  # chunk x filter
+            for low in range(0, len(a), PIECE // 4):
+                some = a[low : low + PIECE // 4]
+                total = tables[0][some[:, :n]]
+                for j in range(1, WIDTH):
+                    total += tables[j][some[:, j : j + n]]
+                where[low : low + PIECE // 4] = total.argmax(axis=1)
+                top[low : low + PIECE // 4] = total.max(axis=1) + par["bias"]
             pool = np.maximum(top, 0)
             mean = np.zeros((len(take), FILTERS), np.float32)
             np.add.at(mean, owner, pool * share)
-            mean = np.hstack((mean, np.array([gaps(len(samples[i][0])) for i in take], np.float32)))
+            mean = np.hstack((mean, np.array([gaps(c.shape[1]) for c in parts], np.float32)))
             z = mean @ par["weights"] + par["offset"]
             wrong = (1 / (1 + np.exp(-z)) - labels[take]).astype(np.float32) / len(take)
             back = (wrong[owner][:, None] * share) * par["weights"][:-GAPS] * (top > 0)  # chunk x filter
@@ -146,22 +144,13 @@ def fit(samples: list[list[bytes]], labels: np.ndarray) -> Model:
     return Model(np.round(tables / unit).astype(np.int16), unit, par["bias"], par["weights"].astype(np.float64), float(par["offset"][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_chunks: int = MAX_CHUNKS) -> Model:
-    """Learn from the rows of docs that have a label. About max_rows x max_chunks x CHUNK bytes come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
+    """Learn from the rows of docs that have a label. About max_rows texts come to the driver."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     known = known.where(hash_share("id", bounded_share(known.count(), max_rows), SEED))
-
-    @F.arrow_udf("array<binary>")
-    def spread(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in utf8(texts):
-            rows = chunks(t or b"")
-            out.append([rows[i].tobytes() for i in np.unique(np.linspace(0, len(rows) - 1, min(len(rows), max_chunks)).astype(int))])
-        return pa.array(out, pa.list_(pa.binary()))
-
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # at most about max_rows rows
-    rows = sorted(joined.select("id", "y", spread("text").alias("chunks")).toLocalIterator(), key=lambda r: (r.id, r.chunks, r.y))[: 2 * max_rows]
-    return fit([[bytes(c) for c in r.chunks] for r in rows], np.array([r.y for r in rows], np.float64))
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # about max_rows ids
+    rows = sorted(joined.groupBy("id", "y").agg(F.min("text").alias("text")).toLocalIterator(), key=lambda r: r.id)
+    return fit([(r.text or "").encode() for r in rows], np.array([r.y for r in rows], np.float64))
 
 
 def score_column(text: Column | str, model: Model) -> Column:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import boxed, cut
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,8 @@ FURTHER = [
 RULES = BASE + FURTHER
 #: An alternative that could be more strings than this is not expanded; the query goes on without it.
 MOST_STRINGS = 64
+#: Matches that are gone through at once.
+RUN = 128
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
@@ -167,9 +169,17 @@ def _spans(text: Column, rule: Rule) -> tuple[Column, Column, Column]:
         more = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(F.char_length(counted) >= rule.least, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
-    # The pieces and the matches alternate; their lengths add up to the offsets.
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size("m") - 1), none, step, lambda acc: acc["out"])
+    # The pieces and the matches alternate; their lengths add up to the offsets. Matches are gone through in runs, as an array
+    # that grows by one is copied each time.
+    start = lambda at: F.struct(at.alias("at"), F.array().cast(SPANS).alias("out"))
+    last = F.size("m") - 1
+
+    def run(acc: Column, j: Column) -> Column:
+        inner = F.aggregate(F.sequence(j * RUN, F.least(j * RUN + (RUN - 1), last)), start(acc["at"]), step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    found = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(last / RUN).cast("int")), none, run, lambda acc: acc["out"]))
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1), found
 
 
@@ -185,15 +195,17 @@ def _with_spans(rows: DataFrame, text: str, rules: list[Rule], when=None) -> Dat
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column `__spans_<kind>` for each rule. All columns of docs stay; __text is its text, empty for null."""
+    """(row, id, text, and __spans_<kind> for each rule): row holds all columns of docs, whatever their names; text is its text,
+    empty for null."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
     full = [r for r in rules if r not in indexed]
-    found = cut(candidates(build_index(docs, indexed, id_col, text_col), indexed)).withColumnRenamed("id", "__id").withColumnRenamed("kinds", "__kinds")
+    found = cut(candidates(build_index(docs, indexed, id_col, text_col), indexed)).withColumnRenamed("id", "k")
     # Rows are verified where they are read if the candidates are few, else after one shuffle by id; candidates are the side that is hashed.
-    rows = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["__id"]), "left").withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    rows = _with_spans(rows, "__text", full)
-    rows = _with_spans(rows, "__text", indexed, lambda r: F.array_contains("__kinds", r.kind))
-    return rows.drop("__id", "__kinds")
+    rows = boxed(docs, id=F.col(id_col), text=F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.join(found.hint("shuffle_hash"), rows.id.eqNullSafe(found.k), "left")
+    rows = _with_spans(rows, "text", full)
+    rows = _with_spans(rows, "text", indexed, lambda r: F.array_contains("kinds", r.kind))
+    return rows.drop("k", "kinds")
 
 
 def _joined(kinds: list[str]) -> Column:
@@ -206,7 +218,7 @@ def report(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", t
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
     base = [r.kind for r in BASE]
     return scan(docs.select(id_col, text_col), rules, id_col, text_col).select(
-        F.col(id_col),
+        F.col("id").alias(id_col),
         *(F.size(f"__spans_{k}").cast("long").alias(f"n_{k}") for k in base),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined([r.kind for r in rules]).alias("spans"),
@@ -215,19 +227,18 @@ def report(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", t
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by the mask, spans that overlap by one. Null texts stay null."""
-    columns = docs.columns
     rows = scan(docs, rules, id_col, text_col)
     every = F.array_sort(F.concat(*(F.transform(f"__spans_{r.kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for r in rules)))
-    rows = rows.withColumn("__all", every)
-    # Code points before `at` are written; a span that begins before it only moves it on.
-    cut_at = F.aggregate(
-        F.col("__all"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+    # What isn't masked lies between the furthest end so far and the next start beyond it.
+    gaps = F.aggregate(
+        F.col("spans"),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end"))))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.char_length("__text"))),
+        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.char_length("text").alias("end")))),
     )
-    rows = rows.withColumn(text_col, F.when(F.size("__all") > 0, cut_at).otherwise(F.col(text_col)))
-    return rows.select(*columns)
+    pieces = F.transform(gaps, lambda g: F.substring(F.col("text"), g["start"] + 1, g["end"] - g["start"]))
+    masked = F.when(F.size("spans") > 0, F.array_join(pieces, mask)).otherwise(F.col("row")[text_col])
+    return rows.withColumn("spans", every).select(F.col("row").withField(f"`{text_col}`", masked).alias("row")).select("row.*")

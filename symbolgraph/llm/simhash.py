@@ -9,7 +9,7 @@ filed again, exactly, under every value within 1 bit of them (65 each): two fing
 such a value in common, no value has more than 65 of them, and all of those lie within 2 bits of each other.
 
 Defined results: a null text counts as a text without words; a text without words has fingerprint zero and
-links like any other; rows with equal doc_id keep one row each; a null doc_id is never a component's id
+links like any other; rows with equal doc_id keep one row each, judged by their own texts; a null doc_id is never a component's id
 unless the component has no other; an empty table gives an empty result; only the named columns are read.
 """
 
@@ -21,11 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, utf8
+from .common import boxed, connected_components, cut, utf8
 
 SEED = 42
 MAX_BITS = 2
+#: A key of more distinct fingerprints than this is searched through the values within one bit instead; both ways are exact.
 HOT = 64
+#: Keys of more fingerprints than HEAVY are broadcast, so that no task gets all of one, if they are MOST_HEAVY at most.
+HEAVY, MOST_HEAVY = 10_000, 100_000
 _PAIRS = [(i, j) for i in range(4) for j in range(i)]
 
 
@@ -64,9 +67,12 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """All pairs (u, v), or pairs that connect the same fingerprints, of distinct fingerprints `fp` within 2 bits."""
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
     keys = F.array(*(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(_PAIRS)))
-    filed = nodes.select("fp", F.explode(keys).alias("k"))
+    filed = cut(nodes.select("fp", F.explode(keys).alias("k")))
     shared = filed.groupBy("k").count().where("count > 1")
-    filed = cut(filed.join(shared, "k"))
+    # Keys of very many fingerprints are few, as the fingerprints are distinct: they are met where the rows are.
+    heavy = shared.where(F.col("count") > HEAVY)
+    heavy = F.broadcast(heavy) if heavy.count() <= MOST_HEAVY else heavy
+    filed = cut(filed.join(heavy, "k").unionByName(filed.join(heavy, "k", "left_anti").join(shared.where(F.col("count") <= HEAVY), "k")))
     few = filed.where(F.col("count") <= hot)
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
     pairs = few.select("k", F.col("fp").alias("u")).join(few.select("k", F.col("fp").alias("v")), "k").where("u < v").where(close).select("u", "v")
@@ -77,27 +83,38 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
-    """(id, fingerprint, component_id): one row for each row of docs."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, hot: int) -> DataFrame:
+    """(id, fp, component, root): of each row, its fingerprint, its component's smallest id, and its group's own key."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = cut(connected_components(links(nodes.select("fp"), hot)).select(F.col("node").alias("fp"), "root"))
     groups = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("group_least"))
-    of = nodes.join(roots, "fp", "left").join(groups, "root", "left").select("fp", F.coalesce("group_least", "least").alias("component"))
-    return prints.join(of, "fp").select(
+    of = nodes.join(roots, "fp", "left").join(groups, "root", "left").select("fp", F.coalesce("group_least", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(of, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
+    """(id, fingerprint, component_id): one row for each row of docs."""
+    return _grouped(docs, id_col, text_col, width, hot).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group, that of the smallest id. Rows without an id stay."""
-    found = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"))
-    losers = found.where("__id <> component_id").select("__id").distinct()
-    kept = docs.join(losers.hint("shuffle_hash"), docs[id_col] == losers["__id"], "left_anti")
-    repeated = found.groupBy("__id").count().where("count > 1 and __id is not null").select("__id")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
+    """docs with one row of each group: one of those of the smallest id. Rows without an id stay. Of rows that share an id each
+    is judged in the group of its own text."""
+    found = cut(_grouped(docs, id_col, text_col, width, hot).where("id is not null").groupBy("id", "fp").agg(F.count("*").alias("rows"), F.first("component").alias("component"), F.first("root").alias("root")))
+    by_id = found.groupBy("id").agg(F.sum("rows").alias("rows"), F.min("component").alias("component"))
+    repeated = cut(by_id.where("rows > 1").select("id"))
+    losers = by_id.where("rows = 1 and id <> component").select("id")
+    rows = boxed(docs, id=F.col(id_col), text=F.col(text_col))
+    single = rows.join(losers.unionByName(repeated).hint("shuffle_hash"), "id", "left_anti").select("row")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, kept[id_col] == repeated["__id"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == repeated["__id"], "left_anti").unionByName(again)
+        return single.select("row.*")
+    # A row of an id that several rows have is known by id and fingerprint.
+    winners = found.join(repeated, "id").where("id = component").select("id", "fp", "root")
+    again = rows.join(repeated, "id", "left_semi").withColumn("fp", fingerprint_column(F.col("text"), width)).join(winners, ["id", "fp"])
+    again = again.groupBy("id", "root").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(again).select("row.*")

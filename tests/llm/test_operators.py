@@ -275,6 +275,70 @@ def test_mixing_topics_and_empty_tables(spark):
     assert mixing.assign(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
 
 
+def plain_raking(cells, targets, keep, rounds=400):
+    """Iterative proportional fitting over a dict of cells -> tokens, targets of each marginal in tokens."""
+    rate = dict.fromkeys(cells, keep)
+    for _ in range(rounds):
+        for m, wanted in enumerate(targets):
+            now = {}
+            for cell, tokens in cells.items():
+                now[cell[m]] = now.get(cell[m], 0.0) + rate[cell] * tokens
+            for cell in cells:
+                if now[cell[m]] > 0:
+                    rate[cell] = min(1.0, rate[cell] * wanted[cell[m]] / now[cell[m]])
+    return rate
+
+
+@pytest.mark.parametrize("driver_cells", [0, 1000])
+def test_mixing_equals_plain_raking(spark, driver_cells):
+    rng = np.random.default_rng(13)
+    rows = [(i, "w " * int(rng.integers(1, 30)), ["en", "de", "fr"][int(rng.integers(3))], f"s{int(rng.integers(4)) if i % 3 else 0}") for i in range(600)]
+    frame = docs(spark, rows).withColumn("t", mixing.F.concat(mixing.F.lit("t"), (mixing.F.col("doc_id") % 2).cast("string")))
+    shares = {"source": {"s0": 0.3, "s1": 0.3, "s2": 0.2, "s3": 0.2}, "language": {"en": 0.5, "de": 0.25, "fr": 0.25}, "topic": {"t0": 0.6, "t1": 0.4}}
+    got = mixing.assign(frame, shares, keep=0.3, topic_col="t", driver_cells=driver_cells).toPandas()
+    cells = {}
+    for r in got.itertuples():
+        cells[r.source, r.language, r.topic] = cells.get((r.source, r.language, r.topic), 0) + r.tokens
+    total = 0.3 * sum(cells.values())
+    want = plain_raking(cells, [{k: v * total for k, v in shares[m].items()} for m in mixing.MARGINALS], 0.3)
+    assert all(abs(r.probability - want[r.source, r.language, r.topic]) < 2e-3 for r in got.itertuples())
+    missed = mixing.residuals(spark.createDataFrame(got), shares).collect()
+    assert len(missed) == 9 and all(abs(r.target - r.share) < 1e-3 for r in missed)
+
+
+def test_contradictory_targets_warn_and_end(spark):
+    frame = docs(spark, [(i, "w w w", "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(40)]).withColumn("t", mixing.F.lit("x"))
+    with pytest.warns(UserWarning, match="misses"):
+        mixing.assign(frame, {"source": {"a": 0.9, "b": 0.1}, "language": {"en": 0.1, "de": 0.9}}, keep=0.4, topic_col="t").count()
+
+
+def test_stages_keep_columns_whose_names_they_use(spark):
+    """Extra columns of names that operators use inside, one id for several texts, and repeated rows."""
+    names = "m b k h fp id row text_ kinds spans __spans_hex __source source_ __found found rate kept tokens topic language root component".split()
+    rows = [(1, "a b c d", 1), (3, "a b c d", 2), (3, "unique text that is nowhere else", 3), (4, "first of two texts here", 4), (4, "second quite other words there", 5), (4, "second quite other words there", 6), (None, "a b c d", 7), (None, None, 8), (9, "token=abcdefabcdef123456 x", 9)]
+    frame = spark.createDataFrame([(i, t, "en", "s", *[n] * len(names)) for i, t, n in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == sorted([(1, "a b c d"), (3, "unique text that is nowhere else"), (4, "first of two texts here"), (4, "second quite other words there"), (9, "token=abcdefabcdef123456 x")])
+    assert sum(r.doc_id is None for r in got) == 2
+    assert all(len({r[n] for n in names}) == 1 for r in got)
+    masked = secrets.redact(frame)
+    assert masked.columns == frame.columns and {(r.m, r.text) for r in masked.collect()} == {(n, "[SECRET] x" if n == 9 else t) for _, t, n in rows}
+    mixed = mixing.mix(frame, keep=1.0, temperature=1.0)
+    assert mixed.columns == frame.columns and mixed.count() == len(rows)
+    import corpus_pipeline
+
+    assert corpus_pipeline.language_id(spark, frame, "").columns == frame.columns
+    assert decontam.clean(frame, spark.createDataFrame([(1, "nothing of this kind is in there at all, nowhere", 0)], "item_id long, text string, m int")).count() == len(rows)
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token={'%012x' % i}zz" for i in range(1, 1500))
+    got = secrets.report(docs(spark, [(1, text, "en", "s")])).first()
+    assert got.n_assign == 1499 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_spans(text)).encode()).hexdigest()
+
+
 # --- nearest neighbours
 
 
@@ -328,6 +392,56 @@ def test_language_mixtures(spark):
     assert langid.identify(docs(spark, [(1, "abc", None, "s")])).first().lang_pred == "und"
 
 
+def plain_mixture(model, text):
+    """Expectation-maximisation over single trigrams, in plain Python."""
+    codes, counts = langid.trigrams(text)
+    grams = [(int(c), int(n)) for c, n in zip(codes, counts)]
+
+    def fit(rows):
+        share = [1 / len(rows)] * len(rows)
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(rows)
+            for c, n in grams:
+                each = [s * model.likelihood[r, c] for s, r in zip(share, rows)]
+                for i, x in enumerate(each):
+                    new[i] += n * x / sum(each)
+            new = [x / sum(n for _, n in grams) for x in new]
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(n * np.log(sum(s * model.likelihood[r, c] for s, r in zip(share, rows))) for c, n in grams)
+
+    last = len(model.languages)
+    share, _ = fit(list(range(last + 1)))
+    order = sorted(range(last), key=lambda k: -share[k])
+    penalty = langid.CORRELATION * 0.5 * np.log(sum(n for _, n in grams) + 1)
+    best, score = fit([order[0], last])
+    size = 1
+    while size < last:
+        wider, likelier = fit([*order[: size + 1], last])
+        if likelier - penalty <= score:
+            break
+        size, best, score = size + 1, wider, likelier
+    return {model.languages[k]: best[i] for i, k in enumerate(order[:size])}
+
+
+def test_language_mixtures_equal_plain_expectation_maximisation(spark):
+    rng = np.random.default_rng(14)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnoé"}
+    frame = docs(spark, [(i, spoken(rng, letters[k], 80), k, "s") for i, k in enumerate(np.repeat(list(letters), 20).tolist())])
+    model = langid.train(frame)
+    texts = [" ".join(spoken(rng, letters[k], int(n)) for k, n in zip(letters, rng.integers(0, 60, 3))).encode() for _ in range(25)]
+    for text in texts:
+        if not langid.has_letter(text):
+            continue
+        want = plain_mixture(model, text)
+        top, score, shares = model.identify(text)
+        assert set(shares) == set(want) and all(abs(shares[k] - v) < 1e-6 for k, v in want.items()) and abs(score - max(want.values())) < 1e-6
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(frame, max_languages=2)
+
+
 def test_trigrams_of_pieces_add_up(monkeypatch):
     text = ("abc déf " * 400).encode()
     whole = dict(zip(*(x.tolist() for x in langid.trigrams(text))))
@@ -424,6 +538,27 @@ def test_quality_separates_junk_and_covers_whole_texts(spark):
     assert model.score(good * 20) > model.score(good * 2 + rows[0][1].encode() * 18)
 
 
+def test_quality_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(15)
+    texts = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(0, 3000, 40)]
+    model = quality.fit(texts, np.array([len(t) % 2 for t in texts], float))
+    for text in [*texts[:12], b"", b"abc", None]:
+        raw = text or b" "
+        pieces = [raw + b" " * max(0, quality.WIDTH - len(raw))] if len(raw) <= quality.CHUNK else []
+        at = 0
+        while not pieces or len(raw) > quality.CHUNK and at is not None:
+            first = min(at, len(raw) - quality.CHUNK)
+            pieces.append(raw[first : first + quality.CHUNK])
+            at = at + quality.STEP if first == at and at < len(raw) - quality.CHUNK else None
+        pooled = np.zeros(quality.FILTERS)
+        for piece in pieces:
+            for f in range(quality.FILTERS):
+                best = max(sum(int(model.tables[j, piece[i + j], f]) for j in range(quality.WIDTH)) for i in range(len(piece) - quality.WIDTH + 1))
+                pooled[f] += max(best * model.unit + model.bias[f], 0)
+        z = pooled / len(pieces) @ model.weights[: quality.FILTERS] + quality.gaps(len(pieces[0])) @ model.weights[quality.FILTERS :] + model.offset
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_chunks_cover_every_byte():
     for n in (1, 5, 1023, 1024, 1025, 2032, 2033, 5000):
         text = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
