@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgraph.llm import decontam, langid, mixing, secrets, simhash
-from symbolgraph.llm.common import read_table, shared_folder
+from symbolgraph.llm.common import boxed, read_table, shared_folder
 
 #: A document goes if no language makes up this share of it.
 LEAST_SHARE = 0.2
@@ -20,8 +20,8 @@ LEAST_SHARE = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(langid.training_rows(docs))
-    found = docs.withColumn("__found", langid.identify_column("text", model))
-    return found.where((F.col("__found.lang") != langid.UNKNOWN) & (F.col("__found.score") >= LEAST_SHARE)).drop("__found")
+    found = boxed(docs, found=langid.identify_column("text", model))
+    return found.where((F.col("found.lang") != langid.UNKNOWN) & (F.col("found.score") >= LEAST_SHARE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
