@@ -62,18 +62,15 @@ def layer(node: Column) -> Column:
 
 
 def layer_rank(name: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for label, rank in {label: rank for _, label, rank in LAYERS}.items():
-        out = F.when(name == label, rank).otherwise(out)
-    return out
+    return F.create_map(*(F.lit(x) for label, rank in {label: rank for _, label, rank in LAYERS}.items() for x in (label, rank)))[name]
 
 
 def short_label(node: Column) -> Column:
     """The last segment of a namespaced id; endpoints as `VERB path`; the tail of field ids."""
     return (
         F.when(node.startswith("api:"), F.regexp_replace(F.regexp_replace(node, "^api:", ""), "^([A-Z]+):", "$1 "))
-        .when(node.startswith("request_field:"), F.concat(F.lit("request."), F.substring_index(node, ":", -1)))
-        .when(node.startswith("model_field:"), F.substring_index(node, "\\", -1))
+        .when(node.startswith("request_field:"), F.concat(F.lit("request:"), F.regexp_replace(node, "^request_field:", "")))
+        .when(node.startswith("model_field:"), F.concat(F.lit("model:"), F.substring_index(F.substring_index(node, ":", -2), ":", 1), F.lit("::"), F.substring_index(node, ":", -1)))
         .otherwise(F.substring_index(node, "\\", -1))
     )
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
 
-#: Used only where the session names no checkpoint folder.
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
+from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that all executors share."""
+    """df, written to the checkpoint folder that all executors share, which the session must name on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or FALLBACK_CHECKPOINT_DIR)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint(eager=True)

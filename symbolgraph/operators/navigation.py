@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolgraph.functions.graph import calls
+from symbolgraph.functions.graph import calls, short_label
 
 
 def _with_node(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
@@ -78,7 +80,7 @@ def prefer_concrete(targets: DataFrame) -> DataFrame:
 
 
 def without_framework(targets: DataFrame, column: str = "id") -> DataFrame:
-    return targets.where(~F.col(column).rlike(r"^\\?(Illuminate|Symfony|Psr)\\") & ~F.col(column).rlike(r"\\Request::(all|input|get|query|only|validate|validated|has|header|user|route|merge)$"))
+    return targets.where(~F.col(column).rlike(r"^(Illuminate|Symfony|Psr)\\") & ~F.col(column).rlike(r"\\Request::(all|input|get|has|filled|validate|only|except|merge)\b"))
 
 
 def kinds_of_calls(edges: DataFrame, node: str) -> DataFrame:
@@ -111,3 +113,138 @@ def neighbours(edges: DataFrame, node: str, limit: int = 10) -> DataFrame:
     deps = deps.select(F.when(F.col("from_id") == node, F.col("to_id")).otherwise(F.col("from_id")).alias("other"), (F.col("to_id") == node).cast("int").alias("i"), (F.col("from_id") == node).cast("int").alias("o"))
     stats = used.unionByName(made).unionByName(deps).groupBy("other").agg(F.sum("i").alias("incoming"), F.sum("o").alias("outgoing"), F.count("*").alias("score"))
     return stats.orderBy(F.desc("score"), "other").limit(limit)
+
+
+# --- lookups for many nodes at once: targets is (target), and a limit holds for each of them
+
+
+def _first(found: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first rows of each target."""
+    place = F.row_number().over(Window.partitionBy("target").orderBy(*order))
+    return found.withColumn("n", place).where(F.col("n") <= limit).drop("n")
+
+
+def lookup(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each target's node; an unknown id has type `unknown`."""
+    found = targets.join(nodes.withColumnRenamed("id", "target"), "target", "left")
+    return found.withColumn("type", F.coalesce("type", F.lit("unknown")))
+
+
+def relation_targets(nodes: DataFrame) -> DataFrame:
+    """(id, target): where relations of a node are kept: a method's are its parent's."""
+    return nodes.select("id", F.when(F.col("type") == "method", F.coalesce("parent", "id")).otherwise(F.col("id")).alias("target"))
+
+
+def into(edges: DataFrame, targets: DataFrame, kinds: Column, limit: int = 20) -> DataFrame:
+    """(target, from_id, type) of the edges of some kinds into each target, by source."""
+    found = edges.where(kinds).select(F.col("to_id").alias("target"), "from_id", "type").distinct()
+    return _first(found.join(targets, "target", "left_semi"), limit, "from_id")
+
+
+def out_of(edges: DataFrame, targets: DataFrame, kinds: Column, limit: int = 20) -> DataFrame:
+    """(target, to_id, type) of the edges of some kinds out of each target, by type and end."""
+    found = edges.where(kinds).select(F.col("from_id").alias("target"), "to_id", "type").distinct()
+    return _first(found.join(targets, "target", "left_semi"), limit, "type", "to_id")
+
+
+def route_handlers(edges: DataFrame) -> DataFrame:
+    """(endpoint, handler): the method that each endpoint is routed to, the smallest if several."""
+    return edges.where("type = 'ROUTES_TO'").groupBy(F.col("from_id").alias("endpoint")).agg(F.min("to_id").alias("handler"))
+
+
+def route_entries(edges: DataFrame, endpoints: DataFrame, limit: int = 20) -> DataFrame:
+    """(target, place, kind, from_id): clients that request each endpoint, then calls to its handler."""
+    handlers = route_handlers(edges).join(endpoints.select(F.col("target").alias("endpoint")), "endpoint", "left_semi")
+    clients = into(edges, endpoints, F.col("type") == "HTTP_REQUEST", limit).select("target", F.lit(0).alias("place"), F.lit("http_client").alias("kind"), "from_id")
+    called = edges.where(calls()).select(F.col("to_id").alias("handler"), "from_id").distinct().join(handlers, "handler").select(F.col("endpoint").alias("target"), F.lit(1).alias("place"), F.lit("call").alias("kind"), "from_id")
+    return _first(clients.unionByName(called), limit, "place", "from_id")
+
+
+def implementations(nodes: DataFrame, edges: DataFrame, methods: DataFrame) -> DataFrame:
+    """(target, implementation): of an interface's method, that of the first class, by id, that implements and has it."""
+    face, name = F.expr("left(target, length(target) - length(substring_index(target, '::', -1)) - 2)"), F.substring_index("target", "::", -1)
+    asked = methods.select("target", face.alias("face"), name.alias("name")).where("face <> ''")
+    owners = edges.where("type = 'IMPLEMENTS'").select(F.col("to_id").alias("face"), F.col("from_id").alias("owner"))
+    found = asked.join(owners, "face").withColumn("id", F.concat_ws("::", "owner", "name")).join(nodes.where("type = 'method'").select("id"), "id", "left_semi")
+    return found.groupBy("target").agg(F.min_by("id", "owner").alias("implementation"))
+
+
+def _inside(edges: DataFrame, targets: DataFrame, kinds: list[str]) -> DataFrame:
+    """Edges of the kinds with the target that either end is or is inside of; an end is joined by each opening of its id that
+    `::` closes, letters folded."""
+    openings = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(F.col(c), "::"))), lambda n: F.lower(F.array_join(F.slice(F.split(F.col(c), "::"), F.lit(1), n), "::")))
+    kept = edges.where(F.col("type").isin(*kinds))
+    ends = kept.withColumn("opening", F.explode(F.array_distinct(F.concat(openings("from_id"), openings("to_id")))))
+    return ends.join(targets.select("target", F.lower("target").alias("opening")).distinct(), "opening").drop("opening")
+
+
+def contexts(nodes: DataFrame, edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
+    """(target, section, place, from_id, to_id): what surrounds each method: `route`, `view`, `entry` (calls, then routes, then
+    views), `upstream` (clients of its routes), `intake`, `flow`, `validates`, `persists`, `config`."""
+    targets = targets.select("target").distinct()
+    row = lambda df, section, a, b, place=F.lit(0): df.select("target", F.lit(section).alias("section"), place.alias("place"), a.alias("from_id"), b.alias("to_id"))
+    source, end, own = F.col("from_id"), F.col("to_id"), F.col("target")
+    routes = into(edges, targets, F.col("type") == "ROUTES_TO", limit)
+    views = into(edges, targets, F.col("type") == "BLADE_USES_ACTION", limit)
+    called = into(edges, targets, calls(), limit)
+    entries = row(called, "entry", source, own).unionByName(row(routes, "entry", source, own, F.lit(1))).unionByName(row(views, "entry", source, own, F.lit(2)))
+    requests = edges.where("type = 'HTTP_REQUEST'").select(F.col("from_id").alias("client"), F.col("to_id").alias("from_id"))
+    upstream = _first(edges.where("type = 'ROUTES_TO'").select(F.col("to_id").alias("target"), "from_id").join(targets, "target", "left_semi").join(requests, "from_id").select("target", F.col("client").alias("from_id"), F.col("from_id").alias("to_id")).distinct(), limit, "from_id", "to_id")
+    scoped = _inside(edges, targets, ["ASSIGNS", "READS_FIELD"]).select("target", "type", "from_id", "to_id").distinct()
+    assigned = scoped.where("type = 'ASSIGNS' and startswith(from_id, 'request_field:')").select("target", F.col("from_id").alias("to_id")).distinct()
+    intake = scoped.where("type = 'ASSIGNS'").unionByName(scoped.where("type = 'READS_FIELD'").join(assigned, ["target", "to_id"], "left_anti").select(*scoped.columns))
+    flows = _inside(edges, targets, ["FLOWS_TO", "ARGUMENT_TO"]).select("target", "type", "from_id", "to_id", F.coalesce("via", F.lit("")).alias("via")).distinct()
+    told = flows.where("type = 'ARGUMENT_TO'").select("target", "from_id", "via").distinct()
+    flow = flows.where("type = 'ARGUMENT_TO'").unionByName(flows.where("type = 'FLOWS_TO'").join(told, ["target", "from_id", "via"], "left_anti").select(*flows.columns))
+    out = [
+        row(routes, "route", source, own), row(views, "view", source, own), _first(entries, limit, "place", "from_id"), row(upstream, "upstream", source, end),
+        row(_first(intake, limit, "type", "from_id", "to_id"), "intake", source, end), row(_first(flow, limit, "type", "from_id", "to_id"), "flow", source, end),
+        *(row(out_of(edges, targets, F.col("type").isin(*kinds), limit), section, own, end) for section, kinds in (("validates", ("VALIDATES", "VALIDATES_FIELD")), ("persists", ("PERSISTS",)), ("config", ("REFERENCES",)))),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+def class_contexts(nodes: DataFrame, edges: DataFrame, classes: DataFrame, limit: int = 20) -> DataFrame:
+    """The same for classes: what surrounds the first 8 methods of each, repeats once."""
+    owned = _first(nodes.where("type = 'method'").select(F.col("parent").alias("target"), "id").join(classes.select("target").distinct(), "target", "left_semi"), 8, "id")
+    found = contexts(nodes, edges, owned.select(F.col("id").alias("target")), max(5, limit // 2)).withColumnRenamed("target", "id")
+    found = found.join(owned, "id").groupBy("target", "section", "place", "from_id", "to_id").agg(F.min("id").alias("id"))
+    place = F.row_number().over(Window.partitionBy("target", "section").orderBy("place", "id", "from_id", "to_id"))
+    return found.withColumn("n", place).where(F.col("n") <= limit).select("target", "section", "place", "from_id", "to_id")
+
+
+def entry_counts(context: DataFrame) -> DataFrame:
+    """(target, section, n) of the sections that have rows."""
+    return context.groupBy("target", "section").agg(F.count("*").alias("n"))
+
+
+# What a context that lacks something is told.
+WARNINGS = {
+    "entry": "No CALLS, ROUTES_TO, or BLADE_USES_ACTION entry — symbol may be unreachable, externally invoked, or missing route extraction.",
+    "route": "No ROUTES_TO or BLADE_USES_ACTION edges — HTTP/view entry for this controller action is unknown in the graph.",
+    "intake": "No ASSIGNS/request_field edges — request field intake not traced for this action.",
+    "flow": "No FLOWS_TO/ARGUMENT_TO into callees — DTO/field propagation to service calls may be incomplete.",
+}
+
+
+def warnings(edges: DataFrame, targets: DataFrame, context: DataFrame) -> DataFrame:
+    """(target, warning) of what a target's context lacks."""
+    has = lambda *sections: F.coalesce(F.max(F.col("section").isin(*sections)), F.lit(False))
+    callees = edges.where(calls()).select(F.col("from_id").alias("target"), F.lit("callee").alias("section")).join(targets, "target", "left_semi").distinct()
+    known = context.select("target", "section").distinct().unionByName(callees).groupBy("target").agg(has("entry", "route", "view").alias("entered"), has("route", "view").alias("routed"), has("intake").alias("taken"), has("flow").alias("flows"), has("callee").alias("calls"))
+    rows = targets.select("target").distinct().join(known, "target", "left").na.fill(False)
+    controller = F.lower("target").contains("controller")
+    lacks = {"entry": ~F.col("entered"), "route": controller & ~F.col("routed"), "intake": controller & ~F.col("taken"), "flow": F.col("calls") & ~F.col("flows") & F.col("taken")}
+    return rows.select("target", F.explode(F.array_compact(F.array(*(F.when(holds, WARNINGS[k]) for k, holds in lacks.items())))).alias("warning"))
+
+
+def suggested(edges: DataFrame, targets: DataFrame, context: DataFrame, most: int = 12) -> DataFrame:
+    """(target, place, label): where to look next: routes, views, callees, fields taken in, flows, what is kept; each label once."""
+    callees = out_of(edges, targets, calls()).select("target", F.lit("callee").alias("section"), F.lit(0).alias("place"), F.col("target").alias("from_id"), "to_id")
+    every = context.unionByName(callees)
+    step = F.when(F.col("section").isin("route", "view"), F.array("from_id")).when(F.col("section") == "intake", F.array("from_id", "to_id")).when(F.col("section").isin("callee", "flow", "persists"), F.array("to_id"))
+    turn = F.create_map(*(F.lit(x) for i, s in enumerate(("route", "view", "callee", "intake", "flow", "persists")) for x in (s, i)))
+    steps = every.where(step.isNotNull()).select("target", turn[F.col("section")].alias("turn"), "from_id", "to_id", F.posexplode(step).alias("at", "id"))
+    steps = steps.select("target", short_label(F.col("id")).alias("label"), F.struct("turn", "from_id", "to_id", "at").alias("order")).groupBy("target", "label").agg(F.min("order").alias("order"))
+    place = F.row_number().over(Window.partitionBy("target").orderBy("order"))
+    return steps.withColumn("place", place).where(F.col("place") <= most).select("target", "place", "label")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Node types of each kind of search.
 KINDS = {
-    "symbol": ("class", "interface", "trait", "method", "property", "composable", "vue_component", "js_module", "blade_view"),
+    "symbol": ("class", "interface", "trait", "method", "property", "parameter", "vue_component", "js_module", "blade_view"),
     "route": ("api_endpoint", "route_name"),
     "field": ("request_field", "model_field", "response_field", "variable_field"),
     "config": ("config_literal",),
@@ -26,33 +29,30 @@ def detect_kind(query: str) -> str:
 
 def find(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
     """(id, type, name, score) of the best matches; an exact id is found whatever its type."""
+    query = query.strip()
+    if not query:
+        return nodes.select("id", "type", "name", F.lit(0).cast("long").alias("score")).limit(0)
     kind = kind or detect_kind(query)
     q = query.lower()
-    variants = [q]
-    if kind == "route":
-        verb, _, path = query.partition(" ")
-        if path:
-            variants = [f"{verb}:{path}".lower(), path.lower()]
-    has = lambda c, v: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(v)
-    any_of = lambda c: [has(c, v) for v in variants]
-    either = F.lit(False)
-    for c in ("id", "name", "file"):
-        for p in any_of(c):
-            either = either | p
+    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("id", "name", "file")}
+    verb = re.match(r"(get|post|put|patch|delete)\s+(\S+)", q)
+    if kind == "route":  # ids that hold the query, or what verb and path make of it
+        variants = [q, f"{verb[1]}:{verb[2]}", verb[2]] if verb else [q]
+        held = reduce(Column.__or__, (low["id"].contains(v) for v in variants))
+    else:
+        held = reduce(Column.__or__, (c.contains(q) for c in low.values()))
     typed = F.lit(True) if kind == "all" else F.col("type").isin(*KINDS[kind])
-    low_id, low_name = F.lower("id"), F.lower("name")
-    words = [w for w in q.replace("\\", " ").replace("::", " ").split() if w]
-    hits = sum((F.when(F.concat_ws(" ", low_id, low_name, F.lower(F.coalesce("file", F.lit("")))).contains(w), 1).otherwise(0) for w in words), F.lit(0))
-    held = lambda ps: F.greatest(*ps, F.lit(False))
+    words = [w for w in re.split(r"[\s/:.\\_-]+", q) if len(w) >= 2]
+    hits = sum((F.when(reduce(Column.__or__, (c.contains(w) for c in low.values())), 1).otherwise(0) for w in words), F.lit(0))
     score = (
         F.when(F.col("id") == query, 1000)
-        .when(low_id.endswith(f"::{q}") | low_id.endswith(f"\\{q}"), 900)
-        .when((low_id == q) | (low_name == q), 850)
-        .when(held(any_of("id")), 700)
-        .when(held(any_of("name")), 600)
-        .when(held(any_of("file")), 400)
+        .when(low["id"].endswith(f"::{q}") | low["id"].endswith(f"\\{q}"), 900)
+        .when((low["id"] == q) | (low["name"] == q), 850)
+        .when(low["id"].contains(q), 700)
+        .when(low["name"].contains(q), 600)
+        .when(low["file"].contains(q), 400)
         .when(hits > 0, 200 + 50 * hits)
         .otherwise(0)
     )
-    found = nodes.where((typed & either) | (F.col("id") == query)).select("id", "type", "name", score.cast("long").alias("score")).where("score > 0")
+    found = nodes.where((typed & held) | (F.col("id") == query)).select("id", "type", "name", score.cast("long").alias("score")).where("score > 0")
     return found.dropDuplicates(["id"]).orderBy(F.desc("score"), "id").limit(limit)

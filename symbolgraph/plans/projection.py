@@ -65,14 +65,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     sold = sold.select("o_custkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("r")).distinct()
     sold = sold.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     line = lineitem.where("l_linenumber in (1, 7)").select("l_linenumber", "l_suppkey", "l_partkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    tenth = orders.where("o_orderkey % 10 = 0").select("o_custkey", _endpoint().alias("end")).distinct().join(c, F.col("o_custkey") == F.col("c_custkey"))
+    ordered = orders.select("o_custkey", _endpoint().alias("end")).distinct().join(c, F.col("o_custkey") == F.col("c_custkey"))
     both = _table(spark, sf_dir, "customer").select("c_nationkey").distinct().join(_table(spark, sf_dir, "supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"))
     implements = _table(spark, sf_dir, "supplier").select("s_nationkey").distinct().join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     edges = [
         edge(sold, F.col("cid"), F.col("sid"), "CALLS", F.when(F.col("r"), "INTERFACE_RESOLVED")),
         edge(line.where("l_linenumber = 1"), F.col("sid"), F.col("pid"), "CALLS"),
         edge(line.where("l_linenumber = 7"), F.col("pid"), F.col("sid"), "CALLS"),
-        edge(tenth, F.col("end"), F.col("cid"), "ROUTES_TO"),
+        edge(ordered, F.col("end"), F.col("cid"), "ROUTES_TO"),
         edge(both, _controller_class(F.col("c_nationkey")), _service_class(F.col("s_nationkey")), "DEPENDS_ON"),
         edge(implements, _service_class(F.col("s_nationkey")), F.concat(F.lit("App\\Contracts\\R"), "n_regionkey", F.lit("Interface")), "IMPLEMENTS"),
         edge(nation.where("n_nationkey > 0"), _controller_class(F.col("n_nationkey")), _controller_class(F.floor(F.col("n_nationkey") / 2)), "EXTENDS"),
@@ -106,7 +106,7 @@ edges AS (
   SELECT DISTINCT c.id AS from_id, s.id AS to_id, 'CALLS' AS type, CASE WHEN l_returnflag = 'R' THEN 'INTERFACE_RESOLVED' END AS call_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cust c ON o_custkey = c.c_custkey JOIN supp s ON l_suppkey = s.s_suppkey
   UNION ALL SELECT DISTINCT s.id, p.id, 'CALLS', NULL FROM lineitem JOIN supp s ON l_suppkey = s.s_suppkey JOIN repo p ON l_partkey = p.p_partkey WHERE l_linenumber = 1
   UNION ALL SELECT DISTINCT p.id, s.id, 'CALLS', NULL FROM lineitem JOIN supp s ON l_suppkey = s.s_suppkey JOIN repo p ON l_partkey = p.p_partkey WHERE l_linenumber = 7
-  UNION ALL SELECT DISTINCT 'api:GET:/orders/' || substr(o_orderpriority, 1, 1) || '/' || o_orderstatus, c.id, 'ROUTES_TO', NULL FROM orders JOIN cust c ON o_custkey = c.c_custkey WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT DISTINCT 'api:GET:/orders/' || substr(o_orderpriority, 1, 1) || '/' || o_orderstatus, c.id, 'ROUTES_TO', NULL FROM orders JOIN cust c ON o_custkey = c.c_custkey
   UNION ALL SELECT DISTINCT 'App\Http\Controllers\N' || c_nationkey || 'Controller', 'App\Services\N' || s_nationkey || 'Service', 'DEPENDS_ON', NULL FROM (SELECT DISTINCT c_nationkey FROM customer) JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON c_nationkey = s_nationkey
   UNION ALL SELECT DISTINCT 'App\Services\N' || s_nationkey || 'Service', 'App\Contracts\R' || n_regionkey || 'Interface', 'IMPLEMENTS', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT 'App\Http\Controllers\N' || n_nationkey || 'Controller', 'App\Http\Controllers\N' || (n_nationkey // 2) || 'Controller', 'EXTENDS', NULL FROM nation WHERE n_nationkey > 0

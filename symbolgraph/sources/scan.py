@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that aren't read, file patterns of each language, and what Blade templates are searched for.
-IGNORED = ("vendor", "node_modules", "tests", "test", "storage", "bootstrap", "public", "dist", "build", "coverage", "docs", "cache", "tmp", "logs")
+IGNORED = ("vendor", "node_modules", "tests", "test", "cache", "logs", "bin", "bootstrap", "build", "database", "docker", "docs", "storage", "artisan", "composer.json", "composer.lock", "package.json", "package-lock.json", "boost.json", "certs")
 PATTERNS = {"php": "*.php", "js": "*.{js,mjs,cjs,vue,ts}"}
 BLADE = {
     "BLADE_EXTENDS": (r"@extends\(\s*['\"]([^'\"]+)['\"]", "view:"),
-    "BLADE_INCLUDES": (r"@(?:include|includeIf|includeWhen|component|each)\(\s*['\"]([^'\"]+)['\"]", "view:"),
+    "BLADE_INCLUDES": (r"@include(?:If|When|Unless|First)?\(\s*['\"]([^'\"]+)['\"]", "view:"),
     "BLADE_COMPONENT": (r"<x-([a-zA-Z0-9_.:-]+)", "view:components."),
     "BLADE_USES_ROUTE": (r"\broute\(\s*['\"]([^'\"]+)['\"]", "route:"),
     "BLADE_METHOD_CALL": (r"\$[a-zA-Z_]\w*->([a-zA-Z_]\w*)\(", "blade_method_ref:"),
 }
 ACTION = r"\[\s*\\?([A-Za-z_\\]+)::class\s*,\s*['\"](\w+)['\"]\s*\]"
+SYMBOL = r"([A-Za-z0-9_\\]+)::([A-Za-z0-9_]+)"
 #: REST actions of a resource route: action, verb, whether the path names one item, and what follows it.
 REST = (("index", "GET", "", ""), ("store", "POST", "", ""), ("show", "GET", "{}", ""), ("update", "PUT", "{}", ""), ("update", "PATCH", "{}", ""), ("destroy", "DELETE", "{}", ""))
 
@@ -45,7 +46,10 @@ def blade_edges(files: DataFrame) -> DataFrame:
     classes, methods = (F.regexp_extract_all(F.col("content"), F.lit(ACTION), F.lit(g)) for g in (1, 2))
     pairs = F.zip_with(classes, methods, lambda c, m: F.concat(F.regexp_replace(c, r"^\\", ""), F.lit("::"), m))
     actions = files.select(view.alias("from_id"), F.explode(F.array_distinct(pairs)).alias("to_id")).withColumn("type", F.lit("BLADE_USES_ACTION"))
-    return out.unionByName(actions).distinct()
+    names, symbols = (F.regexp_extract_all(F.col("content"), F.lit(SYMBOL), F.lit(g)) for g in (1, 2))
+    named = F.filter(F.zip_with(names, symbols, lambda c, m: F.when((c != "class") & (m != "class"), F.concat(c, F.lit("::"), m))), lambda x: x.isNotNull())
+    symbols = files.select(view.alias("from_id"), F.explode(F.array_distinct(named)).alias("to_id")).withColumn("type", F.lit("BLADE_REFERENCES_SYMBOL"))
+    return out.unionByName(actions).unionByName(symbols).distinct()
 
 
 def routes(files: DataFrame) -> DataFrame:

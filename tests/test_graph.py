@@ -7,7 +7,7 @@ from symbolgraph.operators import cycles, deadcode, hierarchy, impact, navigatio
 from symbolgraph.sources import scan
 from symbolgraph.sources.store import Graph, load, load_json, merge_absent
 
-PAY = "App\\Http\\Controllers\\PaymentController::pay"
+SHIP = "App\\Http\\Controllers\\ParcelController::ship"
 EDGE = "from_id string, to_id string, type string, call_type string, via string, argument_index int"
 
 
@@ -16,40 +16,67 @@ def edges(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def payments(spark):
+def parcels(spark):
     nodes = spark.createDataFrame(
         [
-            (PAY, PAY.split("::")[0], "method", "pay", "PaymentController.php", "public"),
-            ("api:POST:api/payments", None, "api_endpoint", "POST api/payments", None, None),
-            ("api:GET:/checkout/pay", None, "api_endpoint", "GET /checkout/pay", None, None),
-            ("resources/views/payments/form.blade.php", None, "blade_view", "form", None, None),
-            ("request_field:amount", None, "request_field", "amount", None, None),
-            (PAY + "::$data.amount", PAY, "variable_field", "$data.amount", None, None),
+            (SHIP, SHIP.split("::")[0], "method", "ship", "ParcelController.php", "public"),
+            ("api:PUT:api/parcels", None, "api_endpoint", "PUT api/parcels", None, None),
+            ("api:GET:/desk/ship", None, "api_endpoint", "GET /desk/ship", None, None),
+            ("resources/views/parcels/label.blade.php", None, "blade_view", "label", None, None),
+            ("request_field:weight", None, "request_field", "weight", None, None),
+            (SHIP + "::$box.weight", SHIP, "variable_field", "$box.weight", None, None),
         ],
         "id string, parent string, type string, name string, file string, visibility string",
     )
     links = [
-        ("api:POST:api/payments", PAY, "ROUTES_TO"),
-        ("api:GET:/checkout/pay", PAY, "ROUTES_TO"),
-        ("resources/views/payments/form.blade.php", PAY, "BLADE_USES_ACTION"),
-        ("request_field:amount", PAY + "::$data.amount", "ASSIGNS"),
-        (PAY, f"validation:{PAY}:amount", "VALIDATES"),
+        ("api:PUT:api/parcels", SHIP, "ROUTES_TO"),
+        ("api:GET:/desk/ship", SHIP, "ROUTES_TO"),
+        ("resources/views/parcels/label.blade.php", SHIP, "BLADE_USES_ACTION"),
+        ("request_field:weight", SHIP + "::$box.weight", "ASSIGNS"),
+        (SHIP, f"validation:{SHIP}:weight", "VALIDATES"),
     ]
     return Graph(nodes, edges(spark, links).withColumn("id", F.concat_ws("->", "from_id", "to_id")))
 
 
-def test_search(payments):
-    ids = lambda q, kind=None: [r.id for r in search.find(payments.nodes, q, kind).collect()]
-    assert PAY in ids("PaymentController")
-    assert "api:POST:api/payments" in ids("POST api/payments", "route")
-    assert "request_field:amount" in ids("amount", "field")
-    assert search.detect_kind("POST api/payments") == "route" and search.detect_kind("model_field:x") == "field"
+def test_search(parcels):
+    ids = lambda q, kind=None: [r.id for r in search.find(parcels.nodes, q, kind).collect()]
+    assert SHIP in ids("ParcelController")
+    assert "api:PUT:api/parcels" in ids("PUT api/parcels", "route")
+    assert "request_field:weight" in ids("weight", "field")
+    assert search.detect_kind("PUT api/parcels") == "route" and search.detect_kind("model_field:x") == "field"
 
 
-def test_navigation(payments):
-    entries = navigation.incoming_entries(payments.edges, PAY).collect()
+def test_navigation(parcels):
+    entries = navigation.incoming_entries(parcels.edges, SHIP).collect()
     assert [r.kind for r in entries] == ["route", "route", "blade"]
-    assert navigation.method_edges(payments.edges, PAY, ["ASSIGNS", "VALIDATES"]).count() == 2
+    assert navigation.method_edges(parcels.edges, SHIP, ["ASSIGNS", "VALIDATES"]).count() == 2
+
+
+def test_contexts_of_methods_and_classes(spark, parcels):
+    targets = spark.createDataFrame([(SHIP,), ("App\\None::x",)], "target string")
+    found = navigation.contexts(parcels.nodes, parcels.edges, targets)
+    assert {(r.section, r.n) for r in navigation.entry_counts(found).collect()} == {("route", 2), ("view", 1), ("entry", 3), ("intake", 1), ("validates", 1)}
+    warned = {r.target: 0 for r in navigation.warnings(parcels.edges, targets, found).collect()}
+    assert warned == {"App\\None::x": 0}
+    labels = [r.label for r in navigation.suggested(parcels.edges, targets, found).orderBy("place").collect()]
+    assert labels == ["GET /desk/ship", "PUT api/parcels", "resources/views/parcels/label.blade.php", "request:weight", "ParcelController::ship::$box.weight"]
+    classes = navigation.class_contexts(parcels.nodes, parcels.edges, spark.createDataFrame([(SHIP.split("::")[0],)], "target string"))
+    assert classes.where("section = 'route'").count() == 2
+
+
+def test_search_scores(spark):
+    nodes = spark.createDataFrame([("A\\Box", "class", "Box", "src/Box.php"), ("A\\Boxes", "class", "Boxes", "src/b.php"), ("A\\C", "parameter", "x", "src/box/c.php"), ("box", "composable", "box", None), ("api:PUT:/box/9", "api_endpoint", "put", None)], "id string, type string, name string, file string")
+    assert [(r.id, r.score) for r in search.find(nodes, "box").collect()] == [("box", 1000), ("A\\Box", 900), ("A\\Boxes", 700), ("A\\C", 400)]
+    assert [(r.id, r.score) for r in search.find(nodes, "put /box/9 ").collect()] == [("api:PUT:/box/9", 300)]
+    assert search.find(nodes, " ").count() == 0
+
+
+def test_tickets_of_whole_words(spark):
+    nodes = spark.createDataFrame([("a_box", "n", None, None), ("abox", "n", None, None)], "id string, name string, file string, parent string")
+    assert [r.id for r in ticket.mentions(nodes, ["box"]).collect()] == ["a_box"]
+    rows = spark.createDataFrame([(1, "nightly import of the xml feed"), (2, "lorem ipsum"), (3, None)], "id int, text string")
+    best = {r.id: (r.workflow, r.score, r.confidence) for r in ticket.dominant_workflow(ticket.workflow_scores(rows, "id", "text"), "id").collect()}
+    assert best[1] == ("import", 150, 0.95) and best[2][0] == best[3][0] == "unknown"
 
 
 def test_flow_filters(spark):
@@ -58,9 +85,9 @@ def test_flow_filters(spark):
     assert {r.to_id for r in navigation.field_intake(e).collect()} == {"y", "request_field:z"}
 
 
-def test_impact_of_entries(spark, payments):
-    seeds = spark.createDataFrame([(PAY,)], "seed string")
-    r = impact.report(payments.nodes, impact.impact_edges(payments.edges), seeds, depth=1).first()
+def test_impact_of_entries(spark, parcels):
+    seeds = spark.createDataFrame([(SHIP,)], "seed string")
+    r = impact.report(parcels.nodes, impact.impact_edges(parcels.edges), seeds, depth=1).first()
     assert (r.callers, r.direct_entries, r.direct_callers, r.score, r.risk) == (3, 3, 0, 14.0, "MEDIUM")
 
 
@@ -76,16 +103,16 @@ def dead_nodes(spark, rows):
 
 
 def test_methods_that_implement_abstract_ones_are_not_dead(spark):
-    nodes = dead_nodes(spark, [("Area", None, "class", "Area", None, None, None), ("Area::getPossibleElements", "Area", "method", "getPossibleElements", None, "public", True), ("News", None, "class", "News", None, None, None), ("News::getPossibleElements", "News", "method", "getPossibleElements", None, "public", None), ("News::getName", "News", "method", "getName", None, "public", None)])
-    found = {r.id for r in deadcode.dead(nodes, edges(spark, [("News", "Area", "EXTENDS")])).collect()}
-    assert "News::getName" in found and "News::getPossibleElements" not in found
+    nodes = dead_nodes(spark, [("Shape", None, "class", "Shape", None, None, None), ("Shape::outline", "Shape", "method", "outline", None, "public", True), ("Circle", None, "class", "Circle", None, None, None), ("Circle::outline", "Circle", "method", "outline", None, "public", None), ("Circle::label", "Circle", "method", "label", None, "public", None)])
+    found = {r.id for r in deadcode.dead(nodes, edges(spark, [("Circle", "Shape", "EXTENDS")])).collect()}
+    assert "Circle::label" in found and "Circle::outline" not in found
 
 
 def test_methods_that_overriding_reaches_are_not_dead(spark):
-    rows = [(c, None, "class", c, None, None, None) for c in ("Element", "Insta")] + [(f"{c}::onSave", c, "method", "onSave", None, "public", None) for c in ("Element", "Insta")]
-    nodes, e = dead_nodes(spark, rows), edges(spark, [("Insta", "Element", "EXTENDS"), ("S::save", "Element::onSave", "CALLS")])
+    rows = [(c, None, "class", c, None, None, None) for c in ("Base1", "Child1")] + [(f"{c}::keep", c, "method", "keep", None, "public", None) for c in ("Base1", "Child1")]
+    nodes, e = dead_nodes(spark, rows), edges(spark, [("Child1", "Base1", "EXTENDS"), ("Till::close", "Base1::keep", "CALLS")])
     more = resolve.override_calls(nodes, e)
-    assert [(r.from_id, r.to_id, r.via) for r in more.collect()] == [("S::save", "Insta::onSave", "Element::onSave")]
+    assert [(r.from_id, r.to_id, r.via) for r in more.collect()] == [("Till::close", "Child1::keep", "Base1::keep")]
     e = e.unionByName(more.withColumn("type", F.lit("CALLS")), allowMissingColumns=True)
     assert deadcode.dead(nodes, e).isEmpty()
 
@@ -99,10 +126,10 @@ def test_abstract_and_interface_calls(spark):
 
 
 def test_arguments_views_and_endpoints(spark):
-    e = edges(spark, [("s", "m", "FLOWS_TO", None, "b", 0), ("s", "m", "FLOWS_TO", None, "a", 0), ("m", "m::$p", "HAS_PARAMETER", None, None, 0), ("v", "blade_method_ref:GETTITLE", "BLADE_METHOD_CALL")])
+    e = edges(spark, [("s", "m", "FLOWS_TO", None, "b", 0), ("s", "m", "FLOWS_TO", None, "a", 0), ("m", "m::$p", "HAS_PARAMETER", None, None, 0), ("v", "blade_method_ref:HEADING", "BLADE_METHOD_CALL")])
     assert [(r.from_id, r.to_id, r.via) for r in resolve.argument_edges(e).collect()] == [("s", "m::$p", "a")]
-    nodes = dead_nodes(spark, [("P::getTitle", "P", "method", "getTitle", None, "public", None), ("api:GET:/a/{id}", None, "api_endpoint", "x", None, None, None), ("api:GET:api/a/${x}/", None, "api_endpoint", "x", None, None, None)])
-    assert [(r.from_id, r.to_id) for r in resolve.view_calls(nodes, e).collect()] == [("v", "P::getTitle")]
+    nodes = dead_nodes(spark, [("P::heading", "P", "method", "heading", None, "public", None), ("api:GET:/a/{id}", None, "api_endpoint", "x", None, None, None), ("api:GET:api/a/${x}/", None, "api_endpoint", "x", None, None, None)])
+    assert [(r.from_id, r.to_id) for r in resolve.view_calls(nodes, e).collect()] == [("v", "P::heading")]
     assert [(r.from_id, r.to_id) for r in resolve.link_endpoints(nodes).collect()] == [("api:GET:api/a/${x}/", "api:GET:/a/{id}")]
 
 
@@ -122,29 +149,29 @@ def test_closure_ends_on_cycles(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "app" / "vendor").mkdir(parents=True)
     (tmp_path / "app" / "vendor" / "x.php").write_text("<?php")
-    (tmp_path / "app" / "form.blade.php").write_text("@extends('layouts.app') @include('part') <x-button /> {{ route('login') }} {{ $page->getTitle() }} action([LoginController::class, 'logout'])")
+    (tmp_path / "app" / "label.blade.php").write_text("@extends('frames.main') @include('part') <x-tile /> {{ route('door') }} {{ $page->heading() }} action([DoorController::class, 'shut'])")
     files = scan.read_sources(spark, str(tmp_path), "php")
-    assert [r.file for r in files.collect()] == ["app/form.blade.php"]
+    assert [r.file for r in files.collect()] == ["app/label.blade.php"]
     found = {(r.type, r.to_id) for r in scan.blade_edges(files).collect()}
-    assert found == {("BLADE_EXTENDS", "view:layouts.app"), ("BLADE_INCLUDES", "view:part"), ("BLADE_INCLUDES", "view:components.button"), ("BLADE_USES_ROUTE", "route:login"), ("BLADE_METHOD_CALL", "blade_method_ref:getTitle"), ("BLADE_USES_ACTION", "LoginController::logout")}
+    assert found == {("BLADE_EXTENDS", "view:frames.main"), ("BLADE_INCLUDES", "view:part"), ("BLADE_INCLUDES", "view:components.tile"), ("BLADE_USES_ROUTE", "route:door"), ("BLADE_METHOD_CALL", "blade_method_ref:heading"), ("BLADE_USES_ACTION", "DoorController::shut")}
     routes = spark.createDataFrame([("routes/api.php", "use App\\Http\\PayController;\nRoute::post('/pay', [PayController::class, 'pay']); Route::apiResource('orders', OrderController::class);")], "file string, content string")
     got = {(r.verb, r.path, r.controller, r.action) for r in scan.routes(routes).collect()}
     assert ("POST", "/pay", "App\\Http\\PayController", "pay") in got and ("GET", "orders/{order}", "OrderController", "show") in got and len(got) == 7
 
 
-def test_store(spark, payments, tmp_path):
-    payments.save(str(tmp_path / "p"))
-    payments.save_json(str(tmp_path / "j"))
+def test_store(spark, parcels, tmp_path):
+    parcels.save(str(tmp_path / "p"))
+    parcels.save_json(str(tmp_path / "j"))
     assert load(spark, str(tmp_path / "p")).nodes.count() == 6
     again = load_json(spark, str(tmp_path / "j"))
     assert again.edges.count() == 5 and again.edges.where("id like '%ROUTES_TO'").count() == 2
-    assert merge_absent(payments, again).nodes.count() == 6
+    assert merge_absent(parcels, again).nodes.count() == 6
 
 
-def test_tickets(spark, payments):
-    tickets = spark.createDataFrame([(1, "The Payment form must validate the amount")], "t int, text string")
-    got = ticket.rank(payments.nodes, tickets, "t", "text").orderBy("rank").collect()
-    assert got and any("amount" in r.id for r in got[:3])
-    fields = spark.createDataFrame([("data.amount",)], "field string")
-    layers = {r.layer for r in ticket.field_layers(payments.nodes, payments.edges, fields).collect()}
+def test_tickets(spark, parcels):
+    tickets = spark.createDataFrame([(1, "The parcel label must validate the weight")], "t int, text string")
+    got = ticket.rank(parcels.nodes, tickets, "t", "text").orderBy("rank").collect()
+    assert got and any("weight" in r.id for r in got[:3])
+    fields = spark.createDataFrame([("box.weight",)], "field string")
+    layers = {r.layer for r in ticket.field_layers(parcels.nodes, parcels.edges, fields).collect()}
     assert layers == {"request_input", "data_flow"}
