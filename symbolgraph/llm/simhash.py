@@ -29,6 +29,8 @@ MAX_BITS = 2
 HOT = 64
 #: Keys of more fingerprints than HEAVY are broadcast, so that no task gets all of one, if they are MOST_HEAVY at most.
 HEAVY, MOST_HEAVY = 10_000, 100_000
+#: Likewise fingerprints of more rows than this.
+COPIES = 1000
 _PAIRS = [(i, j) for i in range(4) for j in range(i)]
 
 
@@ -86,11 +88,17 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, hot: int) -> DataFrame:
     """(id, fp, component, root): of each row, its fingerprint, its component's smallest id, and its group's own key."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
     roots = cut(connected_components(links(nodes.select("fp"), hot)).select(F.col("node").alias("fp"), "root"))
     groups = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("group_least"))
-    of = nodes.join(roots, "fp", "left").join(groups, "root", "left").select("fp", F.coalesce("group_least", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
-    return prints.join(of, "fp")
+    of = nodes.join(roots, "fp", "left").join(groups, "root", "left").select("fp", "rows", F.coalesce("group_least", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
+    of = cut(of)
+    # Fingerprints of many copies are few; their rows are met where they are, so that no task gets all copies of one text.
+    many = of.where(F.col("rows") > COPIES).drop("rows")
+    if many.isEmpty() or many.count() > MOST_HEAVY:
+        return prints.join(of.drop("rows"), "fp")
+    rest = prints.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(of.where(F.col("rows") <= COPIES).drop("rows"), "fp")
+    return prints.join(F.broadcast(many), "fp").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
