@@ -74,11 +74,11 @@ class Topics:
         return out
 
 
-def _dense(rows: pa.Array) -> np.ndarray:
-    """Counts from arrays of feature and count in turn."""
-    flat, sizes = rows.flatten().to_numpy(zero_copy_only=False), rows.value_lengths().fill_null(0).to_numpy()
+def _dense(rows: list[bytes]) -> np.ndarray:
+    """Counts, from features and counts in turn as bytes."""
+    flat, sizes = np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 8 for r in rows], np.intp)
     out = np.zeros((len(rows), DIMENSIONS))
-    out[np.repeat(np.arange(len(rows)), sizes // 2), flat[::2]] = flat[1::2]
+    out[np.repeat(np.arange(len(rows)), sizes), flat[::2]] = flat[1::2]
     return out
 
 
@@ -89,7 +89,7 @@ def _summed(rows: DataFrame, sums) -> np.ndarray:
         held = np.zeros((TOPICS, DIMENSIONS))
         for batch in batches:
             for at in range(0, len(batch), 512):
-                held += sums(_dense(batch.column("x").slice(at, 512)))
+                held += sums(_dense(batch.column("x").slice(at, 512).to_pylist()))
         k = np.flatnonzero(held)
         yield pa.record_batch({"k": k, "value": held.ravel()[k]})
 
@@ -102,18 +102,19 @@ def _summed(rows: DataFrame, sums) -> np.ndarray:
 def fit_topics(docs: DataFrame, id_col: str, text_col: str) -> Topics:
     """Spherical k-means over all documents, from the documents of the smallest hashes of their text."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary")
     def counted(texts: pa.Array) -> pa.Array:
         out = []
         for t in utf8(texts):
             x = features(t)
             k = np.flatnonzero(x)
-            out.append(np.stack((k, x[k]), axis=1).ravel().astype(np.int32))
-        return pa.array(out, pa.list_(pa.int32()))
+            out.append(np.stack((k, x[k]), axis=1).astype(np.int32).tobytes())
+        return pa.array(out, pa.binary())
 
     tables = Tables(docs.sparkSession)
-    rows = tables.put("features", docs.select(F.col(text_col).alias("t")).where("t is not null").select(F.xxhash64("t", F.lit(SEED)).alias("h"), counted("t").alias("x")).where(F.size("x") > 0))
-    first = rows.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(TOPICS).collect()  # different texts
+    rows = tables.put("features", docs.select(F.col(text_col).alias("t")).where("t is not null").select(F.xxhash64("t", F.lit(SEED)).alias("h"), counted("t").alias("x")).where(F.octet_length("x") > 0))
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(TOPICS).collect()]  # different texts
+    first = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.first("x").alias("x")).orderBy("h").collect() if least else []
     count = rows.count()
     if not first:
         return Topics(np.zeros(DIMENSIONS), np.zeros((1, DIMENSIONS)))
@@ -124,7 +125,7 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str) -> Topics:
         return out
 
     topics = Topics(np.log((1 + count) / (1 + _summed(rows, held)[0])), np.zeros((1, DIMENSIONS)))
-    topics.centroids = topics.weigh(_dense(pa.array([r.x for r in first], pa.list_(pa.int32()))))
+    topics.centroids = topics.weigh(_dense([bytes(r.x) for r in first]))
 
     def nearest(x: np.ndarray) -> np.ndarray:
         x = topics.weigh(x)
