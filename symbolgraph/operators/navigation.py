@@ -79,8 +79,12 @@ def prefer_concrete(targets: DataFrame) -> DataFrame:
     return targets.withColumn("name", name).withColumn("n", F.row_number().over(order)).where("n = 1").select("id").orderBy("id")
 
 
+def framework(column: str) -> Column:
+    return F.col(column).rlike(r"^(Illuminate|Symfony|Psr)\\") | F.col(column).rlike(r"\\Request::(all|input|get|has|filled|validate|only|except|merge)\b")
+
+
 def without_framework(targets: DataFrame, column: str = "id") -> DataFrame:
-    return targets.where(~F.col(column).rlike(r"^(Illuminate|Symfony|Psr)\\") & ~F.col(column).rlike(r"\\Request::(all|input|get|has|filled|validate|only|except|merge)\b"))
+    return targets.where(~framework(column))
 
 
 def kinds_of_calls(edges: DataFrame, node: str) -> DataFrame:

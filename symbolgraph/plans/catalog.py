@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgraph.functions.graph import LAYERS, short_label
-from symbolgraph.operators import architecture, cycles, deadcode, hierarchy, hotspots, impact, navigation, resolve, search, ticket
+from symbolgraph.operators import architecture, cycles, deadcode, hierarchy, hotspots, impact, navigation, report, resolve, search, ticket
 from symbolgraph.plans.projection import SQL, event_pairs, graph
 from symbolgraph.sources import scan, store
 from symbolgraph.sources.store import Graph
@@ -820,3 +820,55 @@ def field_matches(spark, sf_dir):
     names, k = F.array(*map(F.lit, _NAMES)), F.col("s_suppkey")
     pick = lambda at: F.get(names, (at % 14).cast("int"))
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("k"), ticket.fields_match(pick(k), pick(F.floor(k / 14))).alias("matched"))
+
+
+# --- reports on all nodes
+
+# The projection's calls, with some of every controller's method into the framework.
+_MORE = r""", more AS (SELECT from_id, to_id, call_type FROM edges WHERE type = 'CALLS' UNION ALL SELECT id, 'Illuminate\Http\Request::input', NULL FROM cust
+ UNION ALL SELECT id, 'App\Http\Request::only', NULL FROM cust UNION ALL SELECT id, 'Symfony\Mailer::send', 'INTERFACE_RESOLVED' FROM cust)"""
+
+
+def _with_framework(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    made = [("Illuminate\\Http\\Request::input", None), ("App\\Http\\Request::only", None), ("Symfony\\Mailer::send", "INTERFACE_RESOLVED")]
+    each = F.explode(F.array(*(F.struct(F.lit(to).alias("to_id"), F.lit("CALLS").alias("type"), F.lit(kind).cast("string").alias("call_type")) for to, kind in made)))
+    added = nodes.where((F.col("type") == "method") & F.col("id").contains("Controllers")).select(F.col("id").alias("from_id"), each.alias("e")).select("from_id", "e.*")
+    return edges.select("from_id", "to_id", "type", "call_type").unionByName(added)
+
+
+@on_graph(rf"""{_MORE}, d AS (SELECT from_id AS target, coalesce(call_type, 'CALLS') AS kind FROM more WHERE NOT starts_with(to_id, 'Illuminate\') AND NOT starts_with(to_id, 'Symfony\') AND to_id <> 'App\Http\Request::only'
+ UNION ALL SELECT from_id, call_type FROM more WHERE call_type = 'INTERFACE_RESOLVED'), k AS (SELECT target, kind, count(*) AS n FROM d GROUP BY 1, 2) SELECT target, string_agg(kind || '(' || n || ')', ', ' ORDER BY n DESC, kind) AS kinds FROM k GROUP BY 1""")
+def report_dependency_kinds(nodes, edges):
+    return report.kinds(report.depends_on(_with_framework(nodes, edges), _all_methods(nodes), resolved=True))
+
+
+@on_graph("""SELECT target, string_agg(kind || '(' || n || ')', ', ' ORDER BY n DESC, kind) AS kinds FROM (SELECT to_id AS target, coalesce(call_type, 'CALLS') AS kind, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY 1, 2) GROUP BY 1""")
+def report_usage_kinds(nodes, edges):
+    return report.kinds(report.used_by(edges, _all_methods(nodes), resolved=True))
+
+
+@on_graph("SELECT e.from_id AS target, e.type AS relation, e.to_id, n.type AS node_type, n.name, n.file FROM edges e LEFT JOIN nodes n ON n.id = e.to_id WHERE e.type IN ('EXTENDS', 'IMPLEMENTS')")
+def report_supertypes(nodes, edges):
+    return report.supertypes(nodes, edges, nodes.where("type = 'class'").select(F.col("id").alias("target")).unionByName(edges.where("type = 'EXTENDS'").select(F.col("from_id").alias("target"))))
+
+
+@on_graph("""SELECT DISTINCT unnest([c.from_id, c.to_id]) AS target, x.to_id || '::' || split_part(c.to_id, '::', 2) || ' -> ' || c.to_id AS resolution FROM edges c JOIN edges x ON x.type = 'IMPLEMENTS' AND x.from_id = split_part(c.to_id, '::', 1)
+WHERE c.type = 'CALLS' AND c.call_type = 'INTERFACE_RESOLVED'""")
+def report_resolutions(nodes, edges):
+    owners = edges.where("type = 'IMPLEMENTS'").select(F.col("from_id").alias("owner"), F.col("to_id").alias("face"))
+    told = edges.withColumn("owner", F.substring_index("to_id", "::", 1)).join(owners, "owner", "left").withColumn("via", F.concat("face", F.lit("::"), F.substring_index("to_id", "::", -1)))
+    return report.resolutions(told, _all_methods(nodes))
+
+
+@on_graph(r""", up AS (SELECT from_id AS target, from_id, to_id FROM calls UNION ALL SELECT m.id, d.to_id, d.from_id FROM members m JOIN edges d ON d.type = 'DEPENDS_ON' AND d.to_id = m.parent),
+ranked AS (SELECT *, CASE WHEN contains(from_id, 'Repositor') THEN 'Repository(3)' WHEN contains(from_id, 'Services') THEN 'Service(2)' ELSE 'Controller(0)' END AS low, CASE WHEN contains(to_id, 'Repositor') THEN 'Repository(3)' WHEN contains(to_id, 'Services') THEN 'Service(2)' ELSE 'Controller(0)' END AS high FROM up)
+SELECT target, from_id, to_id, low || ' → ' || high || ' — lower layer calls upper layer' AS text FROM ranked WHERE regexp_extract(low, '\d') > regexp_extract(high, '\d')""")
+def report_layer_breaks(nodes, edges):
+    # Dependencies the other way round, so that services depend on controllers.
+    turned = edges.where("type = 'DEPENDS_ON'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "type", "call_type")
+    return report.layer_breaks(nodes, edges.where("type = 'CALLS'").select("from_id", "to_id", "type", "call_type").unionByName(turned), _all_methods(nodes), dependencies=True)
+
+
+@on_graph("SELECT id FROM nodes n WHERE type = 'method' AND visibility = 'public' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.to_id = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'ROUTES_TO' AND e.to_id = n.id)")
+def report_unused(nodes, edges):
+    return report.unused(nodes, edges)

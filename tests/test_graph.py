@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from symbolgraph.operators import cycles, deadcode, hierarchy, impact, navigation, resolve, search, ticket
+from symbolgraph.operators import cycles, deadcode, hierarchy, impact, navigation, report, resolve, search, ticket
 from symbolgraph.sources import scan
 from symbolgraph.sources.store import Graph, load, load_json, merge_absent
 
@@ -175,3 +175,51 @@ def test_tickets(spark, parcels):
     fields = spark.createDataFrame([("box.weight",)], "field string")
     layers = {r.layer for r in ticket.field_layers(parcels.nodes, parcels.edges, fields).collect()}
     assert layers == {"request_input", "data_flow"}
+
+
+def test_report_counts_resolved_calls_twice_and_leaves_the_framework_out(spark):
+    resolved = "INTERFACE_RESOLVED"
+    edges = spark.createDataFrame(
+        [
+            ("Shop\\Till::pay", "Shop\\Bank::take", "CALLS", None, None),
+            ("Shop\\Till::pay", "Shop\\Bank::take", "CALLS", resolved, "Shop\\Payer::take"),
+            ("Shop\\Till::pay", "Illuminate\\Support\\Str::slug", "CALLS", None, None),
+            ("Shop\\Till::pay", "Psr\\Log\\Logger::info", "CALLS", resolved, "Psr\\Log\\Face::info"),
+            ("Shop\\Till::pay", "App\\Http\\Request::inputs", "CALLS", None, None),
+            ("Shop\\Till", "Gone\\Base", "EXTENDS", None, None),
+        ],
+        "from_id string, to_id string, type string, call_type string, via string",
+    )
+    targets = spark.createDataFrame([("Shop\\Till::pay",), ("Shop\\Till::pay",), ("Shop\\Till",), ("Shop\\Bank::take",), (None,)], "target string")
+    found = lambda df: sorted(tuple(r) for r in df.collect())
+    assert found(report.kinds(report.depends_on(edges, targets, resolved=True))) == [("Shop\\Till::pay", "INTERFACE_RESOLVED(3), CALLS(2)")]
+    assert found(report.kinds(report.depends_on(edges, targets))) == [("Shop\\Till::pay", "CALLS(2)")]
+    assert found(report.kinds(report.used_by(edges, targets, resolved=True))) == [("Shop\\Bank::take", "CALLS(1), INTERFACE_RESOLVED(1)")]
+    assert found(report.resolutions(edges, targets)) == [
+        ("Shop\\Bank::take", "Shop\\Payer::take -> Shop\\Bank::take"),
+        ("Shop\\Till::pay", "Psr\\Log\\Face::info -> Psr\\Log\\Logger::info"),
+        ("Shop\\Till::pay", "Shop\\Payer::take -> Shop\\Bank::take"),
+    ]
+    nodes = spark.createDataFrame([("Shop\\Till", None, "class", "Till", "till.php", None)], "id string, parent string, type string, name string, file string, visibility string")
+    assert [tuple(r) for r in report.supertypes(nodes, edges, targets).collect()] == [("Shop\\Till", "EXTENDS", "Gone\\Base", None, None, None)]
+
+
+def test_report_layers_are_told_by_what_the_class_contains(spark):
+    steps = [
+        ("A\\OrderServiceController::go", "A\\DomainThing::x"),  # Controller comes first: rank 0
+        ("A\\OrderService::go", "A\\HttpClient::x"),
+        ("A\\Repositories\\Order::go", "A\\UseCases\\Pay::x"),
+        ("A\\Plain::go", "A\\HttpClient::x"),
+        ("A\\Plain::Service", "A\\HttpClient::x"),  # the method's name doesn't count
+        ("A\\HttpClient::x", "A\\PresentationThing::y"),  # equal ranks
+    ]
+    edges = spark.createDataFrame([(a, b, "CALLS", None) for a, b in steps] + [("A\\Infrastructure\\Mail", "A\\Domain\\Post", "DEPENDS_ON", None)], "from_id string, to_id string, type string, call_type string")
+    nodes = spark.createDataFrame([("A\\Infrastructure\\Mail::send", "A\\Infrastructure\\Mail", "method", "send", None, "public")], "id string, parent string, type string, name string, file string, visibility string")
+    targets = edges.selectExpr("from_id as target").unionByName(nodes.selectExpr("id as target"))
+    found = {r.target: r.text for r in report.layer_breaks(nodes, edges, targets, dependencies=True).collect() if "::" in r.target}
+    assert found == {
+        "A\\OrderService::go": "Service(2) → Http(0) — lower layer calls upper layer",
+        "A\\Repositories\\Order::go": "Repositories(3) → UseCase(1) — lower layer calls upper layer",
+        "A\\Infrastructure\\Mail::send": "Infrastructure(5) → Domain(4) — lower layer calls upper layer",
+    }
+    assert [r.id for r in report.unused(nodes, edges).collect()] == ["A\\Infrastructure\\Mail::send"]
