@@ -23,9 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Tables, cut, utf8
 
@@ -82,6 +82,7 @@ class Counts:
 COUNTED_NAMES = ["lang", "term", "source", "document", "docs", "n"]
 RUN_NAMES = ["lang", "term", "source", "n", "lang_n", "head"]
 EMITTED_NAMES = ["part", "lang", "source", "item", "value"]
+RESULT = ["lang", "source", "part", "item", "value", "rank"]
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,54 @@ def _emitted(part: str, lang: pa.Array, source: pa.Array, item: pa.Array, value:
     return pa.RecordBatch.from_arrays([pa.array([part] * len(value), pa.string()), lang, source, item, pa.array(value, pa.int64())], EMITTED_NAMES)
 
 
-def _share(n: str | Column, size: str) -> Column:
-    whole = F.expr(f"cast({size} as decimal(19,0))")
-    top = F.lit(SCALE).cast("decimal(10,0)") * (n if isinstance(n, Column) else F.col(n)).cast("decimal(19,0)")
-    return F.lit(1).cast("long") + F.call_function("div", top, whole) if False else F.floor(top / whole).cast("long") + 1
+def _share(n: str, size: str) -> Column:
+    """share() as a column."""
+    return F.expr(f"1 + (cast({SCALE} as decimal(10,0)) * cast({n} as decimal(19,0))) div cast({size} as decimal(19,0))")
+
+
+def _apart(p: str, q: str) -> Column:
+    return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
+
+
+def sizes(given: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each occurring (lang, source): kept terms of the language, and the divisors of its and its language's shares."""
+    own = runs.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum(F.col("head").cast("long")).alias("heads"))
+    langs = own.groupBy("lang").agg(F.sum("heads").alias("v"), F.sum("n").alias("all_n"))
+    found = given.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left")
+    v = F.coalesce("v", F.lit(0).cast("long"))
+    return found.select("lang", "source", v.alias("v"), (F.coalesce("n", F.lit(0).cast("long")) + v).alias("size"), (F.coalesce("all_n", F.lit(0).cast("long")) + v).alias("lang_size"))
+
+
+def pair_values(runs: DataFrame, groups: DataFrame, emitted: DataFrame) -> DataFrame:
+    """(lang, source, item, value) of each ordered pair of a language's sources."""
+    zero = _share("1", "nullif(size, 0)")
+    others = groups.select("lang", F.col("source").alias("other"), zero.alias("q0"), F.explode(F.array(*map(F.lit, range(WAYS)))).alias("way"))
+    base = groups.select("lang", "source", "v", zero.alias("p0"), F.pmod(F.hash("source"), F.lit(WAYS)).alias("way")).join(others, ["lang", "way"]).where("source <> other")
+    neither = base.select("lang", "source", F.col("other").alias("item"), F.when(F.col("v") > 0, F.col("v") * _apart("p0", "q0")).otherwise(0).alias("value"))
+    counts = runs.groupBy("lang", "source", "n").agg(F.count("*").alias("terms")).join(groups, ["lang", "source"])
+    counts = counts.select("lang", "source", "terms", _share("n + 1", "size").alias("p"), zero.alias("p0"), F.pmod(F.hash("source", "n"), F.lit(WAYS)).alias("way"))
+    met = counts.join(others, ["lang", "way"]).where("source <> other")
+    pairs = [("source", "other", _apart("p", "q0") - _apart("p0", "q0")), ("other", "source", _apart("q0", "p") - _apart("q0", "p0"))]
+    both = F.explode(F.array(*(F.struct(F.col(a).alias("source"), F.col(b).alias("item"), (F.col("terms") * v).alias("value")) for a, b, v in pairs))).alias("x")
+    alone = met.select("lang", both).select("lang", "x.*")
+    parts = neither.unionByName(alone).unionByName(emitted.where("part = 'pair'").select("lang", "source", "item", "value"))
+    return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+
+
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
+    """(lang, source, part, item, value, rank): of part `pair` each other source of the language, of part `term` the
+    `top` terms that the source uses more than its language, the largest values first, ties by the item's UTF-8."""
+    given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
+    tables = Tables(docs.sparkSession)
+    try:
+        counted = given.mapInArrow(count, COUNTED).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+        runs = tables.put("runs", counted.mapInArrow(scan(least), RUN))
+        groups = tables.put("groups", sizes(given, runs))
+        sized = runs.join(groups.select("lang", "source", "size", "lang_size"), ["lang", "source"]).repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+        emitted = tables.put("emitted", sized.mapInArrow(emit, EMITTED))
+        place = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+        pairs = pair_values(runs, groups, emitted).withColumn("rank", F.row_number().over(place)).withColumn("part", F.lit("pair"))
+        terms = emitted.where("part = 'term'").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+        return cut(pairs.select(RESULT).unionByName(terms.select(RESULT)))
+    finally:
+        tables.clear()
