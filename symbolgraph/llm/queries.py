@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, codes, codes_sql, decontam, divergence, divergence_sql, htmltext, langid, mixing, quality, secrets, secrets_sql, simhash, toxicity, urlfilter
+from . import ann, codes, codes_sql, decontam, divergence, divergence_sql, htmltext, langid, mixing, packing, quality, secrets, secrets_sql, simhash, toxicity, urlfilter
 from .common import read_table
 
 
@@ -50,6 +51,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
@@ -58,5 +63,5 @@ def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_simhash, op3_urlfilter, op4_htmltext, op5_mixing, op6_ann, op7_langid, op8_toxicity, op9_quality, op10_decontam, op12_divergence, op13_codes)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_simhash, op3_urlfilter, op4_htmltext, op5_mixing, op6_ann, op7_langid, op8_toxicity, op9_quality, op10_decontam, op11_packing, op12_divergence, op13_codes)}
 ORACLE_SQL = {"op1_secrets": secrets_sql.oracle(), "op3_urlfilter": urlfilter.oracle(), "op12_divergence": divergence_sql.oracle(), "op13_codes": codes_sql.oracle()}
