@@ -14,6 +14,7 @@ depends on how Spark dealt the rows; the number of sequences doesn't.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,20 +36,34 @@ REMEMBERED, SHORT, STRETCH = 1_000_000, 48, 1 << 20
 BREAK = re.compile(r"(?<=[^\s᠎​﻿]) ")
 
 
+#: Characters that all libraries class alike; `<` begins the special tokens.
+PLAIN = re.compile(r"[\n -;=-~\u00c0-\u024f]*")
+
+
 class Encoder:
     """Token ids of texts, as bytes of little-endian 32-bit numbers.
 
     The tokenizer reads a text as words with the space before them, so no token spans a break, and each stretch between
-    breaks has the tokens that it has alone: what was tokenized once is looked up.
+    breaks has the tokens that it has alone: what was tokenized once is looked up. Where `ranks` names (the same
+    vocabulary as ranks, its pattern), stretches of plain characters are tokenized by those, which gives the same ids in
+    a quarter of the time; all others are the tokenizer's.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: tuple[str, str] | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), None
         self.known: dict[str, bytes] = {}
+        if ranks:
+            import tiktoken
+
+            with open(ranks[0], "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.plain = tiktoken.Encoding("plain", pat_str=ranks[1], mergeable_ranks=table, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
+        if self.plain and PLAIN.fullmatch(text):
+            return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _missing(self, piece: str) -> bytes:
@@ -60,22 +75,18 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        out, at, first = [], 0, True
+        out, at = [], 0
         while at < len(text):
             gap = BREAK.search(text, at + STRETCH)
-            pieces = BREAK.split(text[at : gap.start()] if gap else text[at:])
-            if first:  # no space stands before it
-                out.append(self._ids(pieces[0]))
-                del pieces[0]
-                first = False
+            end = gap.start() if gap else len(text)  # the space opens the next stretch
+            stretch, at = text[at:end], end
+            if self.plain and PLAIN.fullmatch(stretch):
+                out.append(self._ids(stretch))
+                continue
+            first, *pieces = BREAK.split(stretch)
             known = self.known
-            try:
-                out.append(b"".join([known[p] for p in pieces]))
-            except KeyError:
-                out.append(b"".join([known.get(p) or self._missing(p) for p in pieces]))
-            at = gap.end() if gap else len(text)
+            out.append(self._ids(first))
+            out += [known.get(p) or self._missing(p) for p in pieces]
         return b"".join(out)
 
 
@@ -85,14 +96,14 @@ def lengths(tokens: int, size: int) -> list[int]:
     return ([rest] if rest else []) + [size] * (tokens // size)
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, end: int, keep_ids: bool) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, ranks: tuple[str, str] | None, id_col: str, text_col: str, size: int, end: int, keep_ids: bool) -> DataFrame:
     """A row for each piece: its place in its document, the CRC of its ids, and its number among the pieces of its
     length that the same task has made (block, local)."""
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = T.StructType([given.schema["id"]] + [T.StructField(n, T.LongType()) for n in ("piece", "start", "length", "ids_crc32", "block", "local")] + [T.StructField("ids", T.BinaryType())] * keep_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ending = Encoder(path), np.array([end], "<u4").tobytes()
+        encoder, ending = Encoder(path, ranks), np.array([end], "<u4").tobytes()
         block, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             rows, at, ids = [], [], []
@@ -219,11 +230,12 @@ def dealt(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return row[:, 2] + nth % row[:, 4], row[:, 3] + nth // row[:, 4] * length
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, and its ids if they are to be kept."""
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, and its ids if they are to be kept.
+    path is a file of a byte-level tokenizer; ranks, if given, the same vocabulary for Encoder."""
     tables = Tables(docs.sparkSession)
     try:
-        pieces = tables.put("pieces", tokenized(docs, path, id_col, text_col, size, end, keep_ids))
+        pieces = tables.put("pieces", tokenized(docs, path, ranks, id_col, text_col, size, end, keep_ids))
         counts = tables.put("counts", pieces.groupBy("block", "length").agg(F.count("*").alias("n")))
         made = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length at most
         table = places(plan(made, size))

@@ -52,7 +52,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks)
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
