@@ -2,7 +2,7 @@
 
 Two streaming scans over sorted rows. Tasks count terms of their documents first and pass on a row for each (language,
 term, source) and stretch of documents; the rows are dealt by (language, term) and sorted within their partition by
-(language, term, source, document), so one pass finds each term's run, its document frequency and its counts. Terms of
+(language, term, source, document), the term put first as Spark compares a key's first bytes at once, so one pass finds each term's run, its document frequency and its counts. Terms of
 enough documents are kept, with which the sizes of groups and vocabularies are known; the kept runs are dealt and sorted
 alike and scanned again, and each run emits its terms and its share of the pairs of sources.
 
@@ -31,7 +31,7 @@ from .common import Tables, cut, utf8
 
 LEAST_DOCUMENTS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 #: Counted terms that a task holds before it passes them on, bytes of a text taken at once, pairs computed at once.
-HELD, STRETCH, PAIRS = 400_000, 1 << 20, 1 << 20
+HELD, STRETCH, PAIRS = 800_000, 1 << 20, 1 << 20
 #: Ways into which rows of one language are split where they meet its groups.
 WAYS = 16
 
@@ -241,10 +241,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
     tables = Tables(docs.sparkSession)
     try:
-        counted = given.mapInArrow(count, COUNTED).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+        counted = given.mapInArrow(count, COUNTED).repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "document")
         runs = tables.put("runs", counted.mapInArrow(scan(least), RUN))
         groups = tables.put("groups", sizes(given, runs))
-        sized = runs.join(groups.select("lang", "source", "size", "lang_size"), ["lang", "source"]).repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+        sized = runs.join(groups.select("lang", "source", "size", "lang_size"), ["lang", "source"]).repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
         emitted = tables.put("emitted", sized.mapInArrow(emit, EMITTED))
         place = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         pairs = pair_values(runs, groups, emitted).withColumn("rank", F.row_number().over(place)).withColumn("part", F.lit("pair"))
