@@ -22,4 +22,4 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_run_and_queries(spark):
     assert corpus_pipeline.run(spark, TESTDATA).count() > 0
-    assert set(queries.QUERIES) == {"op1_secrets", "op2_simhash", "op3_urlfilter", "op4_htmltext", "op5_mixing", "op6_ann", "op7_langid", "op8_toxicity", "op9_quality", "op10_decontam"}
+    assert set(queries.QUERIES) == {"op1_secrets", "op2_simhash", "op3_urlfilter", "op4_htmltext", "op5_mixing", "op6_ann", "op7_langid", "op8_toxicity", "op9_quality", "op10_decontam", "op11_packing", "op12_divergence", "op13_codes"}
