@@ -15,13 +15,13 @@ LAYERS = (
     ("Domain", "Domain", 4),
     ("Presentation", "Presentation", 0),
     ("Http", "Http", 0),
-    ("Controllers?", "Controller", 1),
-    ("UseCases", "UseCase", 2),
-    ("UseCase", "UseCase", 2),
-    ("Services", "Service", 3),
-    ("Service", "Service", 3),
-    ("Repositories", "Repository", 4),
-    ("Repository", "Repository", 4),
+    ("Controllers?", "Controller", 0),
+    ("UseCases", "UseCases", 1),
+    ("UseCase", "UseCase", 1),
+    ("Services", "Services", 2),
+    ("Service", "Service", 2),
+    ("Repositories", "Repositories", 3),
+    ("Repository", "Repository", 3),
 )
 
 

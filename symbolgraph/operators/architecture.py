@@ -16,7 +16,7 @@ def glob(pattern: str) -> str:
     return "^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern) + "$"
 
 
-# The path that a violation between two layers (inner, outer) should take; framework namespaces of HTTP, and
+# The path that a violation between two layers (inner, outer) should take; layers that count as another there; framework namespaces of HTTP, and
 # the members of requests.
 EXPECTED = {
     ("Infrastructure", "Controller"): "Controller → Service → Repository ← Infrastructure",
@@ -34,7 +34,7 @@ EXPECTED = {
     ("Service", "UseCase"): "UseCase → Service → Repository",
     ("UseCase", "Controller"): "Controller → UseCase → Service → Repository",
 }
-OUTER = ("Presentation", "Http", "Controller")
+SAME = {"Presentation": "Controller", "Http": "Controller", "UseCases": "UseCase", "Services": "Service", "Repositories": "Repository"}
 HTTP_NAMESPACES = r"^(Illuminate\\Http(\\|$)|Illuminate\\Support\\Facades\\Http(::|\\|$)|Psr\\Http(\\|$)|Symfony\\Component\\HttpFoundation(\\|$)|GuzzleHttp(\\|$))"
 HTTP_CLIENTS = r"^(Illuminate\\Http\\Client|Psr\\Http|Symfony\\Component\\HttpFoundation|GuzzleHttp)"
 REQUEST_MEMBERS = ("all", "cookie", "filled", "get", "getClientIp", "getHost", "getMethod", "getPathInfo", "has", "hasHeader", "header", "input", "is", "path", "query", "route", "userAgent")
@@ -48,7 +48,8 @@ def violations(edges: DataFrame, resolved: bool = False, ignore: list[str] | Non
     found = found.where(layer_rank(F.col("from_layer")) > layer_rank(F.col("to_layer")))
     depends = F.col("type") == "DEPENDS_ON"
     paths = F.create_map(*(F.lit(x) for (a, b), path in EXPECTED.items() for x in (f"{a}>{b}", path)))
-    canonical = lambda c: F.when(F.col(c).isin(*OUTER), "Controller").otherwise(F.col(c))
+    same = F.create_map(*(F.lit(x) for pair in SAME.items() for x in pair))
+    canonical = lambda c: F.coalesce(same[F.col(c)], F.col(c))
     expected = F.coalesce(paths[F.concat_ws(">", canonical("from_layer"), canonical("to_layer"))], F.concat_ws(" → ... → ", "to_layer", "from_layer"))
     reason = F.concat(F.col("from_layer"), F.lit(" code should not "), F.when(depends, "depend on").otherwise("call"), F.lit(" "), F.col("to_layer"), F.lit(" code."))
     found = found.withColumns({"severity": F.when(depends, "MEDIUM").otherwise("HIGH"), "expected": expected, "detected": F.concat_ws(" → ", "from_layer", "to_layer"), "reason": reason})

@@ -52,7 +52,7 @@ def methods(nodes: DataFrame, edges: DataFrame, off: tuple[str, ...] = ()) -> Da
         count(F.col("type").isin("BLADE_CALLS", "BLADE_USES_ACTION", "BLADE_REFERENCES_SYMBOL")).alias("views"),
     )
     abstract = nodes.where("type = 'method' and is_abstract").select(F.col("parent").alias("ancestor"), "name")
-    up = closure(edges, 8).select(F.col("child").alias("parent"), "ancestor").unionByName(nodes.where("type = 'class'").select(F.col("id").alias("parent"), F.col("id").alias("ancestor")))
+    up = closure(edges).select(F.col("child").alias("parent"), "ancestor").unionByName(nodes.where("type = 'class'").select(F.col("id").alias("parent"), F.col("id").alias("ancestor")))
     implements = up.join(abstract, "ancestor").select("parent", "name").distinct().withColumn("implements", F.lit(True))
     out = public.join(parents, "parent", "left").join(got, "id", "left").join(implements, ["parent", "name"], "left").na.fill(0, ["calls", "routes", "views"])
     return out.withColumn("skip_reason", skip_reason(off))

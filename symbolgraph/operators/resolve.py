@@ -25,7 +25,7 @@ def _to_descendants(nodes: DataFrame, edges: DataFrame, abstract: bool, kind: st
     of = edges.where((F.col("type") == "CALLS") & (F.col("call_type").isNull() | ~F.col("call_type").isin(*skip))).select("from_id", "to_id").distinct()
     called = of.join(methods.where(F.col("abstract") == abstract).select(F.col("id").alias("to_id"), F.col("parent").alias("ancestor"), "name"), "to_id")
     concrete = methods.where("not abstract").select(F.col("parent").alias("child"), "name", F.col("id").alias("target"))
-    found = called.join(closure(edges, 8), "ancestor").join(concrete, ["child", "name"])
+    found = called.join(closure(edges), "ancestor").join(concrete, ["child", "name"])
     return found.select("from_id", F.col("target").alias("to_id"), F.col("to_id").alias("via"), F.lit(kind).alias("call_type")).distinct()
 
 

@@ -15,16 +15,23 @@ KINDS = {
     "field": ("request_field", "model_field", "response_field", "variable_field"),
     "config": ("config_literal",),
 }
-VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE")
+#: What a query asks for by its form, in this order; a symbol otherwise.
+FORMS = (
+    (r"^api:", "route"),
+    (r"(?i)^(get|post|put|patch|delete)\s+/", "route"),
+    (r"^(request_field|model_field):", "field"),
+    (r"^config_key:", "config"),
+    (r"(?is)^(?=.*/).*\b(get|post|put|patch|delete)\b", "route"),
+)
+
+
+def kind_of(query: Column) -> Column:
+    """The kind of search that each query asks for."""
+    return F.coalesce(*(F.when(query.rlike(form), kind) for form, kind in FORMS), F.lit("symbol"))
 
 
 def detect_kind(query: str) -> str:
-    head = query.split(" ")[0].upper()
-    if query.startswith("api:") or head in VERBS and " " in query or "/" in query and any(v in query.upper().split() for v in VERBS):
-        return "route"
-    if query.startswith(("request_field:", "model_field:")):
-        return "field"
-    return "config" if query.startswith("config_key:") else "symbol"
+    return next((kind for form, kind in FORMS if re.search(form, query)), "symbol")
 
 
 def find(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:

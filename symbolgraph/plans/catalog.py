@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolgraph.functions.graph import LAYERS, short_label
+from symbolgraph.functions.graph import short_label
 from symbolgraph.operators import architecture, cycles, deadcode, hierarchy, hotspots, impact, navigation, report, resolve, search, ticket
 from symbolgraph.plans.projection import SQL, event_pairs, graph
 from symbolgraph.sources import scan, store
@@ -275,8 +275,12 @@ def dead_methods(nodes, edges):
     return deadcode.dead(nodes, edges)
 
 
-_LAYER = lambda c: "CASE " + " ".join(rf"WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\){s}(\\|$)') THEN '{n}'" for s, n, _ in LAYERS) + " END"
-_RANK = lambda c: f"CASE {c} WHEN 'Presentation' THEN 0 WHEN 'Http' THEN 0 WHEN 'Controller' THEN 1 WHEN 'UseCase' THEN 2 WHEN 'Service' THEN 3 WHEN 'Domain' THEN 4 WHEN 'Repository' THEN 4 WHEN 'Infrastructure' THEN 5 END"
+# Layers, their segments and ranks, written out in the order in which they are tried.
+_LAYER = lambda c: rf"""CASE WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Infrastructure(\\|$)') THEN 'Infrastructure' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Domain(\\|$)') THEN 'Domain'
+WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Presentation(\\|$)') THEN 'Presentation' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Http(\\|$)') THEN 'Http' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Controllers?(\\|$)') THEN 'Controller'
+WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)UseCases(\\|$)') THEN 'UseCases' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)UseCase(\\|$)') THEN 'UseCase' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Services(\\|$)') THEN 'Services'
+WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Service(\\|$)') THEN 'Service' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Repositories(\\|$)') THEN 'Repositories' WHEN regexp_matches(split_part({c}, '::', 1), '(^|\\)Repository(\\|$)') THEN 'Repository' END"""
+_RANK = lambda c: f"CASE {c} WHEN 'Presentation' THEN 0 WHEN 'Http' THEN 0 WHEN 'Controller' THEN 0 WHEN 'UseCase' THEN 1 WHEN 'UseCases' THEN 1 WHEN 'Service' THEN 2 WHEN 'Services' THEN 2 WHEN 'Repository' THEN 3 WHEN 'Repositories' THEN 3 WHEN 'Domain' THEN 4 WHEN 'Infrastructure' THEN 5 END"
 _VIOLATIONS = f", lay AS (SELECT from_id, to_id, type, {_LAYER('from_id')} AS from_layer, {_LAYER('to_id')} AS to_layer FROM (SELECT * FROM calls UNION ALL SELECT * FROM edges WHERE type = 'DEPENDS_ON')), v AS (SELECT *, CASE WHEN type = 'DEPENDS_ON' THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM lay WHERE {_RANK('from_layer')} > {_RANK('to_layer')})"
 
 
@@ -297,6 +301,40 @@ def architecture_nodes(nodes, edges):
     return architecture.of_nodes(architecture.violations(edges), ids).select("from_id", "to_id", "type")
 
 
+# Edges between any two of these layers, dealt to the orders by their keys; the last name is of no layer.
+_LAYER_NAMES = ("Presentation", "Http", "Controllers", "Controller", "UseCase", "UseCases", "Service", "Services", "Repository", "Repositories", "Domain", "Infrastructure", "Helpers")
+_PAIR_EDGES = "WITH pair AS (SELECT DISTINCT 'App\\' || list_extract(names, CAST(o_orderkey % 13 AS INTEGER) + 1) || '\\C' || o_custkey || '::m' AS from_id, 'App\\' || list_extract(names, CAST(o_orderkey // 13 % 13 AS INTEGER) + 1) || '\\D' || o_custkey % 7 || '::m' AS to_id, CASE WHEN o_orderkey // 169 % 2 = 0 THEN 'CALLS' ELSE 'DEPENDS_ON' END AS type FROM (SELECT *, [" + ", ".join(f"'{n}'" for n in _LAYER_NAMES) + "] AS names FROM orders))".replace("\\\\", "\\")
+_PATHS = """paths(a, b, path) AS (VALUES ('Infrastructure','Controller','Controller → Service → Repository ← Infrastructure'),('Infrastructure','UseCase','UseCase → Service → Repository ← Infrastructure'),('Infrastructure','Service','Service → Repository ← Infrastructure'),
+('Infrastructure','Repository','Service → Repository ← Infrastructure'),('Domain','Controller','Controller → UseCase → Service → Domain'),('Domain','UseCase','UseCase → Service → Domain'),('Domain','Service','Service → Repository → Domain'),('Domain','Repository','Service → Repository → Domain'),
+('Repository','Controller','Controller → Service → Repository'),('Repository','UseCase','UseCase → Service → Repository'),('Repository','Service','Service → Repository'),('Service','Controller','Controller → Service → Repository'),('Service','UseCase','UseCase → Service → Repository'),('UseCase','Controller','Controller → UseCase → Service → Repository'))"""
+_SAME = lambda c: f"CASE {c} WHEN 'Presentation' THEN 'Controller' WHEN 'Http' THEN 'Controller' WHEN 'UseCases' THEN 'UseCase' WHEN 'Services' THEN 'Service' WHEN 'Repositories' THEN 'Repository' ELSE {c} END"
+
+
+@query(f"""{_PAIR_EDGES}, {_PATHS}, lay AS (SELECT *, {_LAYER('from_id')} AS from_layer, {_LAYER('to_id')} AS to_layer FROM pair), v AS (SELECT * FROM lay WHERE {_RANK('from_layer')} > {_RANK('to_layer')})
+SELECT from_id, to_id, type, CASE type WHEN 'CALLS' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, from_layer || ' → ' || to_layer AS detected, from_layer || ' code should not ' || CASE type WHEN 'CALLS' THEN 'call' ELSE 'depend on' END || ' ' || to_layer || ' code.' AS reason, coalesce(path, to_layer || ' → ... → ' || from_layer) AS expected
+FROM v LEFT JOIN paths ON a = {_SAME('from_layer')} AND b = {_SAME('to_layer')}""")
+def architecture_pairs(spark, sf_dir):
+    orders, names = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.array(*map(F.lit, _LAYER_NAMES))
+    at = lambda k: F.element_at(names, (k % 13 + 1).cast("int"))
+    key = F.col("o_orderkey")
+    source = F.concat(F.lit("App\\"), at(key), F.lit("\\C"), "o_custkey", F.lit("::m"))
+    target = F.concat(F.lit("App\\"), at(F.floor(key / 13)), F.lit("\\D"), F.col("o_custkey") % 7, F.lit("::m"))
+    kind = F.when(F.floor(key / 169) % 2 == 0, "CALLS").otherwise("DEPENDS_ON")
+    edges = orders.select(source.alias("from_id"), target.alias("to_id"), kind.alias("type"), F.lit(None).cast("string").alias("call_type")).distinct()
+    return architecture.violations(edges).select("from_id", "to_id", "type", "severity", "detected", "reason", "expected")
+
+
+# Queries by form, with the kind that each asks for.
+_FORMS = (("api:GET:/", "route"), ("GET /", "route"), ("get user ", "symbol"), ("delete order ", "symbol"), ("patch\t/", "route"), ("request_field:a/get ", "field"), ("model_field:", "field"), ("config_key:a/get ", "config"), ("api/get-users ", "route"), ("api/getting ", "symbol"), ("Service\\get/", "route"), ("put", "symbol"))
+
+
+@query("WITH q AS (SELECT p_partkey, CAST(p_partkey % 12 AS INTEGER) + 1 AS k, p_name FROM part) SELECT p_partkey AS id, list_extract([" + ", ".join(f"'{kind}'" for _, kind in _FORMS) + "], k) AS kind FROM q")
+def find_kinds(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    form = F.element_at(F.array(*(F.lit(f) for f, _ in _FORMS)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return part.select(F.col("p_partkey").alias("id"), search.kind_of(F.concat(form, F.replace("p_name", F.lit(" "), F.lit("_")))).alias("kind"))
+
+
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT event_type AS f, t FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) WHERE t IS NOT NULL AND t <> event_type),
 w AS (SELECT [f, t] AS path FROM p WHERE t > f UNION ALL SELECT list_append(path, p.t) FROM w JOIN p ON p.f = path[len(path)] WHERE p.t > path[1] AND NOT list_contains(path, p.t) AND len(path) < 12)
 SELECT array_to_string(list_append(path, path[1]), '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM w JOIN p ON p.f = path[len(path)] AND p.t = path[1]""")
@@ -324,7 +362,7 @@ def descendants(nodes, edges):
     return hierarchy.closure(edges).where(F.col("ancestor") == CONTROLLER).select("child").distinct()
 
 
-@on_graph(_CLOSURE + ", a AS (SELECT id AS child, id AS ancestor, 0 AS depth FROM nodes WHERE type = 'class' UNION ALL SELECT child, ancestor, min(depth) FROM up WHERE depth <= 8 GROUP BY 1, 2) SELECT a.child AS cls, m.name, arg_min(m.id, lpad(CAST(a.depth AS VARCHAR), 3, '0') || m.id) AS target FROM a JOIN nodes m ON m.type = 'method' AND m.parent = a.ancestor GROUP BY 1, 2", recursive=True)
+@on_graph(_CLOSURE + ", a AS (SELECT id AS child, id AS ancestor, 0 AS depth FROM nodes WHERE type = 'class' UNION ALL SELECT child, ancestor, min(depth) FROM up GROUP BY 1, 2) SELECT a.child AS cls, m.name, arg_min(m.id, lpad(CAST(a.depth AS VARCHAR), 3, '0') || m.id) AS target FROM a JOIN nodes m ON m.type = 'method' AND m.parent = a.ancestor GROUP BY 1, 2", recursive=True)
 def resolve_inherited_method(nodes, edges):
     return hierarchy.resolve_method(nodes, edges)
 
@@ -869,6 +907,6 @@ def report_layer_breaks(nodes, edges):
     return report.layer_breaks(nodes, edges.where("type = 'CALLS'").select("from_id", "to_id", "type", "call_type").unionByName(turned), _all_methods(nodes), dependencies=True)
 
 
-@on_graph("SELECT id FROM nodes n WHERE type = 'method' AND visibility = 'public' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.to_id = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'ROUTES_TO' AND e.to_id = n.id)")
+@on_graph(", used AS (SELECT to_id FROM calls UNION SELECT to_id FROM edges WHERE type = 'ROUTES_TO') SELECT id FROM nodes LEFT JOIN used ON to_id = id WHERE type = 'method' AND visibility = 'public' AND to_id IS NULL")
 def report_unused(nodes, edges):
     return report.unused(nodes, edges)
