@@ -808,8 +808,8 @@ _LAYERED = [
     ("App\\Infrastructure\\A::go", "App\\Services\\B::go"), ("App\\Infrastructure\\A::go", "App\\Domain\\B::go"), ("App\\UseCase\\A::go", "App\\Controller\\B::go"), ("App\\Services\\A::go", "App\\Repositories\\B::go"), ("App\\Repository\\Safe::go", "App\\Service\\B::go"),
 ]
 _EXPECTED = [
-    ("Repository", "Http", "Controller → Service → Repository", None), ("Service", "Http", "Controller → Service → Repository", "framework"), ("Service", "Http", "Controller → Service → Repository", None), ("Domain", "Http", "Controller → UseCase → Service → Domain", "framework"),
-    ("Service", "UseCase", "UseCase → Service → Repository", "query"), ("Infrastructure", "Service", "Service → Repository ← Infrastructure", "rule"), ("Infrastructure", "Domain", "Domain → ... → Infrastructure", "rule"), ("UseCase", "Controller", "Controller → UseCase → Service → Repository", None),
+    ("Repositories", "Http", "Controller → Service → Repository", None), ("Services", "Http", "Controller → Service → Repository", "framework"), ("Services", "Http", "Controller → Service → Repository", None), ("Domain", "Http", "Controller → UseCase → Service → Domain", "framework"),
+    ("Services", "UseCases", "UseCase → Service → Repository", "query"), ("Infrastructure", "Services", "Service → Repository ← Infrastructure", "rule"), ("Infrastructure", "Domain", "Domain → ... → Infrastructure", "rule"), ("UseCase", "Controller", "Controller → UseCase → Service → Repository", None),
     None, ("Repository", "Service", "Service → Repository", "rule"),
 ]
 _RULED = ", ".join(f"({i}, '{e[0]}', '{e[1]}', '{e[2]}', " + (f"'{e[3]}'" if e[3] else "NULL") + ")" for i, e in enumerate(_EXPECTED) if e)
