@@ -524,7 +524,7 @@ _STOPPED = "('the','and','for','with','that','this','from','not','are','was','bu
 words AS (SELECT * FROM nw WHERE length(word) >= 3), ww AS (SELECT word, {_weight('word', 'df')} AS weight FROM (SELECT word, count(*) AS df FROM words GROUP BY word)),
 tk AS (SELECT s_suppkey AS ticket, 'the s' || s_suppkey || ' of N' || s_nationkey || 'Service must import p' || s_suppkey || ' for c1' || s_suppkey || '0 when queued' AS text FROM supplier),
 tt AS (SELECT ticket, unnest(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN {_STOPPED}))) AS word FROM tk),
-sr AS (SELECT ticket, id, round(sum(weight), 2) AS score FROM tt JOIN (SELECT * FROM ww WHERE weight >= 1) USING (word) JOIN words USING (word) GROUP BY 1, 2)
+sr AS (SELECT ticket, id, round(sum(weight), 2) AS score FROM tt JOIN (SELECT * FROM ww WHERE weight > 0) USING (word) JOIN words USING (word) GROUP BY 1, 2)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ticket ORDER BY score DESC, id) AS INTEGER) AS rank FROM sr) WHERE rank <= 10""")
 def ticket_rank(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
