@@ -16,7 +16,7 @@ def rows(frame):
     return columns, sorted((tuple(plain(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["projection_counts", "impact_depth2", "method_hotspots", "dead_methods", "cycles_events", "inheritance_chain", "architecture_layers", "token_df", "find_route", "page_links"])
+@pytest.mark.parametrize("name", ["projection_counts", "impact_depth2", "method_hotspots", "dead_methods", "cycles_events", "inheritance_chain", "architecture_layers", "token_df", "find_route", "page_links", "architecture_pairs", "find_kinds", "data_flow_edges", "data_flow_reached", "property_types_propagated", "route_groups", "ticket_route_anchors", "ticket_symbol_anchors", "queue_infrastructure", "endpoint_merge_nodes", "endpoint_merge_edges", "import_paths", "constant_urls", "config_edges", "candidates_merged"])
 def test_equals_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
