@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the openings of words, `OPENING` letters or the whole of a shorter word, letters folded, so that the forms of
-a word are one term. The vocabulary is every term that a labelled example holds, whatever its label; their document
+A word gives two terms, letters folded: its first `OPENING` letters, which its forms have in common, and what follows
+them, at the weight `REST`; so every letter counts. Words of scripts that write no spaces give each pair of neighbouring
+letters instead. The vocabulary is every term that a labelled example holds, whatever its label; their document
 frequencies are counted over all rows. Labelled examples with equal vectors are one example that remembers how many
 rows, and how many toxic ones, it stands for. The index lists each term's examples with their weights in blocks of
 `BLOCK` examples and the largest weight in each block. A search bounds every block's cosine by these, scores the
@@ -43,24 +44,52 @@ TOGETHER = 64
 #: A term that so large a share of the examples hold keeps a weight for each example instead of a list.
 COMMON = 0.2
 OPENING = 4
+REST = 0.25
 MAX_ROWS = 6_000
 THRESHOLD = 0.5
 SEED = 8
 BINS = 200
 
 _OPENING = re.compile(rf"([^\W_]{{1,{OPENING}}})[^\W_]*")
+_REST = re.compile(rf"[^\W_]{{{OPENING}}}([^\W_]+)")
+#: Thai to Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
+
+
+def parts(text: str | None) -> tuple[Counter, Counter]:
+    """The openings of a text's words and the pairs of unspaced scripts; what follows the openings."""
+    low, pairs = (text or "").lower(), Counter()
+    if _UNSPACED.search(low):
+        for run in _UNSPACED.findall(low):
+            pairs.update(run[k : k + 2] for k in range(max(1, len(run) - 1)))
+        low = _UNSPACED.sub(" ", low)
+    pairs.update(_OPENING.findall(low))
+    return pairs, Counter(_REST.findall(low))
 
 
 def terms(text: str | None) -> Counter:
-    return Counter(_OPENING.findall((text or "").lower()))
+    """All terms of a text, rests of words with a plus before them."""
+    first, rest = parts(text)
+    return first + Counter({f"+{t}": n for t, n in rest.items()})
 
 
 @dataclass
 class Vocabulary:
     places: dict[str, int]
 
+    def __post_init__(self) -> None:
+        self.rests = {t[1:]: k for t, k in self.places.items() if t[0] == "+"}
+
     def counts(self, text: str | None) -> dict[int, int]:
-        return {self.places[t]: n for t, n in terms(text).items() if t in self.places}
+        first, rest = parts(text)
+        found = {self.places[t]: n for t, n in first.items() if t in self.places}
+        found.update((self.rests[t], n) for t, n in rest.items() if t in self.rests)
+        return found
+
+    def weights(self) -> np.ndarray:
+        out = np.ones(len(self.places))
+        out[list(self.rests.values())] = REST
+        return out
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +107,12 @@ class Model:
     rows: np.ndarray  # of each example, rows and toxic rows
     toxic: np.ndarray
     ids: np.ndarray  # the smallest id of each example's rows
-    bounds: np.ndarray  # term x block: the largest weight
     common: np.ndarray  # of each term, its row among the common ones, or -1
     whole: np.ndarray  # common term x example: the weight
-    first: np.ndarray  # term x block: the first posting below, and how many; postings are in the order of terms and examples
+    lists: np.ndarray  # of each term, its first list below, and one more; a list is of a term and a block that holds it
+    block: np.ndarray  # of each list its block, the largest weight, the first posting, and how many
+    bounds: np.ndarray
+    first: np.ndarray
     held: np.ndarray
     example: np.ndarray
     weight: np.ndarray
@@ -108,7 +139,11 @@ class Model:
         """begun: what common terms add to each example, all blocks filled up with zeros."""
         rare = self.common[at] < 0
         at, w = at[rare], w[rare]
-        bound = begun.reshape(-1, BLOCK).max(axis=1) + w @ self.bounds[at]
+        n = self.lists[at + 1] - self.lists[at]
+        lists = np.arange(n.sum()) + np.repeat(self.lists[at] - (np.cumsum(n) - n), n)
+        at, w = self.block[lists], np.repeat(w, n)
+        bound = begun.reshape(-1, BLOCK).max(axis=1)
+        bound = bound + np.bincount(at, w * self.bounds[lists], len(bound))
         open_ = bound > 0
         found, score, least = np.empty(0, np.intp), np.empty(0), 0.0
         for last in (False, True):
@@ -119,9 +154,8 @@ class Model:
             blocks = np.flatnonzero(now)
             if not len(blocks):
                 continue
-            first, n = self.first[at][:, blocks].ravel(), self.held[at][:, blocks].ravel()
-            some = np.flatnonzero(n)
-            first, n, x = first[some], n[some], np.repeat(w, len(blocks))[some]
+            some = now[at]
+            first, n, x = self.first[lists[some]], self.held[lists[some]], w[some]
             posting = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
             total = begun + np.bincount(self.example[posting], np.repeat(x, n) * self.weight[posting], len(begun)) if len(posting) else begun
             total = total.reshape(-1, BLOCK)[blocks]
@@ -171,17 +205,17 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
     example = np.repeat(np.arange(len(keys)), [len(at) for at, _ in found]).astype(np.int32)
     order = np.lexsort((example, term))
     term, weight, example = term[order], weight[order], example[order]
-    bounds = np.zeros((len(idf), -(-len(keys) // BLOCK)), np.float32)
-    np.maximum.at(bounds, (term, example // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+    blocks = -(-len(keys) // BLOCK)
     often = np.flatnonzero(np.bincount(term, minlength=len(idf)) > COMMON * len(keys)) if len(keys) else np.empty(0, np.intp)
     common = np.full(len(idf), -1)
     common[often] = np.arange(len(often))
-    whole, dense = np.zeros((len(often), bounds.shape[1] * BLOCK)), common[term] >= 0
+    whole, dense = np.zeros((len(often), blocks * BLOCK)), common[term] >= 0
     whole[common[term[dense]], example[dense]] = weight[dense]
     term, weight, example = term[~dense], weight[~dense], example[~dense]
-    held = np.bincount(term * bounds.shape[1] + example // BLOCK, minlength=bounds.size).astype(np.int32).reshape(bounds.shape)
-    first = (np.cumsum(held.ravel()) - held.ravel()).astype(np.int32).reshape(bounds.shape)
-    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), bounds, common, whole, first, held, example, weight, (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    key, first, held = np.unique(term * max(blocks, 1) + example // BLOCK, return_index=True, return_counts=True)
+    bounds = np.nextafter(np.maximum.reduceat(weight, first).astype(np.float32), np.float32(2)) if len(key) else np.empty(0, np.float32)
+    lists = np.searchsorted(key, np.arange(len(idf) + 1) * max(blocks, 1))
+    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), common, whole, lists, key % max(blocks, 1), bounds, first, held, example, weight, (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     # Calibration: pool adjacent violators over the training rows' votes.
     alike: dict[tuple, int] = {}
     for _, label, key in vectors:
@@ -228,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term
     df = np.bincount(counted.term[counted.term >= 0], counted.n[counted.term >= 0], size)
-    idf = np.log((1 + int(counted.n[counted.term < 0].sum())) / (1 + df)) + 1e-9
+    idf = (np.log((1 + int(counted.n[counted.term < 0].sum())) / (1 + df)) + 1e-9) * vocabulary.weights()
     vectors = [(i, y, tuple(sorted((vocabulary.places[t], int(n)) for t, n in zip(x[::2], x[1::2])))) for i, y, x in got]
     return build(vocabulary, idf, vectors)
 

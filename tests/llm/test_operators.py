@@ -516,6 +516,39 @@ def test_toxicity_learns_its_terms(spark):
     assert {r.score for r in toxicity.judge(frame, none).collect()} == {0.0}
 
 
+def test_toxicity_counts_every_letter():
+    assert toxicity.terms("Idiots idiot ab idiotic_x") == {"idio": 3, "+ts": 1, "+t": 1, "+tic": 1, "ab": 1, "x": 1}
+    assert toxicity.terms("你好世界 word ทดสอบ 我") == {"你好": 1, "好世": 1, "世界": 1, "word": 1, "ทด": 1, "ดส": 1, "สอ": 1, "อบ": 1, "我": 1}
+    assert toxicity.terms(None) == toxicity.terms("!! __") == {}
+
+
+def test_toxicity_from_texts_equals_a_full_scan(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(60)] + ["你们都是坏人", "ไม่ดีเลย"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 12))) + (" nastily 坏人" if i % 4 == 0 else ""), "en", "s") for i in range(300)]
+    known = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, *_ in rows[:250]], "doc_id long, quality int, toxic int")
+    frame = docs(spark, rows)
+    model = toxicity.train(frame, known)
+    found = [toxicity.terms(t) for _, t, *_ in rows]
+    df = {}
+    for terms in found:
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+
+    def vector(terms):
+        held = set().union(*found[:250])
+        w = {t: n * (np.log((1 + 300) / (1 + df[t])) + 1e-9) * (toxicity.REST if t[0] == "+" else 1) for t, n in terms.items() if t in held}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()} if norm else {}
+
+    examples = [vector(t) for t in found[:250]]
+    for i in range(250, 300):
+        mine = vector(found[i])
+        want = sorted((round(sum(x * e.get(t, 0) for t, x in mine.items()), 9) for e in {tuple(sorted(e.items())): e for e in examples}.values()), reverse=True)
+        (_, evidence), = model.scores([rows[i][1]])
+        assert np.allclose([c for _, c in evidence], [c for c in want[: toxicity.NEAREST] if c > 0], atol=1e-6)
+
+
 # --- quality
 
 
