@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ FIRST = 4
 #: Texts that are searched for together.
 TOGETHER = 64
 #: A term that so large a share of the examples hold keeps a weight for each example instead of a list.
-COMMON = 0.2
+COMMON = 0.12
 OPENING = 4
 REST = 0.25
 MAX_ROWS = 6_000
@@ -50,27 +51,26 @@ THRESHOLD = 0.5
 SEED = 8
 BINS = 200
 
-_OPENING = re.compile(rf"([^\W_]{{1,{OPENING}}})[^\W_]*")
-_REST = re.compile(rf"[^\W_]{{{OPENING}}}([^\W_]+)")
+_WORD = re.compile(r"[^\W_]+")
 #: Thai to Burmese, Khmer, kana and Chinese characters.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
 
 
-def parts(text: str | None) -> tuple[Counter, Counter]:
+def parts(text: str | None) -> tuple[list[str], list[str]]:
     """The openings of a text's words and the pairs of unspaced scripts; what follows the openings."""
-    low, pairs = (text or "").lower(), Counter()
-    if _UNSPACED.search(low):
+    low, pairs = (text or "").lower(), []
+    if not low.isascii() and _UNSPACED.search(low):
         for run in _UNSPACED.findall(low):
-            pairs.update(run[k : k + 2] for k in range(max(1, len(run) - 1)))
+            pairs += [run[k : k + 2] for k in range(max(1, len(run) - 1))]
         low = _UNSPACED.sub(" ", low)
-    pairs.update(_OPENING.findall(low))
-    return pairs, Counter(_REST.findall(low))
+    words = _WORD.findall(low)
+    return pairs + [w[:OPENING] for w in words], [w[OPENING:] for w in words if len(w) > OPENING]
 
 
 def terms(text: str | None) -> Counter:
     """All terms of a text, rests of words with a plus before them."""
     first, rest = parts(text)
-    return first + Counter({f"+{t}": n for t, n in rest.items()})
+    return Counter(first + [f"+{t}" for t in rest])
 
 
 @dataclass
@@ -80,11 +80,13 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.rests = {t[1:]: k for t, k in self.places.items() if t[0] == "+"}
 
-    def counts(self, text: str | None) -> dict[int, int]:
+    def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a text's terms in order, and how often each is there."""
         first, rest = parts(text)
-        found = {self.places[t]: n for t, n in first.items() if t in self.places}
-        found.update((self.rests[t], n) for t, n in rest.items() if t in self.rests)
-        return found
+        known = chain(map(self.places.get, first, repeat(-1)), map(self.rests.get, rest, repeat(-1)))
+        at, n = np.unique(np.fromiter(known, np.intp, len(first) + len(rest)), return_counts=True)
+        known = np.searchsorted(at, 0)
+        return at[known:], n[known:]
 
     def weights(self) -> np.ndarray:
         out = np.ones(len(self.places))
@@ -92,10 +94,9 @@ class Vocabulary:
         return out
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a text, and their TF-IDF weights in a vector of length 1."""
-    at = np.array(sorted(counts), np.intp)
-    w = np.array([counts[k] for k in at], float) * idf[at] if len(at) else np.empty(0)
+    w = n * idf[at]
     norm = np.sqrt(w @ w)
     return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
@@ -120,8 +121,8 @@ class Model:
     votes: np.ndarray
     shares: np.ndarray
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        return unit(counts, self.idf)
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return unit(at, n, self.idf)
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector, the k examples of largest cosine above 0, and their cosines."""
@@ -183,7 +184,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         """The score of each text, and its nearest examples' ids and cosines."""
         out = []
-        for found, score in self.nearest([self.vector(self.vocabulary.counts(t)) for t in texts], NEAREST):
+        for found, score in self.nearest([self.vector(*self.vocabulary.found(t)) for t in texts], NEAREST):
             vote = self.vote(found, score)
             out.append((self.empty if vote is None else float(np.interp(vote, self.votes, self.shares)), list(zip(self.ids[found].tolist(), score.tolist()))))
         return out
@@ -199,7 +200,7 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
     rate = sum(x[1] for x in vectors) / len(vectors) if vectors else 0.0
     # Examples whose weightiest term is the same lie together, so that blocks differ in their bounds.
     keys = sorted(groups, key=lambda key: (max((n * idf[t], t) for t, n in key)[1], key))
-    found = [unit(dict(key), idf) for key in keys]
+    found = [unit(*np.array(key, np.intp).T, idf) for key in keys]
     term = np.concatenate([np.empty(0, np.intp), *(at for at, _ in found)])
     weight = np.concatenate([np.empty(0), *(w for _, w in found)])
     example = np.repeat(np.arange(len(keys)), [len(at) for at, _ in found]).astype(np.int32)
@@ -256,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                df[list(vocabulary.counts(text))] += 1
+                df[vocabulary.found(text)[0]] += 1
         at = np.flatnonzero(df)
         yield pa.record_batch({"term": np.append(at, -1), "n": np.append(df[at], n)})
 

@@ -484,7 +484,7 @@ def test_toxicity_equals_a_full_scan():
         if not k:
             continue
         want = full_scan(model, order, k)
-        (found, score), = model.nearest([model.vector(dict(k))], toxicity.NEAREST)
+        (found, score), = model.nearest([model.vector(*np.array(k).T)], toxicity.NEAREST)
         assert list(found) == [i for i, _ in want] and np.allclose(score, [c for _, c in want])
         left, up, down = toxicity.NEAREST, 0.0, 0.0
         for i, c in want:
