@@ -182,12 +182,12 @@ class Model:
         return float(weight @ (toxic / np.maximum(rows, 1)) / total) if total > 0 else None
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """The score of each text, and its nearest examples' ids and cosines."""
-        out = []
-        for found, score in self.nearest([self.vector(*self.vocabulary.found(t)) for t in texts], NEAREST):
+        """The score of each text, and its nearest examples' ids and cosines; texts that are equal are searched for once."""
+        different, out = list(dict.fromkeys(texts)), {}
+        for text, (found, score) in zip(different, self.nearest([self.vector(*self.vocabulary.found(t)) for t in different], NEAREST)):
             vote = self.vote(found, score)
-            out.append((self.empty if vote is None else float(np.interp(vote, self.votes, self.shares)), list(zip(self.ids[found].tolist(), score.tolist()))))
-        return out
+            out[text] = self.empty if vote is None else float(np.interp(vote, self.votes, self.shares)), list(zip(self.ids[found].tolist(), score.tolist()))
+        return [out[t] for t in texts]
 
 
 def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, tuple]]) -> Model:
@@ -255,9 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def frequencies(batches):
         df, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n += 1
-                df[vocabulary.found(text)[0]] += 1
+            for text, copies in Counter(batch.column("text").to_pylist()).items():
+                n += copies
+                df[vocabulary.found(text)[0]] += copies
         at = np.flatnonzero(df)
         yield pa.record_batch({"term": np.append(at, -1), "n": np.append(df[at], n)})
 
