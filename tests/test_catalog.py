@@ -1,6 +1,7 @@
 """Registered queries against DuckDB on the smallest tables, and the entry point's contract."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     columns = sorted(frame.columns)
-    plain = lambda x: None if x is None or x != x else x if isinstance(x, str) else round(float(x), 6)
+    plain = lambda x: None if pd.isna(x) else x if isinstance(x, str) else round(float(x), 6)
     return columns, sorted((tuple(plain(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False)), key=str)
 
 
