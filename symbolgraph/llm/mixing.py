@@ -4,12 +4,14 @@ Every document falls into a cell of source, language and topic. The tokens kept
 targets of the three marginals in turn, starting from one rate for all, until the marginals hold; a cell's rate never
 exceeds 1. The rate is the inclusion probability of each of the cell's documents, and a hash of the id decides.
 
-A target is a share of the kept tokens. Where none is given, a marginal's targets are its present shares raised
-to `TEMPERATURE` and normed, so large sources give way to small ones. A category that can't fill its target
-gives all it has, and the others of its marginal share the rest. What a category that no target names has is left out.
+A target is a share of the kept tokens. A marginal of which none is given takes its targets from one table of all cells:
+their present shares raised to `TEMPERATURE` and normed, so large cells give way to small ones, and none gets more than it
+has. Such targets agree with each other, being the marginals of one table that can be drawn. A category that can't fill a
+target that is given gives all it has, and the others of its marginal share the rest. What a category that no target names
+has is left out.
 
-Topics, where no column has them, are the nearest of `TOPICS` centroids of hashed word openings, found by `LLOYD` rounds of
-spherical k-means over all documents.
+Topics, where no column has them, are the nearest of `TOPICS` centroids of hashed words, found by `LLOYD` rounds of
+spherical k-means over all documents. Words count whole; scripts without spaces give overlapping pairs of characters.
 
 There is a row for each cell; up to `driver_cells` cells, a parameter, are raked in the driver, more by joins and
 aggregations: the same steps, ended by the same rule. Targets that contradict each other, or what the sources hold, can't
@@ -45,15 +47,67 @@ SEED = 5
 _NULL = "\x00"
 
 
+#: Bytes of words once A-Z is lower-cased: ASCII letters and digits, and all of other scripts.
+_IN_WORD = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
+#: An odd number and its inverse modulo 2**64, for hashes of stretches by differences of running sums.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+PIECE = 1 << 20
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, of, np.uint64))))
+
+
+_UP, _DOWN = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
+
+
+def _unspaced(a: np.ndarray) -> np.ndarray:
+    """Where characters of three bytes begin whose scripts set no spaces: Thai, Lao, Burmese, Khmer, kana, Chinese."""
+    b, c = np.append(a[1:], 0), np.append(a[2:], (0, 0))[: len(a)]
+    thai, burmese, khmer = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB), (a == 0xE1) & (b >= 0x80) & (b <= 0x82), (a == 0xE1) & (b >= 0x9E) & (b <= 0x9F)
+    return (thai | burmese | khmer | ((a >= 0xE3) & (a <= 0xE9) & ~((a == 0xE3) & (b == 0x80)))) & (c >= 0x80)
+
+
+def _stretches(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words and pairs of characters of lower-cased UTF-8."""
+    word = _IN_WORD[a]
+    if (a >= 0xE0).any():
+        first = _unspaced(a)
+        at = np.flatnonzero(first)
+        word[at] = word[at + 1] = word[at + 2] = False
+        after, before = first[np.minimum(at + 3, len(a) - 1)] & (at + 3 < len(a)), first[np.maximum(at - 3, 0)] & (at >= 3)
+        pairs, alone = at[after], at[~after & ~before]
+    else:
+        pairs = alone = np.empty(0, np.intp)
+    edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
+    return np.concatenate((np.flatnonzero(edge == 1), pairs, alone)), np.concatenate((np.flatnonzero(edge == -1), pairs + 6, alone + 3))
+
+
+def _pieces(text: bytes):
+    """The text in pieces of about `PIECE` bytes that end at a space, a tab or a line's end; whole where it has none."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            ends = [x for x in (text.find(s, end) for s in (b" ", b"\n", b"\t")) if x >= 0]
+            end = min(ends, default=len(text))
+        yield text[at:end]
+        at = end
+
+
 def features(text: bytes | None) -> np.ndarray:
-    """Counts of hashed openings of words."""
-    a = np.frombuffer((text or b"").lower() + b"    ", np.uint8)
-    first = a > 32
-    first[1:] &= a[:-1] <= 32
-    first[-4:] = False
-    at = np.flatnonzero(first)
-    code = a[at].astype(np.uint32) | a[at + 1].astype(np.uint32) << 8 | a[at + 2].astype(np.uint32) << 16 | a[at + 3].astype(np.uint32) << 24
-    return np.bincount((code * np.uint32(2654435761)) >> np.uint32(22), minlength=DIMENSIONS)
+    """Counts of hashed words, and of pairs of characters where a script sets no spaces."""
+    out = np.zeros(DIMENSIONS, np.int64)
+    for piece in _pieces((text or b"").lower()):
+        a = np.frombuffer(piece, np.uint8)
+        begin, end = _stretches(a)
+        up, down = (_UP, _DOWN) if len(a) <= PIECE else (_powers(_BASE, len(a)), _powers(_INVERSE, len(a)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
+        code = (sums[end] - sums[begin]) * down[begin]
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out += np.bincount((code >> np.uint64(54)).astype(np.intp), minlength=DIMENSIONS)
+    return out
 
 
 class Topics:
@@ -234,32 +288,46 @@ def residuals(assigned: DataFrame, targets: dict[str, dict[str, float]]) -> Data
     return out
 
 
+def _fill(have: DataFrame, share: Column, keep: float) -> DataFrame:
+    """Rows with `have`, and `wanted`: keep x all in sum by share, no row more than it has. Water-filling: rows that their
+    share exhausts are set aside until none is left to."""
+    open_ = have.withColumn("share", F.when(F.col("have") > 0, share).otherwise(0.0))
+    left, level = keep * (have.agg(F.sum("have")).first()[0] or 0.0), None
+    full = F.lit(False)
+    for _ in range(100):
+        state = open_.agg(F.sum(F.when(~full, F.col("share")).otherwise(0.0)), F.sum(F.when(full, F.col("have")).otherwise(0.0))).first()
+        new = (left - (state[1] or 0.0)) / state[0] if state[0] else 0.0
+        if level is not None and abs(new - level) <= 1e-12 * max(1.0, abs(level)):
+            break
+        level = new
+        full = F.col("share") * level >= F.col("have")
+    return cut(open_.withColumn("wanted", F.least("have", F.col("share") * level)).drop("share"))
+
+
+def wanted_tokens(cells: pd.DataFrame, targets: dict[str, dict[str, float]] | None, keep: float, temperature: float) -> dict[str, dict[str, float]]:
+    """The tokens to keep of each category of each marginal, in the driver: given, or of one tempered table of all cells."""
+    tempered = cells.assign(wanted=cells.index.map(target_tokens(cells.tokens.to_dict(), None, keep, temperature)).astype(float))
+    return {m: target_tokens(cells.groupby(m).tokens.sum().to_dict(), targets[m], keep, temperature) if (targets or {}).get(m) else tempered.groupby(m).wanted.sum().to_dict() for m in MARGINALS}
+
+
 def rates(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """cells (source, language, topic, tokens) with their rates."""
     spark = cells.sparkSession
     cells = cut(cells)
     if cells.count() <= driver_cells:
         local = cells.toPandas()
-        have = {m: local.groupby(m).tokens.sum().to_dict() for m in MARGINALS}
-        wanted = {m: target_tokens(have[m], (targets or {}).get(m), keep, temperature) for m in MARGINALS}
-        local["rate"] = rake(local, wanted, keep) if len(local) else []
+        local["rate"] = rake(local, wanted_tokens(local, targets, keep, temperature), keep) if len(local) else []
         return spark.createDataFrame(pa.Table.from_pandas(local[[*MARGINALS, "rate"]].astype({"rate": float}), schema=pa.schema([*((m, pa.string()) for m in MARGINALS), ("rate", pa.float64())]), preserve_index=False))
+    tempered = None
+    if any(not (targets or {}).get(m) for m in MARGINALS):
+        tempered = _fill(cells.withColumn("have", F.col("tokens").cast("double")), F.pow("have", F.lit(temperature)), keep)
     wanted = {}
     for m in MARGINALS:
-        # Water-filling over one marginal: categories that their target exhausts are set aside until none is left to.
-        have = cut(cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have")))
-        share = F.pow("have", F.lit(temperature)) if not (targets or {}).get(m) else F.coalesce(F.create_map(*(F.lit(x) for kv in targets[m].items() for x in kv))[F.col(m)], F.lit(0.0))
-        open_ = have.withColumn("share", F.when(F.col("have") > 0, share).otherwise(0.0))
-        left, level = keep * (have.agg(F.sum("have")).first()[0] or 0.0), None
-        full = F.lit(False)
-        for _ in range(100):
-            state = open_.agg(F.sum(F.when(~full, F.col("share")).otherwise(0.0)), F.sum(F.when(full, F.col("have")).otherwise(0.0))).first()
-            new = (left - (state[1] or 0.0)) / state[0] if state[0] else 0.0
-            if level is not None and abs(new - level) <= 1e-12 * max(1.0, abs(level)):
-                break
-            level = new
-            full = F.col("share") * level >= F.col("have")
-        wanted[m] = cut(open_.select(m, F.least("have", F.col("share") * level).alias("wanted")))
+        if (targets or {}).get(m):
+            have = cut(cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have")))
+            wanted[m] = _fill(have, F.coalesce(F.create_map(*(F.lit(x) for kv in targets[m].items() for x in kv))[F.col(m)], F.lit(0.0)), keep).select(m, "wanted")
+        else:
+            wanted[m] = cut(tempered.groupBy(m).agg(F.sum("wanted").alias("wanted")))
     return rake_distributed(cells, wanted, keep).select(*MARGINALS, "rate")
 
 

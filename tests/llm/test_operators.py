@@ -268,6 +268,56 @@ def test_mixing_of_many_cells_is_the_same(spark):
     assert np.allclose(a.sort_index(), b.sort_index(), atol=1e-3)
 
 
+def plain_stretches(text):
+    """Words, and pairs of characters of scripts without spaces, character by character."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    bare = lambda c: 0xE00 <= ord(c) < 0xF00 or 0x1000 <= ord(c) < 0x10C0 or 0x1780 <= ord(c) < 0x1800 or 0x3040 <= ord(c) < 0xA000
+    out, word, run = [], "", ""
+    for c in low + " ":
+        if bare(c):
+            run += c
+        elif run:
+            out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+            run = ""
+        if not bare(c) and (c.isascii() and c.isalnum() or ord(c) >= 128):
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return sorted(out)
+
+
+def test_mixing_features_are_whole_words_and_pairs_of_characters():
+    texts = ["", "A b,c  Longword longwords", "你好世界 我 mixed你好x", "สวัสดีชาวโลก ก", "カタカナ。ひらがな", "naïve über straße", "ក្រុង မြန်မာ", "。", "x" * 50 + "é"]
+    for text in texts:
+        a = np.frombuffer(text.encode().lower(), np.uint8)
+        begin, end = mixing._stretches(a)
+        assert sorted(a[b:e].tobytes().decode() for b, e in zip(begin, end)) == plain_stretches(text), text
+        assert mixing.features(text.encode()).sum() == len(begin)
+    one = lambda t: int(mixing.features(t.encode()).argmax())
+    assert one("international") == one("x international".split()[1]) != one("interval")
+    assert len({one(f"inter{k}") for k in range(300)}) > 200  # what follows the first letters counts
+    assert (mixing.features(b"ab \xe4\xbd\xa0 cd") == mixing.features(b"cd AB \xe4\xbd\xa0")).all()
+    long = ("alpha beta " * 300_000).encode()  # over three pieces
+    assert (mixing.features(long) == 300_000 * (mixing.features(b"alpha") + mixing.features(b"beta"))).all()
+    assert mixing.features(b"y" * (mixing.PIECE + 10)).sum() == 1 and mixing.features(None).sum() == 0
+
+
+@pytest.mark.parametrize("driver_cells", [0, 1000])
+def test_default_targets_agree(spark, driver_cells):
+    # topic and language are nearly one: tempered marginals would contradict each other
+    rows = [(i, "w " * (i % 23 + 1), "en" if i % 5 else "de", f"s{i % 3 if i % 2 else 0}") for i in range(900)]
+    frame = docs(spark, rows).withColumn("t", mixing.F.when(mixing.F.col("doc_id") % 97 == 0, "odd").otherwise(mixing.F.col("lang")))
+    got = mixing.assign(frame, topic_col="t", driver_cells=driver_cells).toPandas()
+    cells = got.groupby(["source", "language", "topic"], as_index=False).agg(tokens=("tokens", "sum"))
+    wanted = mixing.wanted_tokens(cells, None, mixing.KEEP, mixing.TEMPERATURE)
+    kept = got.tokens * got.probability
+    assert abs(kept.sum() / got.tokens.sum() - mixing.KEEP) < 0.001 and got.probability.max() <= 1
+    for m, of in wanted.items():
+        for k, tokens in of.items():
+            assert abs(kept[got[m] == k].sum() - tokens) < 0.001 * kept.sum()
+
+
 def test_mixing_topics_and_empty_tables(spark):
     rows = [(i, ("alpha beta gamma " if i % 2 else "uno dos tres ") * 5, "en", "s") for i in range(60)] + [(60, None, "en", "s")]
     got = mixing.assign(docs(spark, rows)).toPandas()
