@@ -128,11 +128,24 @@ class Topics:
         return out
 
 
+#: A feature as it is stored: the step from the one before, and its count.
+_STORED = np.dtype([("step", "<u2"), ("count", "<u4")])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A row's counts, all first bytes of its features before all second ones and so on: most are 0, and compress."""
+    k = np.flatnonzero(counts)
+    out = np.empty(len(k), _STORED)
+    out["step"], out["count"] = np.diff(k, prepend=0), counts[k]
+    return out.view(np.uint8).reshape(-1, _STORED.itemsize).T.tobytes()
+
+
 def _dense(rows: list[bytes]) -> np.ndarray:
-    """Counts, from features and counts in turn as bytes."""
-    flat, sizes = np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 8 for r in rows], np.intp)
+    """Counts, from rows as stored."""
     out = np.zeros((len(rows), DIMENSIONS))
-    out[np.repeat(np.arange(len(rows)), sizes), flat[::2]] = flat[1::2]
+    for to, row in zip(out, rows):
+        x = np.frombuffer(row, np.uint8).reshape(_STORED.itemsize, -1).T.copy().view(_STORED)[:, 0]
+        to[np.cumsum(x["step"], dtype=np.intp)] = x["count"]
     return out
 
 
@@ -158,12 +171,7 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str) -> Topics:
 
     @F.arrow_udf("binary")
     def counted(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in utf8(texts):
-            x = features(t)
-            k = np.flatnonzero(x)
-            out.append(np.stack((k, x[k]), axis=1).astype(np.int32).tobytes())
-        return pa.array(out, pa.binary())
+        return pa.array([_packed(features(t)) for t in utf8(texts)], pa.binary())
 
     tables = Tables(docs.sparkSession)
     rows = tables.put("features", docs.select(F.col(text_col).alias("t")).where("t is not null").select(F.xxhash64("t", F.lit(SEED)).alias("h"), counted("t").alias("x")).where(F.octet_length("x") > 0))
