@@ -96,17 +96,34 @@ def _pieces(text: bytes):
         at = end
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Counts of hashed words, and of pairs of characters where a script sets no spaces."""
-    out = np.zeros(DIMENSIONS, np.int64)
-    for piece in _pieces((text or b"").lower()):
-        a = np.frombuffer(piece, np.uint8)
-        begin, end = _stretches(a)
-        up, down = (_UP, _DOWN) if len(a) <= PIECE else (_powers(_BASE, len(a)), _powers(_INVERSE, len(a)))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
-        code = (sums[end] - sums[begin]) * down[begin]
-        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out += np.bincount((code >> np.uint64(54)).astype(np.intp), minlength=DIMENSIONS)
+def _count(pieces: list[bytes], of: list[int], out: np.ndarray) -> None:
+    """Adds the hashed words of each piece to row `of` of out; the pieces are read as one, a zero byte between two."""
+    a = np.frombuffer(b"\0".join(pieces), np.uint8)
+    begin, end = _stretches(a)
+    up, down = (_UP, _DOWN) if len(a) <= PIECE else (_powers(_BASE, len(a)), _powers(_INVERSE, len(a)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
+    code = (sums[end] - sums[begin]) * down[begin]
+    code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    lasts = np.cumsum([len(p) + 1 for p in pieces])
+    rows = np.asarray(of)[np.searchsorted(lasts, begin, side="right")]
+    flat, counts = np.unique(rows * DIMENSIONS + (code >> np.uint64(54)).astype(np.intp), return_counts=True)
+    out.reshape(-1)[flat] += counts
+
+
+def features(texts: list[bytes | None]) -> np.ndarray:
+    """Counts of hashed words, and of pairs of characters where a script sets no spaces: a row for each text."""
+    out = np.zeros((len(texts), DIMENSIONS), np.int64)
+    pieces, of, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in _pieces((text or b"").lower()):
+            if pieces and size + len(piece) >= PIECE:
+                _count(pieces, of, out)
+                pieces, of, size = [], [], 0
+            pieces.append(piece)
+            of.append(i)
+            size += len(piece) + 1
+    if pieces:
+        _count(pieces, of, out)
     return out
 
 
@@ -124,7 +141,7 @@ class Topics:
         out = np.empty(len(texts), np.int64)
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
-            out[at : at + 256] = (self.weigh(np.stack([features(t) for t in part])) @ self.centroids.T).argmax(axis=1)
+            out[at : at + 256] = (self.weigh(features(part)) @ self.centroids.T).argmax(axis=1)
         return out
 
 
@@ -132,20 +149,26 @@ class Topics:
 _STORED = np.dtype([("step", "<u2"), ("count", "<u4")])
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A row's counts, all first bytes of its features before all second ones and so on: most are 0, and compress."""
-    k = np.flatnonzero(counts)
-    out = np.empty(len(k), _STORED)
-    out["step"], out["count"] = np.diff(k, prepend=0), counts[k]
-    return out.view(np.uint8).reshape(-1, _STORED.itemsize).T.tobytes()
+def _packed(counts: np.ndarray) -> list[bytes]:
+    """Each row's counts, all first bytes of its features before all second ones and so on: most are 0, and compress."""
+    row, k = np.nonzero(counts)
+    out, ends = np.empty(len(k), _STORED), np.searchsorted(row, np.arange(len(counts) + 1))
+    out["step"] = np.where(np.diff(row, prepend=-1) > 0, k, np.diff(k, prepend=0))
+    out["count"] = counts[row, k]
+    planes = out.view(np.uint8).reshape(-1, _STORED.itemsize)
+    return [planes[b:e].T.tobytes() for b, e in zip(ends, ends[1:])]
 
 
 def _dense(rows: list[bytes]) -> np.ndarray:
     """Counts, from rows as stored."""
+    sizes = np.array([len(r) // _STORED.itemsize for r in rows], np.intp)
+    flat, before = np.frombuffer(b"".join(rows), np.uint8), np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(rows)), sizes)
+    at = np.arange(len(row)) + (before * (_STORED.itemsize - 1))[row]
+    x = np.stack([flat[at + plane * sizes[row]] for plane in range(_STORED.itemsize)], axis=1).view(_STORED)[:, 0]
+    k = np.cumsum(x["step"], dtype=np.intp)
     out = np.zeros((len(rows), DIMENSIONS))
-    for to, row in zip(out, rows):
-        x = np.frombuffer(row, np.uint8).reshape(_STORED.itemsize, -1).T.copy().view(_STORED)[:, 0]
-        to[np.cumsum(x["step"], dtype=np.intp)] = x["count"]
+    out[row, k - np.concatenate((np.zeros(1, np.intp), k))[before][row]] = x["count"]
     return out
 
 
@@ -171,7 +194,8 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str) -> Topics:
 
     @F.arrow_udf("binary")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([_packed(features(t)) for t in utf8(texts)], pa.binary())
+        rows = utf8(texts)
+        return pa.array([x for at in range(0, len(rows), 256) for x in _packed(features(rows[at : at + 256]))], pa.binary())
 
     tables = Tables(docs.sparkSession)
     rows = tables.put("features", docs.select(F.col(text_col).alias("t")).where("t is not null").select(F.xxhash64("t", F.lit(SEED)).alias("h"), counted("t").alias("x")).where(F.octet_length("x") > 0))

@@ -293,14 +293,16 @@ def test_mixing_features_are_whole_words_and_pairs_of_characters():
         a = np.frombuffer(text.encode().lower(), np.uint8)
         begin, end = mixing._stretches(a)
         assert sorted(a[b:e].tobytes().decode() for b, e in zip(begin, end)) == plain_stretches(text), text
-        assert mixing.features(text.encode()).sum() == len(begin)
-    one = lambda t: int(mixing.features(t.encode()).argmax())
+        assert mixing.features([text.encode()]).sum() == len(begin)
+    together = mixing.features([t.encode() for t in texts] + [None])
+    assert all((together[i] == mixing.features([t.encode()])[0]).all() for i, t in enumerate(texts)) and together[-1].sum() == 0
+    assert (mixing._dense(mixing._packed(together)) == together).all()
+    one = lambda t: int(mixing.features([t.encode()])[0].argmax())
     assert one("international") == one("x international".split()[1]) != one("interval")
     assert len({one(f"inter{k}") for k in range(300)}) > 200  # what follows the first letters counts
-    assert (mixing.features(b"ab \xe4\xbd\xa0 cd") == mixing.features(b"cd AB \xe4\xbd\xa0")).all()
-    long = ("alpha beta " * 300_000).encode()  # over three pieces
-    assert (mixing.features(long) == 300_000 * (mixing.features(b"alpha") + mixing.features(b"beta"))).all()
-    assert mixing.features(b"y" * (mixing.PIECE + 10)).sum() == 1 and mixing.features(None).sum() == 0
+    alpha, beta, *longs = mixing.features([b"alpha", b"Beta", ("alpha beta " * 300_000).encode(), b"y" * (mixing.PIECE + 10), b"beta"])
+    assert (longs[0] == 300_000 * (alpha + beta)).all()  # over three pieces
+    assert longs[1].sum() == 1 and (longs[2] == beta).all()
 
 
 @pytest.mark.parametrize("driver_cells", [0, 1000])
