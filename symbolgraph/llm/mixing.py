@@ -59,9 +59,6 @@ def _powers(of: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, of, np.uint64))))
 
 
-_UP, _DOWN = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
-
-
 def _unspaced(a: np.ndarray) -> np.ndarray:
     """Where characters of three bytes begin whose scripts set no spaces: Thai, Lao, Burmese, Khmer, kana, Chinese."""
     b, c = np.append(a[1:], 0), np.append(a[2:], (0, 0))[: len(a)]
@@ -100,7 +97,7 @@ def _count(pieces: list[bytes], of: list[int], out: np.ndarray) -> None:
     """Adds the hashed words of each piece to row `of` of out; the pieces are read as one, a zero byte between two."""
     a = np.frombuffer(b"\0".join(pieces), np.uint8)
     begin, end = _stretches(a)
-    up, down = (_UP, _DOWN) if len(a) <= PIECE else (_powers(_BASE, len(a)), _powers(_INVERSE, len(a)))
+    up, down = _powers(_BASE, len(a)), _powers(_INVERSE, len(a))  # made here, as the package travels with each closure
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
     code = (sums[end] - sums[begin]) * down[begin]
     code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
