@@ -225,6 +225,40 @@ def impact_components(nodes, edges):
     return impact.report(nodes, impact.impact_edges(edges), seeds).withColumns(rounded)
 
 
+_IMPACT_ALL = """imp AS (SELECT from_id, to_id, type, CASE type WHEN 'CALLS' THEN 5 WHEN 'DEPENDS_ON' THEN 4 WHEN 'EXTENDS' THEN 3 WHEN 'IMPLEMENTS' THEN 2 WHEN 'ROUTES_TO' THEN 5 WHEN 'BLADE_USES_ACTION' THEN 4 END AS w,
+  CASE type WHEN 'CALLS' THEN 2 WHEN 'DEPENDS_ON' THEN 2 WHEN 'EXTENDS' THEN 3 WHEN 'IMPLEMENTS' THEN 2 ELSE 0 END AS wo FROM edges WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'ROUTES_TO', 'BLADE_USES_ACTION', 'DEPENDS_ON') OR (type = 'CALLS' AND (call_type IS NULL OR call_type <> 'INTERFACE_RESOLVED'))),"""
+_ANY = "SELECT id AS seed FROM nodes WHERE type IN ('method', 'class', 'interface')"
+_SUMMARY = f"""SELECT s.seed, coalesce(direct_callers, 0) AS direct_callers, coalesce(call_chain_callers, 0) AS call_chain_callers, coalesce(direct_entries, 0) AS direct_entries, coalesce(indirect_callers, 0) AS indirect_callers, coalesce(callers, 0) AS callers,
+ coalesce(direct_score, 0) AS direct_score, coalesce(indirect_score, 0) AS indirect_score, coalesce(into_n, 0) + coalesce(out_n, 0) AS inspected_edges, coalesce(callees, 0) AS callees, coalesce(dl, 0) + coalesce(odl, 0) AS dependency_links, coalesce(il, 0) + coalesce(oil, 0) AS inheritance_links,
+ coalesce(cs, 0) AS callee_score, impacted_nodes, affected_files, round(coalesce(ds, 0) + coalesce(ods, 0), 2) AS dependency_score, round(coalesce(ins, 0) + coalesce(oins, 0), 2) AS inheritance_score,
+ round(coalesce(direct_score, 0) + coalesce(indirect_score, 0) + coalesce(cs, 0), 2) AS score, {_RISK} AS risk FROM seeds s
+ LEFT JOIN (SELECT seed, count(*) FILTER (WHERE distance = 1) AS direct_callers, count(*) FILTER (WHERE distance = 1 AND relation = 'CALLS') AS call_chain_callers, count(*) FILTER (WHERE distance = 1 AND relation IN ('ROUTES_TO', 'BLADE_USES_ACTION')) AS direct_entries,
+  count(*) FILTER (WHERE distance > 1) AS indirect_callers, count(*) AS callers FROM callers GROUP BY 1) USING (seed)
+ LEFT JOIN (SELECT seed, round(coalesce(sum(w) FILTER (WHERE distance = 1), 0), 2) AS direct_score, round(coalesce(sum(w) FILTER (WHERE distance = 2), 0), 2) AS indirect_score, sum(w) FILTER (WHERE type = 'DEPENDS_ON') AS ds, sum(w) FILTER (WHERE type IN ('EXTENDS', 'IMPLEMENTS')) AS ins FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1) USING (seed)
+ LEFT JOIN (SELECT seed, count(*) AS into_n, count(DISTINCT i.from_id || '>' || i.to_id) FILTER (WHERE i.type = 'DEPENDS_ON' AND i.from_id <> seed) AS dl, count(DISTINCT i.from_id || '>' || i.to_id || i.type) FILTER (WHERE i.type IN ('EXTENDS', 'IMPLEMENTS') AND i.from_id <> seed) AS il FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1) f JOIN imp i ON i.to_id = f.node GROUP BY 1) USING (seed)
+ LEFT JOIN (SELECT from_id AS seed, count(*) AS out_n, count(DISTINCT to_id) AS callees, count(DISTINCT to_id) FILTER (WHERE type = 'DEPENDS_ON') AS odl, count(DISTINCT to_id || type) FILTER (WHERE type IN ('EXTENDS', 'IMPLEMENTS')) AS oil, sum(wo) AS cs, sum(wo) FILTER (WHERE type = 'DEPENDS_ON') AS ods, sum(wo) FILTER (WHERE type IN ('EXTENDS', 'IMPLEMENTS')) AS oins FROM imp GROUP BY 1) USING (seed)
+ JOIN (SELECT seed, count(DISTINCT id) FILTER (WHERE hit) AS impacted_nodes, count(DISTINCT file) AS affected_files FROM (SELECT seed, from_id AS id, true AS hit FROM callers UNION ALL SELECT seed, to_id, true FROM callees UNION ALL SELECT seed, seed, false FROM seeds) LEFT JOIN nodes USING (id) GROUP BY 1) USING (seed)"""
+
+
+def _all_impact_sql(select: str) -> str:
+    return f", {_IMPACT_ALL} {_levels(_ANY, 2)} {select}"
+
+
+def _any_seed(nodes):
+    return nodes.where(F.col("type").isin("method", "class", "interface")).select(F.col("id").alias("seed"))
+
+
+@on_graph(_all_impact_sql(_SUMMARY))
+def impact_summary(nodes, edges):
+    return impact.summary(nodes, impact.impact_edges(edges, dependencies=True), _any_seed(nodes))
+
+
+@on_graph(_all_impact_sql("""SELECT * FROM (SELECT seed, list, row_number() OVER (PARTITION BY seed, list ORDER BY score DESC, distance, id) AS rank, id, score, distance FROM
+ (SELECT seed, unnest(['callers', 'impacted']) AS list, from_id AS id, score, distance FROM callers UNION ALL SELECT seed, unnest(['callees', 'impacted']), to_id, score, 1 FROM callees)) WHERE rank <= 8"""))
+def impact_top_lists(nodes, edges):
+    return impact.top_lists(impact.impact_edges(edges, dependencies=True), _any_seed(nodes))
+
+
 @on_graph(_impact_sql("SELECT c.seed, file, count(*) AS callers, round(sum(score), 2) AS score FROM callers c JOIN nodes n ON n.id = c.from_id WHERE file IS NOT NULL GROUP BY 1, 2", f"SELECT {_HUB} AS seed", 2))
 def impact_files(nodes, edges):
     seed = nodes.where("type = 'method'").where(F.col("id").contains("Repositories")).agg(F.min("id").alias("seed"))

@@ -98,6 +98,22 @@ def test_impact_decays_and_expands_once(spark):
     assert got == {"b": (5.0, 1), "c": (8.0, 1), "d": (3.0, 2)}
 
 
+def test_impact_summary_and_lists_by_hand(spark):
+    e = edges(spark, [("b", "a", "CALLS"), ("c", "b", "CALLS"), ("c", "a", "EXTENDS"), ("a", "b", "CALLS"), ("a", "d", "DEPENDS_ON"), ("a", "d", "DEPENDS_ON"), ("d", "a", "ROUTES_TO")])
+    nodes = spark.createDataFrame([("a", "fa"), ("b", "fb"), ("c", "fb"), ("d", None), ("z", None)], "id string, file string")
+    every = impact.impact_edges(e, dependencies=True)
+    seeds = spark.createDataFrame([("a",), ("a",), ("z",)], "seed string")
+    got = {r.seed: r.asDict() for r in impact.summary(nodes, every, seeds).collect()}
+    counts = {"direct_callers": 3, "call_chain_callers": 1, "direct_entries": 1, "indirect_callers": 0, "callers": 3, "inspected_edges": 10, "callees": 2, "dependency_links": 1, "inheritance_links": 1, "impacted_nodes": 3, "affected_files": 2}
+    scores = {"direct_score": 13.0, "indirect_score": 3.0, "callee_score": 6.0, "dependency_score": 4.0, "inheritance_score": 3.0, "score": 22.0, "risk": "HIGH"}
+    assert got["a"] == {"seed": "a"} | counts | scores
+    assert got["z"] == {"seed": "z"} | dict.fromkeys(counts, 0) | dict.fromkeys(scores, 0.0) | {"risk": "LOW"}
+    lists = {}
+    for r in impact.top_lists(every, seeds, limit=4).orderBy("list", "rank").collect():
+        lists.setdefault(r.list, []).append((r.id, r.score, r.distance))
+    assert lists == {"callers": [("c", 6.0, 1), ("b", 5.0, 1), ("d", 5.0, 1)], "callees": [("d", 4.0, 1), ("b", 2.0, 1)], "impacted": [("c", 6.0, 1), ("b", 5.0, 1), ("d", 5.0, 1), ("d", 4.0, 1)]}
+
+
 def dead_nodes(spark, rows):
     return Graph(spark.createDataFrame(rows, "id string, parent string, type string, name string, file string, visibility string, is_abstract boolean"), edges(spark, [("q", "q", "CALLS")])).nodes
 
