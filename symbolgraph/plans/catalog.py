@@ -944,3 +944,26 @@ def report_layer_breaks(nodes, edges):
 @on_graph(", used AS (SELECT to_id FROM calls UNION SELECT to_id FROM edges WHERE type = 'ROUTES_TO') SELECT id FROM nodes LEFT JOIN used ON to_id = id WHERE type = 'method' AND visibility = 'public' AND to_id IS NULL")
 def report_unused(nodes, edges):
     return report.unused(nodes, edges)
+
+
+_FLOWS = r"""seeds AS (SELECT parent AS ticket, id FROM nodes WHERE type = 'method' AND parent IS NOT NULL),
+touching AS (SELECT ticket, from_id, to_id, type, row_number() OVER (PARTITION BY ticket ORDER BY CASE type WHEN 'ROUTES_TO' THEN 1 WHEN 'READS_FIELD' THEN 2 WHEN 'VALIDATES' THEN 3 WHEN 'VALIDATES_FIELD' THEN 4 WHEN 'ASSIGNS' THEN 5 WHEN 'FLOWS_TO' THEN 6 WHEN 'ARGUMENT_TO' THEN 7 ELSE 8 END, from_id, to_id) AS rank
+ FROM (SELECT DISTINCT ticket, e.* FROM (SELECT row_number() OVER () AS number, from_id, to_id, type FROM edges WHERE type IN ('ROUTES_TO', 'CALLS', 'READS_FIELD', 'VALIDATES', 'VALIDATES_FIELD', 'ASSIGNS', 'FLOWS_TO', 'ARGUMENT_TO')) e JOIN seeds ON id = from_id OR id = to_id)),
+flows AS (SELECT * FROM touching WHERE rank <= 40 AND NOT regexp_matches(lower(from_id || ' ' || to_id), 'log::|illuminate\\|psr\\log|facade'))"""
+
+
+def _method_seeds(nodes):
+    """Every class is a ticket, and its methods are the seeds."""
+    return nodes.where("type = 'method' and parent is not null").select(F.col("parent").alias("ticket"), "id")
+
+
+@on_graph(f", {_FLOWS} SELECT ticket, from_id, to_id, type, rank FROM flows")
+def related_flows(nodes, edges):
+    return ticket.related_flows(edges, _method_seeds(nodes))
+
+
+@on_graph(f""", {_FLOWS} SELECT ticket, id, 10 + CASE WHEN i AND o THEN 140 WHEN i OR o THEN 40 ELSE 0 END AS score FROM
+ (SELECT ticket, id, EXISTS (SELECT 1 FROM flows f WHERE f.ticket = s.ticket AND f.to_id = s.id) AS i, EXISTS (SELECT 1 FROM flows f WHERE f.ticket = s.ticket AND f.from_id = s.id) AS o FROM seeds s)""")
+def flow_rerank(nodes, edges):
+    seeds = _method_seeds(nodes)
+    return ticket.rerank_by_flows(seeds.withColumn("score", F.lit(10)), ticket.related_flows(edges, seeds))

@@ -114,6 +114,17 @@ def test_impact_summary_and_lists_by_hand(spark):
     assert lists == {"callers": [("c", 6.0, 1), ("b", 5.0, 1), ("d", 5.0, 1)], "callees": [("d", 4.0, 1), ("b", 2.0, 1)], "impacted": [("c", 6.0, 1), ("b", 5.0, 1), ("d", 5.0, 1), ("d", 4.0, 1)]}
 
 
+def test_related_flows_and_rerank(spark):
+    e = edges(spark, [("a", "b", "CALLS"), ("r", "a", "ROUTES_TO"), ("a", "f", "READS_FIELD"), ("a", "g", "EXTENDS"), ("a", "Illuminate\\Http", "ASSIGNS"), ("x", "y", "CALLS"), ("a", "a", "FLOWS_TO"), ("b", "c", "CALLS")])
+    seeds = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "y")], "ticket int, id string")
+    got = [tuple(r) for r in ticket.related_flows(e, seeds).orderBy("ticket", "rank").collect()]
+    assert got == [(1, "r", "a", "ROUTES_TO", 1), (1, "a", "f", "READS_FIELD", 2), (1, "a", "a", "FLOWS_TO", 4), (1, "a", "b", "CALLS", 5), (1, "b", "c", "CALLS", 6), (2, "x", "y", "CALLS", 1)]
+    few = ticket.related_flows(e, seeds, limit=3)  # noise takes its place before it goes
+    assert few.where("ticket = 1").count() == 2
+    matches = spark.createDataFrame([(1, "a", 5), (1, "f", 5), (1, "zz", 5), (2, "y", 1), (2, "a", 1)], "ticket int, id string, score int")
+    assert {(r.ticket, r.id): r.score for r in ticket.rerank_by_flows(matches, ticket.related_flows(e, seeds)).collect()} == {(1, "a"): 145, (1, "f"): 45, (1, "zz"): 5, (2, "y"): 41, (2, "a"): 1}
+
+
 def dead_nodes(spark, rows):
     return Graph(spark.createDataFrame(rows, "id string, parent string, type string, name string, file string, visibility string, is_abstract boolean"), edges(spark, [("q", "q", "CALLS")])).nodes
 
