@@ -78,3 +78,16 @@ def test_odd_tables(spark):
     assert codes.encode(spark.createDataFrame([(1, None, 1), (2, [], 1), (3, [1.0], 1)], schema)).count() == 0
     lone = codes.encode(spark.createDataFrame([(1, [0.5] * 16, None), (None, [0.25] * 16, None), (2, [1.0] * 15, 1)], schema)).collect()
     assert sorted((r.vec_id or 0, r.code, r.error, r.label_error) for r in lone) == [(i, "00" * 16, 16 * 32**2, 2 * 16 * 32**2) for i in (0, 1)]
+
+
+def test_rare_null_labels_and_large_components(spark):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-999, 999)) / 256 for _ in range(8)], None if i in (7, 300) else i % 3) for i in range(450)]
+    for i in (3, 90, 200, 201):
+        rows[i][1][i % 8] = (-1) ** i * 4e6
+    huge = [(i, [2.0**70, -(2.0**1000), 0.5, 7e300, *v[4:]], label) for i, v, label in rows]
+    for given in (rows, huge):
+        found = codes.encode(spark.createDataFrame(given, "vec_id long, embedding array<double>, label int").repartition(3), parts=4, entries=16).collect()
+        expected, sha = brute(given, 4, 16, 2)
+        assert sorted(tuple(r)[:4] for r in found) == expected
+        assert {r.codebooks_sha256 for r in found} == {sha}
