@@ -31,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that are worth a task of their own, and tasks that a small table has at least.
+TASK_ROWS, LEAST_TASKS = 20_000, 12
+
+
+def tasks(rows: int) -> int:
+    """Tasks for so many small rows. A shuffle deals a small table over as many as a large one, most of them nearly empty;
+    in a chain of many short stages starting them is then most of the time, so their results are read by fewer."""
+    return max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
+
 class Tables:
     """Tables in the shared folder that hold what is read again. A checkpoint keeps what the planner knew of a frame, and
     in a loop of joins that grows with every round; a table starts afresh. A table goes when another of its name is put."""
@@ -107,13 +117,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
+    n = tasks(edges.count())
+    edges = edges.coalesce(n)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(n).distinct().coalesce(n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(n).distinct().coalesce(n))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

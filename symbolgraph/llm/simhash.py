@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, connected_components, cut, utf8
+from .common import boxed, connected_components, cut, tasks, utf8
 
 SEED = 42
 MAX_BITS = 2
@@ -70,17 +70,19 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
     keys = F.array(*(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(_PAIRS)))
     filed = cut(nodes.select("fp", F.explode(keys).alias("k")))
-    shared = filed.groupBy("k").count().where("count > 1")
+    n = tasks(filed.count())
+    filed = filed.coalesce(n)
+    shared = cut(filed.groupBy("k").count().where("count > 1").coalesce(n))
     # Keys of very many fingerprints are few, as the fingerprints are distinct: they are met where the rows are.
     heavy = shared.where(F.col("count") > HEAVY)
     heavy = F.broadcast(heavy) if heavy.count() <= MOST_HEAVY else heavy
-    filed = cut(filed.join(heavy, "k").unionByName(filed.join(heavy, "k", "left_anti").join(shared.where(F.col("count") <= HEAVY), "k")))
+    filed = cut(filed.join(heavy, "k").unionByName(filed.join(heavy, "k", "left_anti").join(shared.where(F.col("count") <= HEAVY), "k")).coalesce(n))
     few = filed.where(F.col("count") <= hot)
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
-    pairs = few.select("k", F.col("fp").alias("u")).join(few.select("k", F.col("fp").alias("v")), "k").where("u < v").where(close).select("u", "v")
-    many = filed.where(F.col("count") > hot).select("fp").distinct()
+    pairs = few.select("k", F.col("fp").alias("u")).join(few.select("k", F.col("fp").alias("v")), "k").where("u < v").where(close).select("u", "v").coalesce(n)
+    many = filed.where(F.col("count") > hot).select("fp").distinct().coalesce(n)
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
-    balls = many.select("fp", F.explode(around).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    balls = many.select("fp", F.explode(around).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).coalesce(n)
     stars = balls.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
     return pairs.unionByName(stars).distinct()
 
@@ -88,17 +90,18 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, hot: int) -> DataFrame:
     """(id, fp, component, root): of each row, its fingerprint, its component's smallest id, and its group's own key."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
-    roots = cut(connected_components(links(nodes.select("fp"), hot)).select(F.col("node").alias("fp"), "root"))
+    n = tasks(prints.count())
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")).coalesce(n))
+    roots = cut(connected_components(links(nodes.select("fp"), hot)).select(F.col("node").alias("fp"), "root").coalesce(n))
     groups = roots.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("group_least"))
     of = nodes.join(roots, "fp", "left").join(groups, "root", "left").select("fp", "rows", F.coalesce("group_least", "least").alias("component"), F.coalesce("root", "fp").alias("root"))
-    of = cut(of)
+    of = cut(of.coalesce(n))
     # Fingerprints of many copies are few; their rows are met where they are, so that no task gets all copies of one text.
     many = of.where(F.col("rows") > COPIES).drop("rows")
     if many.isEmpty() or many.count() > MOST_HEAVY:
-        return prints.join(of.drop("rows"), "fp")
+        return prints.join(of.drop("rows"), "fp").coalesce(n)
     rest = prints.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(of.where(F.col("rows") <= COPIES).drop("rows"), "fp")
-    return prints.join(F.broadcast(many), "fp").unionByName(rest)
+    return prints.join(F.broadcast(many), "fp").unionByName(rest.coalesce(n))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:

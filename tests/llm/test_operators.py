@@ -732,3 +732,17 @@ def test_decontamination_finds_the_edits_that_its_similarity_allows():
         for first, last in ((0, 50), (50, 100), (100, 150), (150, 200), (200, 220)):
             here = {p for p in want if first <= p[0] < last}
             assert len(here & got) >= 0.9 * len(here), (even, first)
+
+
+def test_small_tables_are_read_by_few_tasks(spark):
+    rows = [(i, f"word{i % 40} same words here {'again' * (i % 3)}", "en", "web") for i in range(300)]
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = simhash.near_duplicates(docs(spark, rows))
+        assert found.count() == 300 and found.rdd.getNumPartitions() < 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
