@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, bounded_share, cut, hash_share
+from .common import Tables, bounded_share, cut, hash_share, tasks
 
 REVERSE = 24
 TREES = 4
@@ -69,6 +69,7 @@ def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, copies: int, tables:
         x = np.round(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
         return pa.array([r.tobytes() for r in x], pa.binary())
 
+    first = first.coalesce(tasks(sizes[0]["count"] if sizes else 0))
     return tables.put("nodes", first.select(F.get("ids", F.lit(0)).alias("node"), "vec", unit("vec").alias("unit"), "ids"))
 
 
@@ -191,7 +192,7 @@ def first_graph(nodes: DataFrame, count: int, degree: int, tables: Tables) -> Da
     offers = groups.select("g").mapInArrow(pairs, "u long, v long, s float")
     own = nodes.select(F.col("node").alias("u"), "unit").join(_ranked(offers, degree), "u", "left")
     near = _merged(F.array().cast("array<struct<s:float,v:bigint,fresh:int>>"), F.coalesce("offered", F.array().cast("array<struct<s:float,v:bigint>>")), degree)
-    return tables.put("graph", own.select("u", "unit", near.alias("near")))
+    return tables.put("graph", own.select("u", "unit", near.alias("near")).coalesce(tasks(count)))
 
 
 def _meetings(graph: DataFrame, degree: int) -> DataFrame:
@@ -210,7 +211,8 @@ def _meetings(graph: DataFrame, degree: int) -> DataFrame:
 def descend(graph: DataFrame, degree: int, tables: Tables) -> tuple[DataFrame, float]:
     """One round of NN-descent: the better graph, and the share of its edges that are new."""
     both = F.concat("ahead", F.coalesce("back", F.array().cast("array<struct<x:bigint,fresh:int,floor:float,unit:binary>>")))
-    meet = _meetings(graph, degree).select(both.alias("g")).where(F.exists("g", lambda r: r["fresh"] == 1))
+    count = graph.count()
+    meet = _meetings(graph, degree).select(both.alias("g")).where(F.exists("g", lambda r: r["fresh"] == 1)).coalesce(tasks(count * degree))
 
     def offers(batches):
         for batch in batches:
@@ -236,7 +238,7 @@ def descend(graph: DataFrame, degree: int, tables: Tables) -> tuple[DataFrame, f
 
     found = _ranked(meet.mapInArrow(offers, "u long, v long, s float"), degree)
     after = graph.join(found, "u", "left").select("u", "unit", _merged(F.col("near"), F.coalesce("offered", F.array().cast("array<struct<s:float,v:bigint>>")), degree).alias("near"))
-    after = tables.put("graph", after)
+    after = tables.put("graph", after.coalesce(tasks(count)))
     n = after.agg(F.sum(F.aggregate("near", F.lit(0), lambda n, x: n + x["fresh"])), F.sum(F.size("near"))).first()
     return after, (n[0] or 0) / max(1, n[1] or 1)
 
@@ -276,27 +278,38 @@ def search(graph: DataFrame, asking: DataFrame, degree: int, beam: int, tables:
     def step(batches):
         """Take up what was found, and choose which nodes to expand next."""
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                known = dict(zip(r["beam"], zip(r["sims"], r["done"])))
-                for x in r["g"] or ():
-                    known.setdefault(x["x"], (x["s"], False))
-                best = sorted(known.items(), key=lambda x: (-x[1][0], x[0]))[:beam]
-                ask = [x for x, (_, done) in best if not done][:WIDTH]
-                now = set(ask)
-                out.append(dict(query_id=r["query_id"], q=r["q"], beam=[x for x, _ in best], sims=[s for _, (s, _) in best], done=[done or x in now for x, (_, done) in best], ask=ask))
-            if out:
-                yield pa.RecordBatch.from_pylist(out, arrow)
+            beams, sims, done, asks = [], [], [], []
+            got, ids = batch.column("g"), batch.column("query_id")
+            for i in range(batch.num_rows):
+                x, s, old = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("beam", "sims", "done"))
+                if got[i].is_valid and len(got[i].values):
+                    new = got[i].values
+                    x, s, old = np.append(x, new.field("x")), np.append(s, new.field("s")), np.append(old.astype(bool), np.zeros(len(new), bool))
+                    order = np.lexsort((-s, ~old, x))  # who is known stays as it is, of the others the best counts
+                    once = order[np.append(True, np.diff(x[order]) > 0)]
+                    best = once[np.lexsort((x[once], -s[once]))[:beam]]
+                    x, s, old = x[best], s[best], old[best]
+                ask = np.flatnonzero(~old.astype(bool))[:WIDTH]
+                now = old.astype(bool)
+                now[ask] = True
+                beams.append(x)
+                sims.append(s)
+                done.append(now)
+                asks.append(x[ask])
+            if beams:
+                yield pa.RecordBatch.from_arrays([ids, batch.column("q"), *(pa.array(v, k.type) for v, k in zip((beams, sims, done, asks), list(arrow)[2:]))], schema=arrow)
 
     none = lambda kind: F.array().cast(kind)
     state = graph.join(asking.select(F.col("query_id").alias("u")), "u", "left_semi").select(F.col("u").alias("query_id"), F.col("unit").alias("q"), F.array("u").alias("beam"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("done"), F.array("u").alias("ask"))
+    wide = tasks(graph.count() * degree)
+    few = tasks(state.count() * beam)
     while True:
-        state = tables.put("beams", state)
+        state = tables.put("beams", state.coalesce(few))
         if state.where(F.size("ask") > 0).isEmpty():
             return state.select("query_id", "beam")
         floor = F.when(F.size("beam") >= beam, F.element_at("sims", -1)).otherwise(F.lit(_NO_FLOOR).cast("float"))
         asked = state.select("query_id", "q", floor.alias("floor"), F.explode("ask").alias("u"))
-        found = links.join(asked.hint("shuffle_hash"), "u").select("query_id", "q", "floor", "g").mapInArrow(look, "query_id long, x long, s float")
+        found = links.join(asked.hint("shuffle_hash"), "u").select("query_id", "q", "floor", "g").coalesce(wide).mapInArrow(look, "query_id long, x long, s float")
         found = found.groupBy("query_id").agg(F.collect_set(F.struct("x", "s")).alias("g"))  # at most WIDTH x (degree + REVERSE)
         state = state.join(found, "query_id", "left").select("query_id", "q", "beam", "sims", "done", "g").mapInArrow(step, schema)
 
@@ -316,7 +329,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
     # A node may stand for several queries: they share one search.
     kind = dict(nodes.dtypes)["vec"]
     asking = vectors.where(F.col(id_col) % every == 0).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast(kind).alias("vec"))
-    of = tables.put("queries", asking.join(nodes.select("node", "vec"), "vec").select("query_id", "node").distinct())
+    of = tables.put("queries", asking.join(nodes.select("node", "vec"), "vec").select("query_id", "node").distinct().coalesce(tasks(nodes.count())))
     beams = search(graph, of.select(F.col("node").alias("query_id")).distinct(), degree, beam, tables)
     near = beams.select("query_id", F.explode(F.slice("beam", 1, max(RESCORED, 4 * (k + 1)))).alias("node"))
     exact = F.col("vec").cast("array<double>")
@@ -325,6 +338,6 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
     found = scored.groupBy(F.col("query_id").alias("node")).agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     rows = of.join(found, "node").select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("id")).where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    best = cut(rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"))
+    best = cut(rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score").coalesce(tasks(of.count() * k)))
     tables.clear()
     return best

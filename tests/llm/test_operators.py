@@ -743,6 +743,9 @@ def test_small_tables_are_read_by_few_tasks(spark):
             spark.conf.set(k, v)
         found = simhash.near_duplicates(docs(spark, rows))
         assert found.count() == 300 and found.rdd.getNumPartitions() < 40
+        vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+        near = ann.nearest(vectors, every=30)
+        assert near.count() == 10 and near.rdd.getNumPartitions() <= 12
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
