@@ -1,10 +1,11 @@
 """Audit of sources: how far each source's word use lies from every other's, and by which terms from its language's.
 
-Two streaming scans over sorted rows. Tasks count terms of their documents first and pass on a row for each (language,
-term, source) and stretch of documents; the rows are dealt by (language, term) and sorted within their partition by
-(language, term, source, document), the term put first as Spark compares a key's first bytes at once, so one pass finds each term's run, its document frequency and its counts. Terms of
-enough documents are kept, with which the sizes of groups and vocabularies are known; the kept runs are dealt and sorted
-alike and scanned again, and each run emits its terms and its share of the pairs of sources.
+Tasks count terms of their documents first and pass on a row for each (language, term, source) and stretch of documents;
+the rows are dealt by (language, term), and each task sums what it got by Arrow's hash grouping, so that nothing is sorted
+but the numbers of the sums: that gives each term's run, its document frequency and its counts. Terms of enough documents
+are kept, with which the sizes of groups and vocabularies are known; the kept runs, much fewer, are dealt alike, sorted
+with the term first, as Spark compares a key's first bytes at once, and scanned, and each run emits its terms and its
+share of the pairs of sources.
 
 A pair's value is a sum over all kept terms, most of which either source lacks. So it is split exactly into the value
 of a term that both lack, times the vocabulary; corrections for the terms of each source alone, which hang only on a
@@ -12,7 +13,7 @@ term's count and so come from a histogram of counts; and corrections for the ter
 
 Null texts, languages and sources are ''. A document is a row, so repeated rows count each. Texts without terms make no
 terms, but their (language, source) group occurs. A language without a kept term gives pairs of value 0. An empty table
-gives an empty result. Very long texts are taken in stretches; no row's terms are held beside another's for long.
+gives an empty result. Very long texts are taken in stretches. A task holds the sums of its partition, and not many rows beside.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from .common import Tables, cut, utf8
 LEAST_DOCUMENTS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 #: Counted terms that a task holds before it passes them on, bytes of a text taken at once, pairs computed at once.
 HELD, STRETCH, PAIRS = 800_000, 1 << 20, 1 << 20
+#: Rows that are summed at once, and rows of a batch of runs.
+SUMMED, RUN_ROWS = 2_000_000, 1 << 16
 #: Ways into which rows of one language are split where they meet its groups.
 WAYS = 16
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
-COUNTED = "lang string, term string, source string, document long, docs long, n long"
+COUNTED = "lang string, term string, source string, docs long, n long"
 RUN = "lang string, term string, source string, n long, lang_n long, head boolean"
 EMITTED = "part string, lang string, source string, item string, value long"
 
@@ -57,7 +60,7 @@ class Counts:
 
     def __init__(self) -> None:
         self.of: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-        self.rows, self.document = 0, 0
+        self.rows = 0
 
     def add(self, lang: bytes, source: bytes, text: bytes) -> None:
         docs, n = self.of.setdefault((lang, source), (Counter(), Counter()))
@@ -75,11 +78,11 @@ class Counts:
             if k:
                 same = [pa.array([v] * k, pa.binary()).cast(pa.string()) for v in (lang, source)]
                 counted = [pa.array([c[t] for t in n], pa.int64()) for c in (docs, n)]
-                yield pa.RecordBatch.from_arrays([same[0], pa.array(list(n), pa.binary()).cast(pa.string()), same[1], pa.array([self.document] * k, pa.int64()), *counted], COUNTED_NAMES)
-        self.of, self.rows, self.document = {}, 0, self.document + 1
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(list(n), pa.binary()).cast(pa.string()), same[1], *counted], COUNTED_NAMES)
+        self.of, self.rows = {}, 0
 
 
-COUNTED_NAMES = ["lang", "term", "source", "document", "docs", "n"]
+COUNTED_NAMES = ["lang", "term", "source", "docs", "n"]
 RUN_NAMES = ["lang", "term", "source", "n", "lang_n", "head"]
 EMITTED_NAMES = ["part", "lang", "source", "item", "value"]
 RESULT = ["lang", "source", "part", "item", "value", "rank"]
@@ -133,19 +136,40 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def scan(least: int):
+def summed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A row for each (lang, term, source), its documents and occurrences summed."""
+    key = ["lang", "term", "source"]
+    found = pa.Table.from_batches(batches).group_by(key, use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+    return _joined(found.select([*key, "docs_sum", "n_sum"]).rename_columns(COUNTED_NAMES).to_batches())
+
+
+def gather(least: int):
     """The runs of terms in at least so many documents: a row for each source, with the language's count beside."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_runs(batches, ("lang", "term")):
-            term, source = _changes(batch, ("lang", "term")), _changes(batch, ("lang", "term", "source"))
-            at, heads = np.flatnonzero(source), np.flatnonzero(term)
-            docs, n = batch["docs"].to_numpy(), batch["n"].to_numpy()
-            run = np.cumsum(term)[at] - 1
-            keep = (np.add.reduceat(docs, heads) >= least)[run]
-            if keep.any():
-                rows = batch.take(pa.array(at[keep]))
-                yield pa.RecordBatch.from_arrays([rows["lang"], rows["term"], rows["source"], pa.array(np.add.reduceat(n, at)[keep]), pa.array(np.add.reduceat(n, heads)[run[keep]]), pa.array(term[at][keep])], RUN_NAMES)
+        held, rows, most = [], 0, SUMMED
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= most:
+                held = [summed(held)]
+                rows, most = held[0].num_rows, max(SUMMED, 2 * held[0].num_rows)
+        if not held:
+            return
+        sums = summed(held)
+        lang, term = (sums[c].dictionary_encode().indices.to_numpy().astype(np.int64) for c in ("lang", "term"))
+        key = term * (lang.max() + 1) + lang
+        order = np.argsort(key, kind="stable")
+        key, docs, n = key[order], sums["docs"].to_numpy()[order], sums["n"].to_numpy()[order]
+        first = np.append(True, key[1:] != key[:-1])
+        heads, run = np.flatnonzero(first), np.cumsum(first) - 1
+        keep = np.flatnonzero((np.add.reduceat(docs, heads) >= least)[run])
+        of_lang = np.add.reduceat(n, heads)
+        for low in range(0, len(keep), RUN_ROWS):
+            at = keep[low : low + RUN_ROWS]
+            names = sums.take(pa.array(order[at]))
+            yield pa.RecordBatch.from_arrays([names["lang"], names["term"], names["source"], pa.array(n[at]), pa.array(of_lang[run[at]]), pa.array(first[at])], RUN_NAMES)
 
     return found
 
@@ -241,8 +265,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
     tables = Tables(docs.sparkSession)
     try:
-        counted = given.mapInArrow(count, COUNTED).repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "document")
-        runs = tables.put("runs", counted.mapInArrow(scan(least), RUN))
+        counted = given.mapInArrow(count, COUNTED).repartition("lang", "term")
+        runs = tables.put("runs", counted.mapInArrow(gather(least), RUN))
         groups = tables.put("groups", sizes(given, runs))
         sized = runs.join(groups.select("lang", "source", "size", "lang_size"), ["lang", "source"]).repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
         emitted = tables.put("emitted", sized.mapInArrow(emit, EMITTED))

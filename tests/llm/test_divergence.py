@@ -78,3 +78,24 @@ def test_share_is_exact():
     n = [rng.randint(1, 10**15) for _ in range(200)]
     whole = [rng.randint(k, 9 * 10**15) for k in n]
     assert divergence.share(np.array(n), np.array(whole)).tolist() == [1 + 10**9 * a // b for a, b in zip(n, whole)]
+
+
+def test_unsorted_rows_are_gathered_in_bounded_steps(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "SUMMED", 7)
+    monkeypatch.setattr(divergence, "RUN_ROWS", 2)
+    rng, total = np.random.default_rng(3), {}
+    batches = []
+    for _ in range(12):
+        rows = [(("x", "y")[rng.integers(2)], "abcdef"[rng.integers(6)], ("s", "t", "")[rng.integers(3)], int(rng.integers(1, 3)), int(rng.integers(3, 9))) for _ in range(5)]
+        for lang, term, source, docs, n in rows:
+            d, o = total.get((lang, term, source), (0, 0))
+            total[lang, term, source] = d + docs, o + n
+        batches.append(pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows))], divergence.COUNTED_NAMES))
+    of = lambda lang, term, k: sum(v[k] for key, v in total.items() if key[:2] == (lang, term))
+    want = {(*key, n, of(*key[:2], 1)) for key, (_, n) in total.items() if of(*key[:2], 0) >= 6}
+    got = [tuple(r.values()) for b in divergence.gather(6)(iter(batches)) for r in b.to_pylist()]
+    assert {r[:5] for r in got} == want and len(got) == len(want)
+    assert sorted(r[:2] for r in got if r[5]) == sorted({r[:2] for r in want})
+    assert all(b[5] or a[:2] == b[:2] for a, b in zip(got, got[1:]))
