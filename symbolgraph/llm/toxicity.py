@@ -6,8 +6,9 @@ letters instead. The vocabulary is every term that a labelled example holds, wha
 frequencies are counted over all rows. Labelled examples with equal vectors are one example that remembers how many
 rows, and how many toxic ones, it stands for. The index lists each term's examples with their weights in blocks of
 `BLOCK` examples and the largest weight in each block. A search bounds every block's cosine by these, scores the
-blocks of the largest bounds, then those whose bound isn't below the k-th best cosine found: the result is that of a
-full scan.
+blocks of the largest bounds, then those whose bound isn't below the k-th best cosine found. What common terms add is
+summed in single precision, so all within its error of the k-th are kept and scored again in double precision: the
+result is that of a full scan.
 
 A text's vote is the share of toxic rows among the examples found, weighted by cosine (nearer examples count more); a
 monotone table from votes to the share of toxic rows, measured on the training rows with each one's own row left out,
@@ -26,11 +27,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,8 @@ BLOCK = 64
 FIRST = 4
 #: Texts that are searched for together.
 TOGETHER = 64
-#: A term that so large a share of the examples hold keeps a weight for each example instead of a list.
-COMMON = 0.12
+#: A term that so large a share of the examples hold keeps a weight for each example instead of a list; so many terms at most.
+COMMON, MOST_COMMON = 0.05, 2_048
 OPENING = 4
 REST = 0.25
 MAX_ROWS = 6_000
@@ -51,7 +55,12 @@ THRESHOLD = 0.5
 SEED = 8
 BINS = 200
 
+#: Bytes of texts that are cut into words together, if more than one.
+AT_ONCE = 1 << 22
+
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII capitals to small letters, all else of ASCII that isn't a letter or digit to a space: no word goes beyond that.
+_PIECES = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 #: Thai to Burmese, Khmer, kana and Chinese characters.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
 
@@ -80,13 +89,52 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.rests = {t[1:]: k for t, k in self.places.items() if t[0] == "+"}
 
-    def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The places of a text's terms in order, and how often each is there."""
-        first, rest = parts(text)
-        known = chain(map(self.places.get, first, repeat(-1)), map(self.rests.get, rest, repeat(-1)))
-        at, n = np.unique(np.fromiter(known, np.intp, len(first) + len(rest)), return_counts=True)
-        known = np.searchsorted(at, 0)
-        return at[known:], n[known:]
+    @cached_property
+    def tables(self) -> list[tuple[pa.Array, np.ndarray]]:
+        """The terms that openings, and what follows them, are looked up in, and their places; -1 for what isn't there."""
+        openings = {t: k for t, k in self.places.items() if t[0] != "+"}
+        return [(pa.array([t.encode() for t in held], pa.large_binary()), np.array([*held.values(), -1], np.intp)) for held in (openings, self.rests)]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # each task makes its own
+
+    def found(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text, the places of its terms in order, and how often each is there."""
+        # A capital sigma's small letter depends on what stands beside it, in other pieces too.
+        raw = [(t.lower() if "\u03a3" in t else t).encode() if t else b"" for t in texts]
+        size = np.cumsum([0, *map(len, raw)])
+        low = 0
+        while low < len(raw):
+            high = max(low + 1, int(np.searchsorted(size, size[low] + AT_ONCE)) - 1)
+            text, at = self._places(b"".join(raw[low:high]), size[low : high + 1] - size[low])
+            key, n = np.unique(text * max(len(self.places), 1) + at, return_counts=True)
+            ends = np.searchsorted(key, np.arange(high - low + 1) * max(len(self.places), 1))
+            at = key % max(len(self.places), 1)
+            yield from ((at[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:]))
+            low = high
+
+    def _places(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts one after another, every known term: the number of its text, and its place."""
+        texts = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw.translate(_PIECES))])
+        split = pc.ascii_split_whitespace(texts)
+        of, pieces = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), split.flatten()
+        plain = pc.string_is_ascii(pieces)
+        words, whose = pieces.filter(plain).cast(pa.large_binary()), of[plain.to_numpy(zero_copy_only=False)]
+        text, at = [], []
+        for (held, places), part in zip(self.tables, (pc.binary_slice(words, 0, OPENING), pc.binary_slice(words, OPENING, len(raw) + OPENING))):
+            k = places[pc.index_in(part, held).fill_null(len(held)).to_numpy()]
+            text.append(whose[k >= 0])
+            at.append(k[k >= 0])
+        # Other pieces may hold several words, or none.
+        other = ~plain.to_numpy(zero_copy_only=False)
+        if other.any():
+            rest, ends = pieces.filter(pc.invert(plain)).to_numpy(zero_copy_only=False), np.searchsorted(of[other], np.arange(len(texts) + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                first, after = parts(" ".join(rest[ends[i] : ends[i + 1]]))
+                k = np.fromiter(chain(map(self.places.get, first, repeat(-1)), map(self.rests.get, after, repeat(-1))), np.intp, len(first) + len(after))
+                at.append(k[k >= 0])
+                text.append(np.full(len(at[-1]), i))
+        return np.concatenate(text), np.concatenate(at)
 
     def weights(self) -> np.ndarray:
         out = np.ones(len(self.places))
@@ -101,6 +149,12 @@ def unit(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np
     return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
 
+def runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of n numbers from `first`, all numbers one after another, and where each run ends among them."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n), ends
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -109,7 +163,9 @@ class Model:
     toxic: np.ndarray
     ids: np.ndarray  # the smallest id of each example's rows
     common: np.ndarray  # of each term, its row among the common ones, or -1
-    whole: np.ndarray  # common term x example: the weight
+    starts: np.ndarray  # of each example, its first common term (their row) and weight below, and one more
+    held_rows: np.ndarray
+    held_weights: np.ndarray
     lists: np.ndarray  # of each term, its first list below, and one more; a list is of a term and a block that holds it
     block: np.ndarray  # of each list its block, the largest weight, the first posting, and how many
     bounds: np.ndarray
@@ -124,6 +180,16 @@ class Model:
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return unit(at, n, self.idf)
 
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """Common term x example, all blocks filled up with zeros: the weight."""
+        out = np.zeros((self.common.max(initial=-1) + 1, -(-len(self.rows) // BLOCK) * BLOCK), np.float32)
+        out[self.held_rows, np.repeat(np.arange(len(self.rows)), np.diff(self.starts))] = self.held_weights
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "whole"}  # each task fills its own
+
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector, the k examples of largest cosine above 0, and their cosines."""
         out = []
@@ -133,39 +199,48 @@ class Model:
             for i, (at, w) in enumerate(part):
                 row = self.common[at]
                 x[i, row[row >= 0]] = w[row >= 0]
-            out += [self._nearest(at, w, begun, k) for (at, w), begun in zip(part, x @ self.whole)]
+            out += [self._nearest(at, w, own, begun, k) for (at, w), own, begun in zip(part, x, x.astype(np.float32) @ self.whole)]
         return out
 
-    def _nearest(self, at: np.ndarray, w: np.ndarray, begun: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """begun: what common terms add to each example, all blocks filled up with zeros."""
+    def _nearest(self, at: np.ndarray, w: np.ndarray, own: np.ndarray, begun: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """own: the vector's weights of common terms. begun: what these add to each example, in single precision."""
+        # A sum of n products of two vectors of length 1 errs by less than n + 4 half units of its precision: twice that.
+        slack = (len(self.whole) + 8) * float(np.finfo(np.float32).eps) + 1e-6
         rare = self.common[at] < 0
         at, w = at[rare], w[rare]
         n = self.lists[at + 1] - self.lists[at]
-        lists = np.arange(n.sum()) + np.repeat(self.lists[at] - (np.cumsum(n) - n), n)
+        lists, _ = runs(self.lists[at], n)
         at, w = self.block[lists], np.repeat(w, n)
-        bound = begun.reshape(-1, BLOCK).max(axis=1)
-        bound = bound + np.bincount(at, w * self.bounds[lists], len(bound))
+        best = begun.reshape(-1, BLOCK).max(axis=1)
+        bound = best + np.bincount(at, w * self.bounds[lists], len(best))
+        # Rare terms only add to what an example has, so the k-th largest of that is a first floor.
+        least = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
         open_ = bound > 0
-        found, score, least = np.empty(0, np.intp), np.empty(0), 0.0
+        found, rest, score = np.empty(0, np.intp), np.empty(0), np.empty(0)
         for last in (False, True):
-            now = open_ & (bound >= least - 1e-6)
+            now = open_ & (bound >= least - slack)
             if not last and len(bound) > FIRST:
                 now &= bound >= np.partition(bound, len(bound) - FIRST)[len(bound) - FIRST]
             open_ &= ~now
             blocks = np.flatnonzero(now)
             if not len(blocks):
                 continue
-            some = now[at]
-            first, n, x = self.first[lists[some]], self.held[lists[some]], w[some]
-            posting = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-            total = begun + np.bincount(self.example[posting], np.repeat(x, n) * self.weight[posting], len(begun)) if len(posting) else begun
-            total = total.reshape(-1, BLOCK)[blocks]
-            row, inside = np.nonzero(total > max(0.0, least - 1e-9))
-            found, score = np.append(found, blocks[row] * BLOCK + inside), np.append(score, total[row, inside])
+            some = np.flatnonzero(now[at])
+            chosen = lists[some]
+            n = self.held[chosen]
+            posting, _ = runs(self.first[chosen], n)
+            added = np.bincount(self.example[posting], np.repeat(w[some], n) * self.weight[posting], len(begun))
+            total = (begun + added).reshape(-1, BLOCK)[blocks]
+            row, inside = np.nonzero(total > max(0.0, least - slack))
+            these = blocks[row] * BLOCK + inside
+            found, rest, score = np.append(found, these), np.append(rest, added[these]), np.append(score, total[row, inside])
             if len(score) >= k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-        near = score >= least - 1e-9
-        found, score = found[near], score[near]
+                least = max(least, np.partition(score, len(score) - k)[len(score) - k])
+        near = score >= least - slack
+        found, score = found[near], rest[near]
+        n = self.starts[found + 1] - self.starts[found]
+        posting, _ = runs(self.starts[found], n)
+        score = score + np.bincount(np.repeat(np.arange(len(found)), n), own[self.held_rows[posting]] * self.held_weights[posting], len(found))
         order = np.lexsort((found, -np.round(score, 12)))[:k]
         return found[order], score[order]
 
@@ -184,7 +259,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         """The score of each text, and its nearest examples' ids and cosines; texts that are equal are searched for once."""
         different, out = list(dict.fromkeys(texts)), {}
-        for text, (found, score) in zip(different, self.nearest([self.vector(*self.vocabulary.found(t)) for t in different], NEAREST)):
+        for text, (found, score) in zip(different, self.nearest([self.vector(*found) for found in self.vocabulary.found(different)], NEAREST)):
             vote = self.vote(found, score)
             out[text] = self.empty if vote is None else float(np.interp(vote, self.votes, self.shares)), list(zip(self.ids[found].tolist(), score.tolist()))
         return [out[t] for t in texts]
@@ -203,20 +278,21 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
     found = [unit(*np.array(key, np.intp).T, idf) for key in keys]
     term = np.concatenate([np.empty(0, np.intp), *(at for at, _ in found)])
     weight = np.concatenate([np.empty(0), *(w for _, w in found)])
-    example = np.repeat(np.arange(len(keys)), [len(at) for at, _ in found]).astype(np.int32)
-    order = np.lexsort((example, term))
-    term, weight, example = term[order], weight[order], example[order]
+    example = np.repeat(np.arange(len(keys)), [len(at) for at, _ in found])
     blocks = -(-len(keys) // BLOCK)
-    often = np.flatnonzero(np.bincount(term, minlength=len(idf)) > COMMON * len(keys)) if len(keys) else np.empty(0, np.intp)
+    often = np.bincount(term, minlength=len(idf))
+    often = np.argsort(-often, kind="stable")[: min(MOST_COMMON, int((often > COMMON * len(keys)).sum()))]
     common = np.full(len(idf), -1)
     common[often] = np.arange(len(often))
-    whole, dense = np.zeros((len(often), blocks * BLOCK)), common[term] >= 0
-    whole[common[term[dense]], example[dense]] = weight[dense]
+    dense = common[term] >= 0
+    forward = np.searchsorted(example[dense], np.arange(len(keys) + 1)), common[term[dense]], weight[dense]
     term, weight, example = term[~dense], weight[~dense], example[~dense]
+    order = np.lexsort((example, term))
+    term, weight, example = term[order], weight[order], example[order]
     key, first, held = np.unique(term * max(blocks, 1) + example // BLOCK, return_index=True, return_counts=True)
     bounds = np.nextafter(np.maximum.reduceat(weight, first).astype(np.float32), np.float32(2)) if len(key) else np.empty(0, np.float32)
     lists = np.searchsorted(key, np.arange(len(idf) + 1) * max(blocks, 1))
-    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), common, whole, lists, key % max(blocks, 1), bounds, first, held, example, weight, (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    model = Model(vocabulary, idf, np.array([groups[k][1] for k in keys]), np.array([groups[k][2] for k in keys]), np.array([groups[k][0] for k in keys], np.int64), common, *forward, lists, key % max(blocks, 1), bounds, first, held, example, weight, (none[2] + rate) / (none[1] + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     # Calibration: pool adjacent violators over the training rows' votes.
     alike: dict[tuple, int] = {}
     for _, label, key in vectors:
@@ -255,9 +331,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def frequencies(batches):
         df, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text, copies in Counter(batch.column("text").to_pylist()).items():
-                n += copies
-                df[vocabulary.found(text)[0]] += copies
+            texts = Counter(batch.column("text").to_pylist())
+            n += batch.num_rows
+            for (at, _), copies in zip(vocabulary.found(list(texts)), texts.values()):
+                df[at] += copies
         at = np.flatnonzero(df)
         yield pa.record_batch({"term": np.append(at, -1), "n": np.append(df[at], n)})
 
