@@ -285,7 +285,7 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int,
     common = np.full(len(idf), -1)
     common[often] = np.arange(len(often))
     dense = common[term] >= 0
-    forward = np.searchsorted(example[dense], np.arange(len(keys) + 1)), common[term[dense]], weight[dense]
+    forward = np.searchsorted(example[dense], np.arange(len(keys) + 1)), common[term[dense]].astype(np.int32), weight[dense]
     term, weight, example = term[~dense], weight[~dense], example[~dense]
     order = np.lexsort((example, term))
     term, weight, example = term[order], weight[order], example[order]
@@ -342,6 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     df = np.bincount(counted.term[counted.term >= 0], counted.n[counted.term >= 0], size)
     idf = (np.log((1 + int(counted.n[counted.term < 0].sum())) / (1 + df)) + 1e-9) * vocabulary.weights()
     vectors = [(i, y, tuple(sorted((vocabulary.places[t], int(n)) for t, n in zip(x[::2], x[1::2])))) for i, y, x in got]
+    del got  # not held while the model is built, which is when the driver needs most
     return build(vocabulary, idf, vectors)
 
 
